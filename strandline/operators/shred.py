@@ -4,7 +4,7 @@
 label, ordinal, kind and scalar. A list adds no node of its own: its elements
 hang under the object that holds the list, labelled with the list's name and
 numbered by their place, so that an object standing where a list belongs reads
-as a list of one. ``entities`` joins object nodes to their parents;
+as a list of one. ``entities`` gives object nodes the place of their parents;
 ``entity_table`` joins object nodes with their scalar children and pivots them.
 """
 
@@ -14,7 +14,7 @@ import json
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Lists of a record and lists inside their items.
@@ -152,19 +152,21 @@ def entities(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     an item; ``path`` names the list or both lists joined by a dot, and
     ``child_pos`` is -1 for an item. Objects elsewhere are left out.
     """
-    objects = nodes.where(F.col("kind") == "object")
-    items = objects.where((F.col("parent") == ROOT) & F.col("label").isin(*TOP_LISTS)).select(
-        *keys, "node", F.col("label").alias("path"), F.col("ordinal").alias("item_pos"), F.lit(-1).cast("long").alias("child_pos"), "parent"
+    at_item = (F.col("parent") == ROOT) & F.col("label").isin(*TOP_LISTS)
+    within = (F.col("parent") > ROOT) & F.col("label").isin(*CHILD_LISTS)
+    objects = nodes.where((F.col("kind") == "object") & (at_item | within))
+    owner = F.when(at_item, F.col("node")).otherwise(F.col("parent"))
+    # An item and its objects come from one record, which one task has held as text.
+    family = Window.partitionBy(*keys, "_owner")
+    placed = objects.withColumn("_owner", owner).withColumn("_item", F.max(F.when(at_item, F.struct("label", "ordinal"))).over(family))
+    return placed.where(F.col("_item").isNotNull()).select(
+        *keys,
+        "node",
+        F.when(at_item, F.col("label")).otherwise(F.concat_ws(".", "_item.label", "label")).alias("path"),
+        F.col("_item.ordinal").alias("item_pos"),
+        F.when(at_item, F.lit(-1)).otherwise(F.col("ordinal")).cast("long").alias("child_pos"),
+        "parent",
     )
-    above = items.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("node").alias("_node"), F.col("path").alias("_path"), F.col("item_pos").alias("_item"))
-    inner = objects.where((F.col("parent") > ROOT) & F.col("label").isin(*CHILD_LISTS))
-    on = inner["parent"] == F.col("_node")
-    for k in keys:
-        on = on & inner[k].eqNullSafe(F.col(f"_{k}"))
-    children = inner.join(above, on).select(
-        *keys, "node", F.concat_ws(".", "_path", "label").alias("path"), F.col("_item").alias("item_pos"), F.col("ordinal").alias("child_pos"), "parent"
-    )
-    return items.unionByName(children)
 
 
 def entity_table(nodes: DataFrame, keys: Sequence[str], path: str, fields: Sequence[str], lists: Sequence[str] = (), embedded: Sequence[str] = ()) -> DataFrame:

@@ -30,7 +30,7 @@ def current_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = shred(current_extractions(spark, sf_dir), KEYS, "extraction_json", scalars=False)
-    return entities(nodes, KEYS).select("source_ref", "language", "path", "item_pos", "child_pos").distinct()
+    return entities(nodes, KEYS).select("source_ref", "language", "path", "item_pos", "child_pos")
 
 
 def p1_table(spec: str):
