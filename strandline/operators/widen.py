@@ -27,6 +27,9 @@ TRUE_WORDS = ("true", "yes", "y", "1", "t")
 FALSE_WORDS = ("false", "no", "n", "0", "f")
 MULTIPLES = {"thousand": 1_000, "k": 1_000, "million": 1_000_000, "mn": 1_000_000, "m": 1_000_000, "billion": 1_000_000_000, "bn": 1_000_000_000}
 
+#: Input rows per partition of the registers' shuffle.
+ROWS_PER_PARTITION = 500_000
+
 SPARK_TYPES = {"int": T.LongType(), "decimal": T.DecimalType(38, 10), "date": T.DateType(), "boolean": T.BooleanType(), "string": T.StringType()}
 
 
@@ -160,8 +163,10 @@ def widen(rows: DataFrame, types: DataFrame, keys: Sequence[str] = ("source_ref"
         key, register = pair
         return (*key, *[None if c is None else _decode(c[1], kinds[i]) for i, c in enumerate(register)])
 
+    # Adaptive execution does not size an RDD's shuffle, so the row count (from the file footers) does.
+    parts = max(spark.sparkContext.defaultParallelism, -(-rows.count() // ROWS_PER_PARTITION))
     pairs = cells.rdd.map(lambda r: (tuple(r[0]), (r[1], r[2], r[3])))
-    wide = pairs.combineByKey(start, merge_cell, merge, numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions"))).map(encode)
+    wide = pairs.combineByKey(start, merge_cell, merge, numPartitions=parts).map(encode)
     source = rows.schema
     schema = T.StructType([T.StructField(k, source[k].dataType) for k in keys] + [T.StructField(n, SPARK_TYPES[k]) for n, k in declared])
     assert n_keys + width == len(schema)
