@@ -45,6 +45,8 @@ SHAPED = ((0x600, 0xDFF), (0x1000, 0x109F), (0x1780, 0x18AF), (0x2190, 0x2BFF),
 HYPHENS = (0x2010, 0x2011)
 #: Kinds of compatibility decomposition whose source looks like its plain spelling.
 LIKE_PLAIN = ("<wide>", "<narrow>", "<noBreak>", "<font>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>")
+#: Blocks that most texts are made of.
+PLAIN_BLOCKS = ((0x00, 0x17F), (0x3001, 0x3029), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
 DOTS = (0x2024, 0x2025, 0x2026)
 
 _HAN = r"\p{IsHan}"
@@ -100,9 +102,7 @@ def tables() -> tuple[list, list, str]:
             canonical = ud.normalize("NFD", ch)
             if len(canonical) > 1 and ud.normalize("NFC", ch) == ch:
                 comps.setdefault(canonical[0], {})[canonical[1:]] = ch
-                continue  # a precomposed letter alone needs nothing
-            touched.append(cp)
-        elif ud.combining(ch) or ch in LOOKALIKES:
+        if _touched(ch):  # a precomposed letter alone needs nothing
             touched.append(cp)
     ranges: list[list[int]] = []
     for cp in touched:
@@ -129,9 +129,37 @@ def _back(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(t, v.get("GREEK"), v.get("CYRILLIC")) for t, v in sorted(twin.items())], "ch string, greek string, cyrillic string")
 
 
+@lru_cache(maxsize=1)
+def _plain() -> tuple[str, str]:
+    """Patterns of texts that surely need no work: of plain blocks only, and the same with full-width punctuation."""
+    touched = {cp for block in PLAIN_BLOCKS for cp in range(block[0], block[1] + 1) if _touched(chr(cp))}
+    ranges: list[list[int]] = []
+    for a, b in PLAIN_BLOCKS:
+        for cp in range(a, b + 1):
+            if cp in touched:
+                continue
+            if ranges and ranges[-1][1] == cp - 1:
+                ranges[-1][1] = cp
+            else:
+                ranges.append([cp, cp])
+    body = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
+    wide = "".join(f"\\x{{{cp:X}}}" for cp in range(0xFF01, 0xFF66) if (d := decompose(chr(cp))) and d[1])
+    return f"^[{body}]*+$", f"^[{body}{wide}]*+$"
+
+
+def _touched(ch: str) -> bool:
+    if ch in LOOKALIKES or ud.combining(ch):
+        return True
+    return decompose(ch) is not None and not (len(ud.normalize("NFD", ch)) > 1 and ud.normalize("NFC", ch) == ch)
+
+
 def needs_work(c):
-    """True where a text has a character that may not be in the consistent form."""
-    return c.rlike(tables()[2])
+    """True where a text has a character that may not be in the consistent form.
+
+    The long character class is only tried on texts that short ones don't clear.
+    """
+    plain, plain_chinese = _plain()
+    return ~(c.rlike(plain) | (c.rlike(_HAN) & c.rlike(plain_chinese))) & c.rlike(tables()[2])
 
 
 def normalized(texts: DataFrame, text: str) -> DataFrame:
