@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from strandline.llm.mixing import mix, replicate
 from strandline.llm.normalize import normalize_columns, unusual_fields
 from strandline.llm.tokenize import token_ids
+from strandline.llm.variants import attach_variants
 from strandline.session import table
 
 
@@ -19,6 +20,10 @@ def p4_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_columns(mentions, ["name", "quote"])
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attach_variants(table(spark, sf_dir, "mentions"), table(spark, sf_dir, "entity_register"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"))
 
@@ -40,7 +45,7 @@ def p8_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p4_found": p4_found, "p4_normalized": p4_normalized, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_stream": p8_stream}
+    return {"p4_found": p4_found, "p4_normalized": p4_normalized, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_stream": p8_stream}
 
 
 def oracle_sql() -> dict[str, str]:
