@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm.mixing import mix, replicate
 from strandline.llm.normalize import normalize_columns, unusual_fields
+from strandline.llm.subjects import assign, composition, train
 from strandline.llm.tokenize import token_ids
 from strandline.llm.variants import attach_variants
 from strandline.session import table
@@ -44,8 +45,21 @@ def p8_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replicate(_mixed(spark, sf_dir)[0])
 
 
+def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return assign(docs, train(docs, table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subject_areas")))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assigned(spark, sf_dir).select("doc_id", "subject").distinct()
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return composition(table(spark, sf_dir, "documents"), _assigned(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {"p4_found": p4_found, "p4_normalized": p4_normalized, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_stream": p8_stream}
+    return {"p4_found": p4_found, "p4_normalized": p4_normalized, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_stream": p8_stream, "p9_found": p9_found, "p9_composition": p9_composition}
 
 
 def oracle_sql() -> dict[str, str]:
