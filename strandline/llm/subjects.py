@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of the fit: labelled documents, sentences taken from them in all, and the width of the hash.
-MAX_TRAIN_DOCS = 6_000
-MAX_TRAIN_SENTENCES = 90_000
+MAX_TRAIN_DOCS = 4_000
+MAX_TRAIN_SENTENCES = 60_000
 WIDTH = 1 << 17
 ROUNDS = 4
 STEPS = 12
