@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandline.llm.bitext import align
 from strandline.llm.mixing import mix, replicate
 from strandline.llm.normalize import normalize_columns, unusual_fields
 from strandline.llm.subjects import assign, composition, train
@@ -21,6 +22,10 @@ def p4_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_columns(mentions, ["name", "quote"])
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "releases"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attach_variants(table(spark, sf_dir, "mentions"), table(spark, sf_dir, "entity_register"))
 
@@ -59,7 +64,7 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p4_found": p4_found, "p4_normalized": p4_normalized, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_stream": p8_stream, "p9_found": p9_found, "p9_composition": p9_composition}
+    return {"p4_found": p4_found, "p4_normalized": p4_normalized, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_stream": p8_stream, "p9_found": p9_found, "p9_composition": p9_composition}
 
 
 def oracle_sql() -> dict[str, str]:
