@@ -245,13 +245,14 @@ def word_vectors(found: DataFrame, n_pairs: int) -> tuple[dict[str, np.ndarray],
         sizes[r["k"]] = r["count"]
     spread = held.groupBy("side", "gram", concept.alias("k")).count()
     often = spread.groupBy("side", "gram").agg(F.sum("count").alias("df")).where(F.col("df") >= least)
-    table = spread.join(often, ["side", "gram"]).toPandas()
+    table = spread.join(often, ["side", "gram"]).select((F.col("side") == "en").alias("en"), "gram", "k", F.col("count").cast("int").alias("n")).toArrow()
+    of_en, gram, k, n = (table.column(i).to_numpy() for i in range(4))
     words, vectors = {}, {}
     for side in ("en", "zh"):
-        own = table[table["side"] == side]
-        ids = np.unique(own["gram"].to_numpy(dtype=np.int64))
+        own = of_en == (side == "en")
+        ids = np.unique(gram[own]).astype(np.int64)
         v = np.zeros((len(ids), CONCEPTS), np.float32)
-        v[np.searchsorted(ids, own["gram"].to_numpy(dtype=np.int64)), own["k"].to_numpy(dtype=np.int64)] = own["count"].to_numpy()
+        v[np.searchsorted(ids, gram[own]), k[own]] = n[own]
         df = v.sum(axis=1)
         v -= (df / max(n_pairs, 1))[:, None] * sizes[None, :]
         v /= np.maximum(np.linalg.norm(v, axis=1), 1e-6)[:, None]
