@@ -305,10 +305,10 @@ def _entries(part: pd.DataFrame, ids: dict[str, np.ndarray], vecs: dict[str, np.
     )
 
 
-def scored_spans(entries: DataFrame) -> DataFrame:
+def scored_spans(left: DataFrame, right: DataFrame) -> DataFrame:
     """source_ref, en, zh, score: the sparse cosine over shared concepts, with what numbers, dates and refs say."""
-    side = lambda s: entries.where(F.col("side") == s).select("source_ref", "concept", F.col("span").alias(s), F.col("kinds").alias(f"{s}_kinds"), F.col("weight").alias(f"{s}_w"), "anchor")
-    met = side("en").join(side("zh").drop("anchor"), ["source_ref", "concept"])
+    side = lambda df, s: df.select("source_ref", "concept", F.col("span").alias(s), F.col("kinds").alias(f"{s}_kinds"), F.col("weight").alias(f"{s}_w"), "anchor")
+    met = side(left, "en").join(side(right, "zh").drop("anchor"), ["source_ref", "concept"])
     sums = met.groupBy("source_ref", "en", "zh", "en_kinds", "zh_kinds").agg(
         F.sum(F.col("en_w") * F.col("zh_w")).alias("cosine"), F.sum(F.when(F.col("anchor") > 0, 1).otherwise(0)).alias("same"), F.bit_or("anchor").alias("agreed")
     )
@@ -357,4 +357,5 @@ def align(releases: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = cut(all_spans(paired_documents(releases)))
     n_pairs = found.select("source_ref").distinct().count()
     words, vectors = word_vectors(found, n_pairs)
-    return select_spans(scored_spans(concept_rows(found, words, vectors)), threshold).distinct()
+    left, right = (concept_rows(found.where(F.col("side") == s), words, vectors) for s in ("en", "zh"))
+    return select_spans(scored_spans(left, right), threshold).distinct()
