@@ -30,7 +30,8 @@ def current_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], paylo
         *[F.col(f"_b.{c}.v").alias(f"_o{i}") for i, c in enumerate(order)],
         F.col("_b._h").alias("_bh"),
     )
-    single = base.groupBy(*keys, *order, "_h").agg(*[F.first(c).alias(c) for c in payload])
+    versions = base.groupBy(*keys, *order, "_h")
+    single = versions.agg(*[F.first(c).alias(c) for c in payload]) if payload else base.distinct()
     on = F.col("_h") == F.col("_bh")
     for i, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))

@@ -169,12 +169,12 @@ def _brandes_joined(edges: DataFrame, names: DataFrame) -> DataFrame:
     return total.groupBy("id").agg(F.sum("part").alias("total"))
 
 
-def communities(edges: DataFrame, max_rounds: int = 24, max_levels: int = 8) -> DataFrame:
+def communities(edges: DataFrame, max_rounds: int = 6, max_levels: int = 3) -> DataFrame:
     """id, community: Louvain by rounds in which half of the nodes, chosen by a hash, may move to the neighbouring community of greatest gain.
 
     A move needs a positive gain; of equal gains the smallest community id
     wins, so the result does not depend on partitioning. A level ends when no
-    node of either half moves, then communities become nodes. Communities are
+    node of either half moves or after ``max_rounds``, then communities become nodes. Communities are
     numbered from 0 by their smallest member.
     """
     member = cut(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("c", F.col("id")))
