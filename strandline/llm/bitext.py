@@ -4,33 +4,36 @@ No dictionary is given: the paired documents are one. Paired documents are
 hashed to a fixed number of concepts; how a word (or a pair of Chinese
 characters) of either language is spread over the concepts, against what its
 frequency lets expect, is its vector, so words of both languages that occur in
-the same pairs get like vectors. A sentence, or a part of one between strong
-breaks, is the sum of its words' vectors, of which the strongest entries are
-kept. Numbers, dates and refs are brought to one form and are concepts too.
-Spans of a document pair meet in a sparse join on shared concepts; mutual best
-spans, whole sentences of several parts among them, are selected.
+the same pairs get like vectors. A pair's own words are judged by the other
+pairs alone, else all its rare words would look alike. A sentence, or a part
+of one between strong breaks, is the sum of its words' vectors. Every word of
+``LEAST_PAIRS`` or more pairs has a vector: frequent words, of which there are
+few, are broadcast; the others stay a table that is joined to the documents.
+All spans of a document pair are scored against each other with whole vectors
+and by the numbers, dates and refs they share; mutual best spans, whole
+sentences of several parts among them, are selected.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 from html.parser import HTMLParser
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.current import current_rows
 from strandline.session import cut
 
 CONCEPTS = 256
-KEPT = 32  # strongest entries of a span's vector
-BUCKETS = 1 << 16
-LEAST_SHARE = 0.01  # of the document pairs must hold a word for it to count; so at most 100 words per word of a mean document do
+BROADCAST_SHARE = 0.01  # of the document pairs hold a word that is broadcast; so at most 100 words per word of a mean document are
 LEAST_PAIRS = 3
+BLOCK = 512  # EN spans scored at once
 THRESHOLD = 0.3
 SAME = 0.2  # for a shared number, date or ref, up to two
 CLASH = 0.8  # where both have numbers (dates, refs) and share none
@@ -214,133 +217,171 @@ def paired_documents(releases: DataFrame, left: str = "EN", right: str = "ZH") -
     return one.join(now.where(F.col("language") == right).select("source_ref", F.col("html").alias("right_html")), "source_ref")
 
 
+_SPAN = pa.struct([("span", pa.int64()), ("words", pa.list_(pa.int32())), ("anchors", pa.list_(pa.string())), ("kinds", pa.int32())])
+_DOCUMENT = pa.schema([("source_ref", pa.string()), ("en_words", pa.list_(pa.int64())), ("zh_words", pa.list_(pa.int64())), ("en_spans", pa.list_(_SPAN)), ("zh_spans", pa.list_(_SPAN))])
+_SPANS = "array<struct<span:bigint,words:array<int>,anchors:array<string>,kinds:int>>"
+
+
+def _hashed(gram: str) -> int:
+    return int.from_bytes(blake2b(gram.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _document(markup: str | None, side: str) -> tuple[list[int], list[dict]]:
+    """The distinct hashed words of a document and its spans, which hold places in that list."""
+    found = spans(markup, side)
+    at = {g: i for i, g in enumerate(sorted({g for _, grams, _ in found for g in grams}))}
+    return [_hashed(g) for g in at], [{"span": code, "words": sorted(at[g] for g in grams), "anchors": sorted(anchors), "kinds": _kinds(anchors)} for code, grams, anchors in found]
+
+
 def all_spans(pairs: DataFrame) -> DataFrame:
-    """source_ref, side, span, grams (hashed), anchors, kinds of both documents of every pair."""
+    """source_ref, and of both documents of the pair the distinct hashed words and the spans; pairs without any span left out."""
 
-    def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for ref, left, right in part.itertuples(index=False):
-                for side, markup in (("en", left), ("zh", right)):
-                    for code, grams, anchors in spans(markup, side):
-                        hashed = sorted({zlib.crc32(g.encode()) % BUCKETS for g in grams})
-                        rows.append((ref, side, code, hashed, sorted(anchors), _kinds(anchors)))
-            yield pd.DataFrame(rows, columns=["source_ref", "side", "span", "grams", "anchors", "kinds"])
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 200):
+                rows = []
+                for r in batch.slice(start, 200).to_pylist():
+                    (en, en_spans), (zh, zh_spans) = _document(r["left_html"], "en"), _document(r["right_html"], "zh")
+                    if en_spans or zh_spans:
+                        rows.append({"source_ref": r["source_ref"], "en_words": en, "zh_words": zh, "en_spans": en_spans, "zh_spans": zh_spans})
+                yield pa.RecordBatch.from_pylist(rows, schema=_DOCUMENT)
 
-    return pairs.mapInPandas(run, "source_ref string, side string, span bigint, grams array<int>, anchors array<string>, kinds int")
+    return pairs.mapInArrow(run, f"source_ref string, en_words array<bigint>, zh_words array<bigint>, en_spans {_SPANS}, zh_spans {_SPANS}")
 
 
-def word_vectors(found: DataFrame, n_pairs: int) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
-    """Per side, the hashed words that occur in enough pairs and their unit vectors over the concepts, times their rarity.
+def _concept() -> Column:
+    return F.pmod(F.xxhash64("source_ref"), F.lit(CONCEPTS)).cast("int")
 
-    Counts are over all document pairs. What reaches the driver is bounded by
-    ``LEAST_SHARE``: a word of at least that share of the pairs, in as many
-    entries as there are concepts.
-    """
-    least = max(LEAST_PAIRS, LEAST_SHARE * n_pairs)
-    held = found.select("source_ref", "side", F.explode("grams").alias("gram")).distinct()
-    concept = F.pmod(F.xxhash64("source_ref"), F.lit(CONCEPTS)).cast("int")
-    sizes = np.zeros(CONCEPTS)
-    for r in found.select("source_ref").distinct().groupBy(concept.alias("k")).count().collect():
+
+def held_words(found: DataFrame) -> DataFrame:
+    """source_ref, en (or zh), gram: every word of every pair once."""
+    side = lambda s: found.select("source_ref", F.lit(s == "en").alias("en"), F.explode(f"{s}_words").alias("gram"))
+    return side("en").unionByName(side("zh"))
+
+
+def word_counts(held: DataFrame) -> DataFrame:
+    """en, gram, df, ks, ns: of every word that ``LEAST_PAIRS`` or more pairs hold, the concepts and the number of pairs in each."""
+    spread = held.groupBy("en", "gram", _concept().alias("k")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    words = spread.groupBy("en", "gram").agg(F.sum("n").alias("df"), F.collect_list(F.struct("k", "n")).alias("at")).where(F.col("df") >= LEAST_PAIRS)
+    return words.select("en", "gram", "df", F.col("at.k").alias("ks"), F.col("at.n").alias("ns"))
+
+
+def _dense(ks: pa.Array, ns: pa.Array) -> np.ndarray:
+    """Counts over the concepts, one row per word."""
+    out = np.zeros((len(ks), CONCEPTS), np.float32)
+    rows = np.repeat(np.arange(len(ks)), np.diff(ks.offsets.to_numpy()))
+    out[rows, ks.flatten().to_numpy()] = ns.flatten().to_numpy()
+    return out
+
+
+def _frequent(words: DataFrame) -> dict[bool, tuple[np.ndarray, np.ndarray]]:
+    """Per side, the sorted words and their counts."""
+    table = words.toArrow().combine_chunks()
+    out = {}
+    for en in (True, False):
+        own = table.filter(pa.compute.equal(table["en"], en)).sort_by("gram").combine_chunks()
+        ks, ns = (pa.concat_arrays(own[c].chunks) if own[c].num_chunks else pa.array([], pa.list_(pa.int32())) for c in ("ks", "ns"))
+        out[en] = own["gram"].to_numpy(), _dense(ks, ns)
+    return out
+
+
+def _vectors(counts: np.ndarray, own: int, sizes: np.ndarray) -> np.ndarray:
+    """Unit vectors of a pair's words, by what pairs other than this one (of concept ``own``) hold, times their rarity."""
+    v, others = counts.copy(), sizes.copy()
+    v[:, own] -= 1
+    others[own] -= 1
+    n, df = max(float(others.sum()), 1.0), v.sum(axis=1)
+    v -= (df / n)[:, None] * others[None, :]
+    norm = np.linalg.norm(v, axis=1)
+    return v * np.where(norm > 1e-3, np.log((n + 1) / (df + 1)) / np.maximum(norm, 1e-3), 0.0).astype(np.float32)[:, None]
+
+
+def _summed(spans_: list[dict], place: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Unit vectors of spans; ``place``: the row of each of the document's words in ``vectors``, -1 for none."""
+    out = np.zeros((len(spans_), CONCEPTS), np.float32)
+    for i, s in enumerate(spans_):
+        at = place[s["words"]]
+        out[i] = vectors[at[at >= 0]].sum(axis=0)
+    norm = np.linalg.norm(out, axis=1)[:, None]
+    return np.where(norm > 1e-6, out / np.maximum(norm, 1e-6), 0.0)
+
+
+def scores(en: list[dict], zh: list[dict], en_vectors: np.ndarray, zh_vectors: np.ndarray, threshold: float) -> list[tuple[float, int, int]]:
+    """(score, EN code, ZH code) of all spans of a pair that reach the threshold: the cosine, with what numbers, dates and refs say."""
+    out = []
+    zh_kinds, held = np.array([s["kinds"] for s in zh]), {}
+    for j, s in enumerate(zh):
+        for a in s["anchors"]:
+            held.setdefault(a, []).append(j)
+    for start in range(0, len(en), BLOCK):
+        some = en[start : start + BLOCK]
+        score = en_vectors[start : start + BLOCK] @ zh_vectors.T
+        same, agreed = np.zeros(score.shape, np.int32), np.zeros(score.shape, np.int32)
+        for i, s in enumerate(some):
+            for a in s["anchors"]:
+                if a in held:
+                    same[i, held[a]] += 1
+                    agreed[i, held[a]] |= _kinds((a,))
+        clash = np.array([s["kinds"] for s in some])[:, None] & zh_kinds[None, :] & ~agreed != 0
+        score = score + SAME * np.minimum(same, 2) - CLASH * clash
+        out += [(float(score[i, j]), some[i]["span"], zh[j]["span"]) for i, j in np.argwhere(score >= threshold)]
+    return out
+
+
+def select_spans(scored: list[tuple[float, int, int]]) -> set[tuple[int, int]]:
+    """(en_no, zh_no) of mutual best spans of a pair, taken in turn, each part once."""
+    rows = [(score, uncode(en), uncode(zh)) for score, en, zh in scored]
+    rows.sort(key=lambda r: (-(r[0] - 0.001 * abs(r[1][0] - r[2][0])), r[1], r[2]))
+    en_used: set[int] = set()
+    zh_used: set[int] = set()
+    out = set()
+    for _, (en, a, b), (zh, c, d) in rows:
+        if en_used.isdisjoint(range(a, b + 1)) and zh_used.isdisjoint(range(c, d + 1)):
+            en_used.update(range(a, b + 1))
+            zh_used.update(range(c, d + 1))
+            out.add((en, zh))
+    return out
+
+
+def matched(found: DataFrame, threshold: float) -> DataFrame:
+    """source_ref, en_no, zh_no of the sentences of every pair that belong together."""
+    sizes = np.zeros(CONCEPTS, np.float32)
+    for r in found.groupBy(_concept().alias("k")).count().collect():
         sizes[r["k"]] = r["count"]
-    spread = held.groupBy("side", "gram", concept.alias("k")).count()
-    often = spread.groupBy("side", "gram").agg(F.sum("count").alias("df")).where(F.col("df") >= least)
-    table = spread.join(often, ["side", "gram"]).select((F.col("side") == "en").alias("en"), "gram", "k", F.col("count").cast("int").alias("n")).toArrow()
-    of_en, gram, k, n = (table.column(i).to_numpy() for i in range(4))
-    words, vectors = {}, {}
-    for side in ("en", "zh"):
-        own = of_en == (side == "en")
-        ids = np.unique(gram[own]).astype(np.int64)
-        v = np.zeros((len(ids), CONCEPTS), np.float32)
-        v[np.searchsorted(ids, gram[own]), k[own]] = n[own]
-        df = v.sum(axis=1)
-        v -= (df / max(n_pairs, 1))[:, None] * sizes[None, :]
-        v /= np.maximum(np.linalg.norm(v, axis=1), 1e-6)[:, None]
-        words[side], vectors[side] = ids, (v * np.log((n_pairs + 1) / (df + 1))[:, None]).astype(np.float32)
-    return words, vectors
-
-
-def concept_rows(found: DataFrame, words: dict[str, np.ndarray], vectors: dict[str, np.ndarray]) -> DataFrame:
-    """One row per span and concept: source_ref, side, span, kinds, concept, weight, anchor (kind bit, 0 for a concept of words)."""
-    shared = found.sparkSession.sparkContext.broadcast((words, vectors))
-
-    def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, vecs = shared.value
-        for part in parts:
-            for start in range(0, len(part), 2000):
-                some = part.iloc[start : start + 2000]
-                yield _entries(some, ids, vecs)
-
-    return found.mapInPandas(run, "source_ref string, side string, span bigint, kinds int, concept int, weight float, anchor int")
-
-
-def _entries(part: pd.DataFrame, ids: dict[str, np.ndarray], vecs: dict[str, np.ndarray]) -> pd.DataFrame:
-    rows, concepts, weights, anchor = [], [], [], []
-    for i, (side, grams, anchors) in enumerate(zip(part["side"], part["grams"], part["anchors"])):
-        known = ids[side]
-        if len(grams) and len(known):
-            g = np.asarray(grams, dtype=np.int64)
-            at = np.minimum(np.searchsorted(known, g), len(known) - 1)
-            v = vecs[side][at[known[at] == g]].sum(axis=0)
-            top = np.argpartition(-np.abs(v), KEPT - 1)[:KEPT]
-            norm = float(np.linalg.norm(v[top]))
-            if norm > 1e-6:
-                rows.append(np.full(KEPT, i))
-                concepts.append(top)
-                weights.append(v[top] / norm)
-                anchor.append(np.zeros(KEPT, np.int64))
-        if len(anchors):
-            rows.append(np.full(len(anchors), i))
-            concepts.append(np.array([CONCEPTS + zlib.crc32(a.encode()) % (1 << 30) for a in anchors]))
-            weights.append(np.zeros(len(anchors)))
-            anchor.append(np.array([1 << "dnr".index(a[0]) for a in anchors]))
-    if not rows:
-        return pd.DataFrame({"source_ref": [], "side": [], "span": [], "kinds": [], "concept": [], "weight": [], "anchor": []})
-    at = np.concatenate(rows)
-    return pd.DataFrame(
-        {
-            "source_ref": part["source_ref"].to_numpy()[at], "side": part["side"].to_numpy()[at], "span": part["span"].to_numpy()[at], "kinds": part["kinds"].to_numpy()[at],
-            "concept": np.concatenate(concepts).astype(np.int32), "weight": np.concatenate(weights).astype(np.float32), "anchor": np.concatenate(anchor).astype(np.int32),
-        }
-    )
-
-
-def scored_spans(left: DataFrame, right: DataFrame) -> DataFrame:
-    """source_ref, en, zh, score: the sparse cosine over shared concepts, with what numbers, dates and refs say."""
-    side = lambda df, s: df.select("source_ref", "concept", F.col("span").alias(s), F.col("kinds").alias(f"{s}_kinds"), F.col("weight").alias(f"{s}_w"), "anchor")
-    met = side(left, "en").join(side(right, "zh").drop("anchor"), ["source_ref", "concept"])
-    sums = met.groupBy("source_ref", "en", "zh", "en_kinds", "zh_kinds").agg(
-        F.sum(F.col("en_w") * F.col("zh_w")).alias("cosine"), F.sum(F.when(F.col("anchor") > 0, 1).otherwise(0)).alias("same"), F.bit_or("anchor").alias("agreed")
-    )
-    clash = (F.col("en_kinds").bitwiseAND(F.col("zh_kinds"))).bitwiseAND(F.bitwise_not("agreed")) != 0
-    score = F.col("cosine") + F.lit(SAME) * F.least(F.col("same"), F.lit(2)) - F.when(clash, F.lit(CLASH)).otherwise(F.lit(0.0))
-    return sums.select("source_ref", "en", "zh", score.alias("score"))
-
-
-def select_spans(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """source_ref, en_no, zh_no of mutual best spans, taken in turn, each part once.
-
-    The spans of one document pair are gathered together; they come from two
-    documents that one task has held before.
-    """
-    lists = scored.where(F.col("score") >= threshold).groupBy("source_ref").agg(F.collect_list(F.struct("score", "en", "zh")).alias("found"))
-
-    def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out: set[tuple[str, int, int]] = set()
-            for ref, found in zip(part["source_ref"], part["found"]):
-                rows = [(r["score"], uncode(r["en"]), uncode(r["zh"])) for r in found]
-                rows.sort(key=lambda r: (-(r[0] - 0.001 * abs(r[1][0] - r[2][0])), r[1], r[2]))
-                en_used: set[int] = set()
-                zh_used: set[int] = set()
-                for _, (en, a, b), (zh, c, d) in rows:
-                    if en_used.isdisjoint(range(a, b + 1)) and zh_used.isdisjoint(range(c, d + 1)):
-                        en_used.update(range(a, b + 1))
-                        zh_used.update(range(c, d + 1))
-                        out.add((ref, en, zh))
-            yield pd.DataFrame(sorted(out), columns=["source_ref", "en_no", "zh_no"])
-
-    return lists.mapInPandas(run, "source_ref string, en_no bigint, zh_no bigint")
+    held = held_words(found)
+    words = cut(word_counts(held))
+    often = F.col("df") >= BROADCAST_SHARE * float(sizes.sum())
+    shared = found.sparkSession.sparkContext.broadcast(_frequent(words.where(often)))
+    rare = held.join(words.where(~often), ["en", "gram"]).groupBy("source_ref").agg(F.collect_list(F.struct("en", "gram", "ks", "ns")).alias("rare"))
+    whole = found.join(rare, "source_ref", "left").withColumn("own", _concept())
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = shared.value
+        for batch in batches:
+            out: list[tuple[str, int, int]] = []
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i] for c in batch.schema.names}
+                own, side = row["own"].as_py(), {}
+                for en, s in ((True, "en"), (False, "zh")):
+                    some, ids = row[f"{s}_spans"].as_py(), row[f"{s}_words"].values.to_numpy()
+                    known, counts = frequent[en]
+                    at = np.minimum(np.searchsorted(known, ids), max(len(known) - 1, 0))
+                    hit = known[at] == ids if len(known) else np.zeros(len(ids), bool)
+                    place = np.full(len(ids), -1)
+                    place[hit] = np.arange(hit.sum())
+                    parts = [counts[at[hit]]]
+                    if row["rare"].is_valid:
+                        values = row["rare"].values
+                        mine = values.filter(pa.compute.equal(values.field("en"), en))
+                        order = np.argsort(ids)
+                        place[order[np.searchsorted(ids[order], mine.field("gram").to_numpy())]] = hit.sum() + np.arange(len(mine))
+                        parts.append(_dense(mine.field("ks"), mine.field("ns")))
+                    side[s] = some, _summed(some, place, _vectors(np.concatenate(parts), own, sizes))
+                ref = row["source_ref"].as_py()
+                out += [(ref, *p) for p in sorted(select_spans(scores(side["en"][0], side["zh"][0], side["en"][1], side["zh"][1], threshold)))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["source_ref", "en_no", "zh_no"])
+
+    return whole.mapInArrow(run, "source_ref string, en_no bigint, zh_no bigint")
 
 
 def align(releases: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -354,8 +395,4 @@ def align(releases: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows. With fewer than ``LEAST_PAIRS`` document pairs there is nothing to
     learn from and only shared numbers, dates and refs speak.
     """
-    found = cut(all_spans(paired_documents(releases)))
-    n_pairs = found.select("source_ref").distinct().count()
-    words, vectors = word_vectors(found, n_pairs)
-    left, right = (concept_rows(found.where(F.col("side") == s), words, vectors) for s in ("en", "zh"))
-    return select_spans(scored_spans(left, right), threshold).distinct()
+    return matched(cut(all_spans(paired_documents(releases))), threshold)

@@ -86,6 +86,28 @@ def test_alignment_of_shuffled_and_merged_sentences(spark):
     assert align(df.limit(0)).count() == 0
 
 
+def test_alignment_by_rare_names(spark):
+    """Names that 5 of 1,200 document pairs hold tell two statements of one template apart."""
+    rng = random.Random(9)
+    english = [a + b for a in ("Bram", "Cold", "Dun", "Fen", "Gor", "Hal", "Kes", "Lor", "Mar", "Nor", "Pel", "Ros", "Sel", "Tor", "Vel", "Wes") for b in ("ane", "beck", "croft", "dale", "ek", "ford", "gate", "holm", "ine", "kin", "ley", "mere", "ness", "oak", "pike")]
+    chinese = [chr(0x5000 + 2 * i) + chr(0x7000 + 3 * i) for i in range(len(english))]
+    deck = list(range(len(english))) * 5
+    rng.shuffle(deck)
+    rows, want = [], set()
+    for k, (x, y) in enumerate(zip(deck[::2], deck[1::2])):
+        en = [f"{english[i]} was found guilty of false trading." for i in (x, y)]
+        zh = [f"{chinese[i]}被裁定虛假交易罪名成立。" for i in (y, x)]
+        if x != y:
+            want |= {(f"R{k}", 1, 2), (f"R{k}", 2, 1)}
+        for lang, items in (("EN", en), ("ZH", zh)):
+            rows.append((f"R{k}", lang, "2020", "2020", json.dumps({"html": "<p>" + " ".join(items) + "</p>"})))
+        for lang, other in (("EN", "The hearing is public."), ("ZH", "聆訊公開進行。")):
+            rows.append((f"S{k}", lang, "2020", "2020", json.dumps({"html": f"<p>{other}</p>"})))
+    df = spark.createDataFrame(rows, "source_ref string, language string, modification_time string, fetched_at string, raw_json string")
+    got = {tuple(r) for r in align(df).collect() if r["source_ref"][0] == "R"}
+    assert len(got & want) / len(want) > 0.95 and len(got & want) / len(got) > 0.95
+
+
 TOPICS = {"cats": ["the cat chased a mouse", "a kitten purred softly", "whiskers and paws", "the tabby slept"], "cars": ["the engine needs oil", "a gearbox was replaced", "brakes and tyres", "the sedan was parked"], "food": ["soup was served hot", "bread from the oven", "rice and beans", "the stew simmered"]}
 
 
