@@ -56,10 +56,9 @@ def _folded(names: Column) -> Column:
     return F.pandas_udf(run, "string")(names)
 
 
-def normalize_name(c: Column, ascii_only: bool = False) -> Column:
-    """A name in compatibility form, case-folded, white space made single. Plain ASCII never leaves the JVM when ``ascii_only``."""
-    quick = F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    return quick if ascii_only else _folded(c)
+def normalize_name(c: Column) -> Column:
+    """A name in compatibility form, case-folded, white space made single."""
+    return _folded(c)
 
 
 def title_label(c: Column) -> Column:

@@ -115,9 +115,15 @@ def missing_quotes(spark, sf_dir):
     return joined.select(*KEYS, first_missing_quote(F.col("x"), F.col("text")).alias("quote")).where("quote is not null")
 
 
+def entity_ids_all(spark, sf_dir):
+    rows = table(spark, sf_dir, "entity_register")
+    return rows.select("entity_id", entity_id(F.col("type"), F.col("name"), F.lit("16PR1"), F.lit("mention_1"), normalize_name(F.col("name"))).alias("id"))
+
+
 def entity_ids(spark, sf_dir):
-    rows = table(spark, sf_dir, "entity_register").where(F.col("name").rlike(r"^[\x20-\x7E]+$"))
-    return rows.select("entity_id", entity_id(F.col("type"), F.col("name"), F.lit("16PR1"), F.lit("mention_1"), normalize_name(F.col("name"), ascii_only=True)).alias("id"))
+    """The ids of plain ASCII names, the part of ``entity_ids_all`` that SQL can follow."""
+    plain = table(spark, sf_dir, "entity_register").where(F.col("name").rlike(r"^[\x20-\x7E]+$")).select("entity_id")
+    return entity_ids_all(spark, sf_dir).join(plain.distinct(), "entity_id", "left_semi")
 
 
 def _projected(spark, sf_dir):
@@ -147,7 +153,7 @@ def request_budget(spark, sf_dir):
 
 
 def queries() -> dict:
-    own = (releases_scan, release_versions, links_scan, upsert_releases, html_links, links_replaced, classify_changes, worklist, worklist_skipped, current_extractions, invalid_json, release_text, evidence_repair, evidence_check, validate_rules, missing_quotes, entity_ids, project_nodes, project_links, ordered_merge, request_budget)
+    own = (releases_scan, release_versions, links_scan, upsert_releases, html_links, links_replaced, classify_changes, worklist, worklist_skipped, current_extractions, invalid_json, release_text, evidence_repair, evidence_check, validate_rules, missing_quotes, entity_ids, entity_ids_all, project_nodes, project_links, ordered_merge, request_budget)
     return {f.__name__: f for f in own}
 
 

@@ -1,4 +1,7 @@
+import hashlib
 import json
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +10,7 @@ from strandline.functions.text import plain_text, release_links, title_label
 from strandline.operators import ingest as I
 from strandline.operators.evidence import check_quotes, violations
 from strandline.operators.project import project
+from strandline.plans import pipeline
 from strandline.schema import EXTRACTION
 from strandline.sources.listing import SyncError, Temporary, listed_items, sync, with_retries
 from strandline.streaming.budget import Budget, apply_budget
@@ -72,6 +76,24 @@ def test_projection(spark):
     assert [r["ref"] for r in g.releases.orderBy("release_ord").collect()] == ["25PR1", "24PR1", "23PR1"]
 
 
+def test_entity_ids_of_all_names(spark, tmp_path):
+    names = ["Gaëlle Okoniéré", "Gae\u0308lle Okonie\u0301re\u0301", "Josefine Rozzbürgin", "ＡＢＣ  Fund", "Ａbc fund", "Straße Holding", "STRASSE HOLDING", "Émile\u00a0Zola", "émile Zola", "\u9673大文", "Amy Poe", " Amy Poe"]
+    rows = [(i, t, n) for i, (n, t) in enumerate((n, t) for n in names for t in ("person", "fund", "group"))]
+    spark.createDataFrame(rows, "entity_id long, type string, name string").write.parquet(str(tmp_path / "entity_register.parquet"))
+
+    def brute(kind, name):
+        if kind == "group" or not name[:1].isupper():
+            return "mention:16PR1:mention_1"
+        norm = re.sub(r"\s+", " ", unicodedata.normalize("NFKC", name).casefold()).strip()
+        return f"entity:{kind}:{hashlib.sha256(f'{kind}\0{norm}'.encode()).hexdigest()[:16]}"
+
+    want = {i: brute(t, n) for i, t, n in rows}
+    assert want[0] == want[3] != want[1] and want[9] == want[12]
+    assert {r["entity_id"]: r["id"] for r in pipeline.queries()["entity_ids_all"](spark, str(tmp_path)).collect()} == want
+    plain = {i for i, _, n in rows if n.isascii()}
+    assert {r["entity_id"]: r["id"] for r in pipeline.queries()["entity_ids"](spark, str(tmp_path)).collect()} == {i: want[i] for i in plain}
+
+
 def test_upsert_and_changes(spark):
     old = spark.createDataFrame([("a", "EN", 1), ("b", "EN", 1)], "source_ref string, language string, v int")
     new = spark.createDataFrame([("b", "EN", 2), ("b", "EN", 2), ("c", "EN", 3)], "source_ref string, language string, v int")
