@@ -169,40 +169,36 @@ def _brandes_joined(edges: DataFrame, names: DataFrame) -> DataFrame:
     return total.groupBy("id").agg(F.sum("part").alias("total"))
 
 
-def communities(edges: DataFrame, max_rounds: int = 6, max_levels: int = 3) -> DataFrame:
-    """id, community: Louvain by rounds in which half of the nodes, chosen by a hash, may move to the neighbouring community of greatest gain.
-
-    A move needs a positive gain; of equal gains the smallest community id
-    wins, so the result does not depend on partitioning. A level ends when no
-    node of either half moves or after ``max_rounds``, then communities become nodes. Communities are
-    numbered from 0 by their smallest member.
+def communities(edges: DataFrame) -> DataFrame:
+    """id, community: Louvain by rounds, until no node gains by a move and no level merges anything.
+
+    In a round every node proposes the neighbouring community of greatest gain;
+    of equal gains the smallest community id wins. Half of the moves, chosen by
+    a hash, are made at once; if modularity does not rise by them, which is
+    compared exactly, only moves are made that share no community, whose gains
+    add up. So modularity rises in every round, the loops end, and the result
+    does not depend on partitioning. Communities are numbered from 0 by their
+    smallest member.
     """
     member = cut(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("c", F.col("id")))
-    graph = cut(both_ways(edges).withColumn("w", F.lit(1.0)))
-    two_m = graph.agg(F.sum("w")).first()[0] or 1.0
-    for _ in range(max_levels):
-        strength = cut(graph.groupBy(F.col("src").alias("v")).agg(F.sum("w").alias("k")))
-        label = cut(strength.select("v", "k", F.col("v").alias("c")))
-        moved_any, still = False, 0
-        for r in range(max_rounds):
-            totals = label.groupBy("c").agg(F.sum("k").alias("tot"))
-            other = label.select(F.col("v").alias("dst"), F.col("c").alias("to"))
-            toward = graph.where("src <> dst").join(other, "dst").groupBy(F.col("src").alias("v"), "to").agg(F.sum("w").alias("w"))
-            mine = label.where(F.pmod(F.xxhash64("v", F.lit(r // 2)), F.lit(2)) == r % 2)
-            option = mine.join(toward, "v").join(totals.withColumnRenamed("c", "to").withColumnRenamed("tot", "tot_to"), "to")
-            rest = F.col("tot_to") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(F.lit(0.0))
-            option = option.withColumn("gain", F.col("w") - F.col("k") * rest / F.lit(two_m))
-            home = mine.join(totals, "c").select("v", (-F.col("k") * (F.col("tot") - F.col("k")) / F.lit(two_m)).alias("alone"))
-            best = option.groupBy("v").agg(F.max(F.when(F.col("to") == F.col("c"), F.col("gain"))).alias("stay"), F.min(F.struct((-F.round("gain", 9)).alias("g"), "to")).alias("top"))
-            best = best.join(home, "v").where((-F.col("top.g")) > F.coalesce("stay", "alone") + 1e-9).select("v", F.col("top.to").alias("new"))
-            changed = cut(label.join(best, "v", "left").select("v", "k", F.coalesce("new", "c").alias("c"), F.col("new").isNotNull().alias("moved")))
-            any_moved = not changed.where("moved").isEmpty()
-            label = changed.select("v", "k", "c")
-            moved_any |= any_moved
-            still = 0 if any_moved else still + 1
-            if still == 2:
+    graph = cut(both_ways(edges).withColumn("w", F.lit(1).cast("long")))
+    two_m = graph.agg(F.sum("w")).first()[0] or 1
+    while True:
+        label = cut(graph.groupBy(F.col("src").alias("v")).agg(F.sum("w").alias("k")).withColumn("c", F.col("v")))
+        near, quality = _toward(graph, label, two_m)
+        rounds = 0
+        while True:
+            moves = cut(_moves(label, near, two_m))
+            if moves.isEmpty():
                 break
-        if not moved_any:
+            tried = _moved(label, moves.where(F.pmod(F.xxhash64("v", F.lit(rounds)), F.lit(2)) == 0))
+            near, risen = _toward(graph, tried, two_m)
+            if risen <= quality:
+                tried = _moved(label, _apart(moves))
+                near, risen = _toward(graph, tried, two_m)
+            label, quality = tried, risen
+            rounds += 1
+        if not rounds:
             break
         to = label.select("v", F.col("c").alias("c2"))
         member = cut(member.join(to, F.col("c") == F.col("v")).select("id", F.col("c2").alias("c")))
@@ -211,6 +207,43 @@ def communities(edges: DataFrame, max_rounds: int = 6, max_levels: int = 3) -> D
     return member.join(ordered(first, "first", "community").select("c", "community"), "c").select("id", "community")
 
 
+def _toward(graph: DataFrame, label: DataFrame, two_m: int) -> tuple[DataFrame, int]:
+    """v, to, w: the weight of every node's edges to every community; and the modularity, less what is the same in all rounds, times a constant."""
+    other = label.select(F.col("v").alias("dst"), F.col("c").alias("to"))
+    near = cut(graph.where("src <> dst").join(other, "dst").groupBy(F.col("src").alias("v"), "to").agg(F.sum("w").alias("w")))
+    within = near.join(label, (near["v"] == label["v"]) & (near["to"] == label["c"])).agg(F.sum("w").alias("within"))
+    tot = F.col("tot").cast("decimal(19,0)")
+    squares = label.groupBy("c").agg(F.sum("k").alias("tot")).agg(F.sum(tot * tot).alias("squares"))
+    row = within.crossJoin(squares).first()
+    return near, two_m * (row["within"] or 0) - int(row["squares"] or 0)
+
+
+def _moves(label: DataFrame, near: DataFrame, two_m: int) -> DataFrame:
+    """v, c, new, gain of every node that gains by leaving its community c for the neighbouring one of greatest gain."""
+    totals = label.groupBy("c").agg(F.sum("k").alias("tot"))
+    option = label.join(near, "v").join(totals.select(F.col("c").alias("to"), F.col("tot").alias("tot_to")), "to")
+    rest = F.col("tot_to") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(F.lit(0))
+    option = option.withColumn("gain", F.col("w") - F.col("k") * rest / F.lit(float(two_m)))
+    home = label.join(totals, "c").select("v", "k", "c", (-F.col("k") * (F.col("tot") - F.col("k")) / F.lit(float(two_m))).alias("alone"))
+    best = option.groupBy("v").agg(F.max(F.when(F.col("to") == F.col("c"), F.col("gain"))).alias("stay"), F.min(F.struct((-F.round("gain", 9)).alias("g"), "to")).alias("top"))
+    gain = -F.col("top.g") - F.coalesce("stay", "alone")
+    return best.join(home, "v").select("v", "c", F.col("top.to").alias("new"), gain.alias("gain")).where((F.col("new") != F.col("c")) & (F.col("gain") > 1e-9 * F.greatest(F.lit(1), "k")))
+
+
+def _apart(moves: DataFrame) -> DataFrame:
+    """The moves that are best (then of the smallest node) of all that touch either of their communities; the best of all is one."""
+    moves = moves.withColumn("rank", F.struct(-F.col("gain"), "v"))
+    ends = moves.select(F.explode(F.array("c", "new")).alias("x"), "rank").groupBy("x").agg(F.min("rank").alias("first"))
+    kept = moves
+    for end in ("c", "new"):
+        kept = kept.join(ends.select(F.col("x").alias(end), F.col("first").alias(f"{end}_first")), end).where(F.col("rank") == F.col(f"{end}_first"))
+    return kept.select("v", "new")
+
+
+def _moved(label: DataFrame, moves: DataFrame) -> DataFrame:
+    return cut(label.join(moves.select("v", "new"), "v", "left").select("v", "k", F.coalesce("new", "c").alias("c")))
+
+
 def attach(graph: EvidenceGraph) -> DataFrame:
     """Every node's metrics: id, degree, releaseCount, componentSize, component, pagerank, betweenness, core, community."""
     edges = cut(graph.topology())

@@ -38,6 +38,33 @@ def test_core_and_betweenness_both_ways(spark):
     assert one == two and one["d"] == pytest.approx(12 / 20) and one["a"] == 0
 
 
+def modularity(edges, of):
+    tot, within = {}, 0
+    for a, b in edges:
+        for x in (a, b):
+            tot[of[x]] = tot.get(of[x], 0) + 1
+        within += of[a] == of[b]
+    return within / len(edges) - sum(t * t for t in tot.values()) / (2 * len(edges)) ** 2
+
+
+def test_communities_leave_no_gain(spark):
+    """A long chain needs many levels; cliques in a ring, many rounds."""
+    chain = [(f"p{i:03}", f"p{i + 1:03}") for i in range(80)]
+    ring = [(f"q{k:02}{x}", f"q{k:02}{y}") for k in range(5) for x, y in itertools.combinations("abcd", 2)] + [(f"q{k:02}a", f"q{(k + 1) % 5:02}b") for k in range(5)]
+    edges = chain + ring
+    df = spark.createDataFrame(edges, "a string, b string")
+    of = {r["id"]: r["community"] for r in M.communities(df.repartition(1)).collect()}
+    assert of == {r["id"]: r["community"] for r in M.communities(df.repartition(7)).collect()}
+    assert len({of[x] for x in of if x[0] == "p"} & {of[x] for x in of if x[0] == "q"}) == 0
+    assert all(len({of[f"q{k:02}{x}"] for x in "abcd"}) == 1 for k in range(5))
+    assert modularity(edges, of) > modularity(edges, {x: x for x in of})
+    near = {(of[a], of[b]) for a, b in edges if of[a] != of[b]}
+    for a, b in near:  # no community gains by joining another
+        assert modularity(edges, {x: a if c == b else c for x, c in of.items()}) <= modularity(edges, of) + 1e-12
+    firsts = [min(x for x in of if of[x] == c) for c in range(len(set(of.values())))]
+    assert firsts == sorted(firsts)
+
+
 def test_trace_prefers_first_in_breadth_first_order(spark):
     g = build(spark, [("a", "x"), ("a", "y"), ("y", "t"), ("x", "t")])
     assert [r["id"] for r in Q.trace(g, "a", "t").orderBy("step").collect()] == ["a", "x", "t"]
