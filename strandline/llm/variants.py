@@ -8,8 +8,13 @@ acronyms. With the frequency of each canonical form in the corpus as prior,
 a spelling goes to the form of maximum posterior, or to none.
 
 Spellings are brought to one character form first, then each distinct
-(type, name, aliases) is scored once, against the few candidates that share a
-word, a word within one slip, a pair of joined words, or an acronym.
+(type, name, aliases) is scored once. Candidates are found without loss: which
+words of a name have any word of the spelling to come from gives a floor of
+the name's cost, and every name whose floor is within the limit is scored.
+
+Short forms of given names come from a general list and from the corpus: a
+word that stands in for one given name before otherwise equal names of
+several people is a short form of it.
 """
 
 from __future__ import annotations
@@ -17,7 +22,8 @@ from __future__ import annotations
 import math
 import re
 import unicodedata as ud
-from collections import defaultdict
+import uuid
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -29,18 +35,20 @@ from strandline.llm.normalize import normalize_columns
 from strandline.operators.skew import lookup_join
 from strandline.session import cut
 
-#: Short forms of given names.
+#: Usual English short forms of given names; those of a corpus are learned beside them.
 NICKNAMES = {
-    "andrew": "andy drew", "anthony": "tony ant", "benjamin": "ben benny benji", "christopher": "chris kit topher", "dorothee": "dot dottie dora dolly thea",
-    "edward": "ed eddie ned ted teddy", "elizabeth": "liz lizzie beth betty eliza libby lisa", "frederick": "fred freddie freddy rick", "gaelle": "gail gae",
-    "gregory": "greg", "harold": "harry hal", "isabella": "bella izzy isa belle", "james": "jim jimmy jamie", "josefine": "josie jo fina",
-    "katherine": "kate kathy katie kat kitty kay", "lawrence": "larry laurie lawrie", "margaret": "maggie meg peggy marge greta", "nicholas": "nick nicky",
-    "oscar": "ozzie oz", "patricia": "pat patty trish tricia", "quentin": "quin quent", "robert": "rob bob bobby robbie bert", "susan": "sue susie suzy",
-    "thomas": "tom tommy", "ursula": "ursa ulla", "victoria": "vicky vicki tori vic", "walter": "walt wally", "william": "will bill billy liam",
-    "yolanda": "yoli yola landa", "zoe": "zo", "alexander": "alex sandy", "charles": "charlie chuck", "daniel": "dan danny", "david": "dave", "joseph": "joe",
-    "john": "jack johnny", "jonathan": "jon", "matthew": "matt", "michael": "mike mick", "peter": "pete", "philip": "phil", "richard": "rick dick richie",
-    "samuel": "sam", "stephen": "steve", "timothy": "tim", "rebecca": "becky", "deborah": "debbie", "jennifer": "jen jenny", "catherine": "cathy cate", "helen": "nell", "barbara": "barb", "theodore": "ted theo",
+    "albert": "al bert bertie", "alexander": "alec alex sandy", "alfred": "alf alfie fred", "andrew": "andy drew", "anthony": "tony", "arthur": "art artie", "barbara": "babs barb",
+    "benjamin": "ben benny", "catherine": "cate cathy kate", "charles": "charlie chuck", "christine": "chris chrissie tina", "christopher": "chris kit", "daniel": "dan danny", "david": "dave davy",
+    "deborah": "deb debbie", "donald": "don donny", "dorothy": "dolly dora dot dottie", "edward": "ed eddie ned ted teddy", "eleanor": "ella nell nellie nora", "elizabeth": "bess beth betsy betty eliza libby lisa liz lizzie",
+    "frances": "fanny fran", "francis": "frank", "frederick": "fred freddie freddy", "gerald": "gerry jerry", "gregory": "greg", "harold": "hal harry", "henry": "hal hank harry", "isabella": "bella izzy", "jacob": "jack jake",
+    "james": "jamie jim jimmy", "jennifer": "jen jenny", "john": "jack johnny", "jonathan": "jon", "joseph": "joe joey", "josephine": "jo josie", "katherine": "kate kathy katie kitty", "kenneth": "ken kenny",
+    "lawrence": "larry laurie", "leonard": "len lenny leo", "margaret": "maggie marge meg peg peggy", "martha": "marty patty", "mary": "molly polly", "matthew": "matt", "michael": "mick mike", "nathaniel": "nat nate",
+    "nicholas": "nick nicky", "pamela": "pam", "patricia": "pat patty tricia trish", "patrick": "paddy pat", "peter": "pete", "philip": "phil", "raymond": "ray", "rebecca": "becca becky", "richard": "dick rich richie rick",
+    "robert": "bob bobby rob robbie", "ronald": "ron ronnie", "samuel": "sam sammy", "sarah": "sadie sally", "stephen": "steve", "susan": "sue susie", "theodore": "ted teddy theo", "theresa": "terry tess",
+    "thomas": "tom tommy", "timothy": "tim", "victoria": "tori vicky", "vincent": "vin vince vinny", "walter": "wally walt", "william": "bill billy liam will willie",
 }
+#: A short form is learned if chance would give any word of the register so many names to stand in for less often than this.
+CHANCE = 0.01
 #: Words before or after a person's name, and words an organisation's name may do without.
 TITLES = frozenset("mr mrs ms miss dr prof sir madam the jr sr".split())
 FORMS = {"limited": "limited", "ltd": "limited", "plc": "plc", "group": "group", "grp": "group", "co": "company", "company": "company", "asia": "asia", "inc": "inc", "llc": "llc"}
@@ -101,26 +109,44 @@ def is_abbreviation(short: str, word: str) -> bool:
     return len(short) >= 3 and all(c in rest for c in short) and (sum(c in "aeiou" for c in short[1:]) == 0 or short[-1] == word[-1])
 
 
-@lru_cache(maxsize=200_000)
-def relation(seen: str, word: str, person: bool) -> float:
-    """Cost of writing ``word`` as ``seen``; inf where they have nothing in common."""
-    if seen == word:
-        return 0.0
-    if not person and FORMS.get(seen, seen) == FORMS.get(word, word):
-        return COST["form"]
-    if person and len(seen) == 1 and word[0] == seen:
-        return COST["initial"]
-    if person and (seen in NICKNAMES.get(word, "").split() or word in NICKNAMES.get(seen, "").split() or (len(seen) >= 3 and word.startswith(seen) and len(word) - len(seen) >= 2)):
-        return COST["nickname"]
-    if not person and is_abbreviation(seen, word):
-        return COST["abbreviation"]
-    if min(len(seen), len(word)) >= 3:
-        d = slips(seen, word)
-        if d == 1:
-            return COST["slip"] if len(word) >= 4 else COST["short_slip"]
-        if d == 2 and min(len(seen), len(word)) >= 7:
-            return COST["two_slips"]
-    return math.inf
+class Words:
+    """How a word of a name may have been written: costs of pairs of words, remembered. ``shorts``: short forms of each given name."""
+
+    def __init__(self, shorts: dict[str, frozenset[str]]):
+        self.shorts = shorts
+        self.known: dict[tuple[str, str, bool], float] = {}
+
+    def relation(self, seen: str, word: str, person: bool) -> float:
+        """Cost of writing ``word`` as ``seen``; inf where they have nothing in common."""
+        at = (seen, word, person)
+        cost = self.known.get(at)
+        if cost is None:
+            if len(self.known) > 500_000:
+                self.known.clear()
+            cost = self.known[at] = self._relation(seen, word, person)
+        return cost
+
+    def _relation(self, seen: str, word: str, person: bool) -> float:
+        if seen == word:
+            return 0.0
+        if not person and FORMS.get(seen, seen) == FORMS.get(word, word):
+            return COST["form"]
+        if person and len(seen) == 1 and word[0] == seen:
+            return COST["initial"]
+        if person and (seen in self.of(word) or word in self.of(seen) or (len(seen) >= 3 and word.startswith(seen) and len(word) - len(seen) >= 2)):
+            return COST["nickname"]
+        if not person and is_abbreviation(seen, word):
+            return COST["abbreviation"]
+        if min(len(seen), len(word)) >= 3:
+            d = slips(seen, word)
+            if d == 1:
+                return COST["slip"] if len(word) >= 4 else COST["short_slip"]
+            if d == 2 and min(len(seen), len(word)) >= 7:
+                return COST["two_slips"]
+        return math.inf
+
+    def of(self, word: str) -> frozenset[str]:
+        return self.shorts.get(word, frozenset())
 
 
 def _order_cost(order: list[int], person: bool) -> float:
@@ -130,7 +156,7 @@ def _order_cost(order: list[int], person: bool) -> float:
     return COST["turned"] if order[k:] + order[:k] == sorted(order) else COST["reordered_person" if person else "reordered"]
 
 
-def channel(seen: list[str], name: list[str], person: bool) -> float:
+def channel(seen: list[str], name: list[str], person: bool, words_: Words) -> float:
     """Cost of the register name (as words) having become the words seen."""
     if not seen:
         return CAP
@@ -141,7 +167,7 @@ def channel(seen: list[str], name: list[str], person: bool) -> float:
             for letters in (content, core, [w for w in name]):
                 if len(letters) >= 2 and seen[0] == "".join(w[0] for w in letters):
                     return COST["acronym"]
-    edges = sorted((c, j, i) for i, s in enumerate(seen) for j, w in enumerate(name) if (c := relation(s, w, person)) < math.inf)
+    edges = sorted((c, j, i) for i, s in enumerate(seen) for j, w in enumerate(name) if (c := words_.relation(s, w, person)) < math.inf)
     by_seen: dict[int, int] = {}
     by_name: dict[int, int] = {}
     cost = 0.0
@@ -177,9 +203,9 @@ def channel(seen: list[str], name: list[str], person: bool) -> float:
     if person:
         western = len(name) == 3 and 1 not in by_name and 0 in by_name and 2 in by_name
         cost += sum(1.5 if western else CAP for w in missing)
-        cost += sum(0.2 if s in TITLES else 0.5 if s in _nicknames_of(name) else 3.0 for s in extra)
+        cost += sum(0.2 if s in TITLES else 0.5 if any(s in words_.of(w) for w in name) else 3.0 for s in extra)
         # Someone must be named by more than initials and short forms alone.
-        if not any(len(seen[i]) > 1 and seen[i] not in NICKNAMES.get(name[j], "").split() for i, j in by_seen.items()):
+        if not any(len(seen[i]) > 1 and seen[i] not in words_.of(name[j]) for i, j in by_seen.items()):
             cost += 4.0
     else:
         core = [j for j, w in enumerate(name) if w not in DROPPABLE and w not in SMALL]
@@ -193,60 +219,106 @@ def channel(seen: list[str], name: list[str], person: bool) -> float:
     return min(CAP, cost + _order_cost(order, person))
 
 
-def _nicknames_of(name: list[str]) -> set[str]:
-    return {n for w in name for n in NICKNAMES.get(w, "").split()}
-
-
-def _deletes(word: str) -> set[str]:
-    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))} if len(word) >= 3 else {word}
+def _deletes(word: str, most: int = 1) -> set[str]:
+    """The word without up to ``most`` of its letters: two words within as many slips share one of these."""
+    out = {word}
+    for _ in range(most if len(word) >= 3 else 0):
+        out |= {w[:i] + w[i + 1 :] for w in out for i in range(len(w))}
+    return out
 
 
 class Register:
-    """The canonical names of one register with the indexes that find candidates."""
-
-    def __init__(self, rows: Iterable[tuple[int, str, str, int]]):
-        self.names: dict[int, tuple[str, list[str], bool, float]] = {}
-        self.index: dict[tuple[str, str], set[int]] = defaultdict(set)
+    """The canonical names of one register with the indexes that find candidates. Rows: entity, type, name, count in the corpus."""
+
+    def __init__(self, rows: Iterable[tuple[int, str, str, int]], shorts: dict[str, frozenset[str]]):
+        self.words = Words(shorts)
+        self.names: list[tuple[int, list[str], bool, float]] = []
+        self.places: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)  # (type, word) -> names and positions
+        self.pairs: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)  # two words written as one
+        self.letters: dict[tuple[str, str], set[int]] = defaultdict(set)  # acronyms
+        self.near: dict[tuple[str, str], set[str]] = defaultdict(set)  # words by a key that related words share
+        self.found: dict[tuple[str, str], list[tuple[str, float]]] = {}
         for entity, kind, name, count in rows:
-            ws, person = words(name), kind == "person"
-            self.names[entity] = (kind, ws, person, PRIOR_WEIGHT * math.log1p(count))
-            keys = set()
-            for w in ws:
-                keys |= _deletes(w)
-            for a, b in zip(ws, ws[1:]):
-                keys |= _deletes(a + b)
+            ws, person, n = words(name), kind == "person", len(self.names)
+            self.names.append((entity, ws, person, PRIOR_WEIGHT * math.log1p(count)))
+            for j, w in enumerate(ws):
+                self.places[kind, w].append((n, j))
+                for k in self._keys(w, person):
+                    self.near[kind, k].add(w)
+                for short in shorts.get(w, ()):
+                    self.near[kind, short].add(w)
+            for j, (a, b) in enumerate(zip(ws, ws[1:])):
+                for k in _deletes(a + b):
+                    self.pairs[kind, k].append((n, j))
             if not person:
                 content = [w for w in ws if w not in SMALL]
-                for letters in (ws, content, [w for w in content if w not in DROPPABLE]):
-                    if len(letters) > 1:
-                        keys.add("".join(w[0] for w in letters))
-            for k in keys:
-                self.index[kind, k].add(entity)
-        self.rare = max(30, len(self.names) // 20)
+                for part in (ws, content, [w for w in content if w not in DROPPABLE]):
+                    if len(part) > 1:
+                        self.letters[kind, "".join(w[0] for w in part)].add(n)
+
+    def _keys(self, word: str, person: bool) -> set[str]:
+        """Keys of which a word shares one with every word it is related to (but for short forms)."""
+        keys = _deletes(word, 2 if len(word) >= 7 else 1)
+        keys.add("=" + FORMS.get(word, word))
+        keys.add("^" + word[0])
+        return keys
+
+    def related(self, kind: str, seen: str) -> list[tuple[str, float]]:
+        """All words of the register that ``seen`` may be written for, with the cost."""
+        at = (kind, seen)
+        if at not in self.found:
+            if len(self.found) > 200_000:
+                self.found.clear()
+            person = kind == "person"
+            near: set[str] = set()
+            for k in self._keys(seen, person) | self.words.of(seen):
+                near |= self.near.get((kind, k), set())
+            self.found[at] = [(w, c) for w in near if (c := self.words.relation(seen, w, person)) < math.inf]
+        return self.found[at]
 
     def candidates(self, kind: str, seen: list[str]) -> set[int]:
-        rare: set[int] = set()
-        common: set[int] = set()
-        for w in {*seen, *(a + b for a, b in zip(seen, seen[1:]))}:
-            if len(w) > 1:
-                hits = set().union(*(self.index.get((kind, k), ()) for k in _deletes(w)))
-                if len(hits) <= self.rare:
-                    rare |= hits
-                else:
-                    common |= hits
-        # A name none of whose rarer words is seen is too far away already.
-        return rare or common
+        """Every name that can have become the words seen at a cost of at most ``LIMIT``."""
+        if not seen:
+            return set()
+        ways: dict[int, dict[int, float]] = defaultdict(dict)
+        for s in set(seen):
+            for w, c in self.related(kind, s):
+                for n, j in self.places[kind, w]:
+                    if c < ways[n].get(j, math.inf):
+                        ways[n][j] = c
+            for k in _deletes(s):
+                for n, j in self.pairs.get((kind, k), ()):
+                    ways[n][j] = ways[n][j + 1] = 0.0
+        for a, b in zip(seen, seen[1:]):
+            for n, j in self.places.get((kind, a + b), ()):
+                ways[n][j] = 0.0
+        out = {n for n, costs in ways.items() if self._floor(n, costs) <= LIMIT}
+        return out | self.letters.get((kind, seen[0]), set()) if len(seen) == 1 else out
+
+    def _floor(self, n: int, costs: dict[int, float]) -> float:
+        """No less than this does it cost, if each word comes from its cheapest source and words without one are lost."""
+        _, name, person, _ = self.names[n]
+        low = sum(costs.values())
+        if person:
+            lost = [j for j in range(len(name)) if j not in costs]
+            return low if not lost else low + 1.5 if lost == [1] and len(name) == 3 else CAP
+        core = [j for j, w in enumerate(name) if w not in DROPPABLE and w not in SMALL]
+        lost = [i for i, j in enumerate(core) if j not in costs]
+        return low + (0.0 if not lost else COST["head"] if lost[0] >= 2 else 4.0 * len(lost))
 
     def attach(self, kind: str, name: str, aliases: list[str], count: int) -> int | None:
         """The entity of maximum posterior, or None."""
         forms = [words(name)] + [w for a in aliases if a and (w := words(a))]
         found: set[int] = set()
-        for f in forms:
+        for f in forms:  # within the limit over all forms, a name is so for one of them
             found |= self.candidates(kind, f)
+        return self.best(forms, found, count)
+
+    def best(self, forms: list[list[str]], found: Iterable[int], count: int) -> int | None:
         scored = []
-        for entity in found:
-            _, ws, person, prior = self.names[entity]
-            cost = sum(min(channel(f, ws, person), LIMIT if i else CAP) for i, f in enumerate(forms))
+        for n in found:
+            entity, ws, person, prior = self.names[n]
+            cost = sum(min(channel(f, ws, person, self.words), LIMIT if i else CAP) for i, f in enumerate(forms))
             if cost <= LIMIT * len(forms):
                 scored.append((prior - cost, entity))
         scored.sort(reverse=True)
@@ -259,6 +331,65 @@ class Register:
         return entity
 
 
+def _rests(ws: list[str]) -> list[tuple[str, str]]:
+    """(the other words in order, word) for every word of a person's name."""
+    return [(" ".join(sorted(ws[:i] + ws[i + 1 :])), w) for i, w in enumerate(ws)]
+
+
+def short_forms(spelled: DataFrame, persons: list[str]) -> dict[str, frozenset[str]]:
+    """Short forms of each given name: the general list, and what the corpus shows.
+
+    A word that no name of the register holds, and that stands where the other
+    words are those of names, may be a short form of the word it replaces, if
+    that is a given name (the first word), it is shorter, begins with the same
+    two letters and is no slip of it. The more often that word is among the
+    replaced ones, against its part of the register, the surer: the Chernoff
+    bound of so many by chance, for any word, must be below ``CHANCE``. All
+    spellings are counted, on the map side; pairs that pass reach the driver,
+    which are fewer than the pairs of a word and a name of the register.
+    """
+    spark = spelled.sparkSession
+    listed = {w for p in persons for w in words(p)}
+    # A name's other words, and without its middle one.
+    named = sorted({(rest, ws[0]) for ws in map(words, persons) if len(ws) > 1 for rest in ({" ".join(sorted(ws[1:]))} | ({ws[2]} if len(ws) == 3 else set()))})
+    out: dict[str, set[str]] = {w: set(n.split()) for w, n in NICKNAMES.items()}
+    if not named:
+        return {w: frozenset(n) for w, n in out.items()}
+    rests = len({rest for rest, _ in named})
+    usual = Counter(w for _, w in named)
+    listed_words = spark.sparkContext.broadcast(listed)
+
+    def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = {(rest, w) for name in part["name"] for rest, w in _rests(words(name)) if rest and len(w) > 1 and w not in listed_words.value and w not in TITLES}
+            yield pd.DataFrame(sorted(rows), columns=["rest", "short"])
+
+    seen = spelled.where(F.col("type") == "person").select("name").mapInPandas(run, "rest string, short string").distinct()
+    known = F.broadcast(spark.createDataFrame([(rest, w, usual[w] / rests) for rest, w in named], "rest string, word string, part double"))  # as bounded as the register
+    places = seen.join(F.broadcast(known.select("rest").distinct()), "rest", "left_semi").groupBy("short").agg(F.count(F.lit(1)).alias("of"))
+    pairs = seen.join(known, "rest").groupBy("short", "word", "part").agg(F.count(F.lit(1)).alias("n")).join(places, "short")
+    share = F.col("n") / F.col("of")
+    other = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - F.col("part")))).otherwise(F.lit(0.0))
+    alike = (F.substring("short", 1, 2) == F.substring("word", 1, 2)) & (F.length("short") < F.length("word"))
+    kept = pairs.where(alike & (share > F.col("part")) & (F.lit(len(usual)) * F.exp(-F.col("of") * (share * F.log(share / F.col("part")) + other)) < CHANCE))
+    plain = Words({})
+    for r in kept.select("short", "word").collect():
+        if math.isinf(plain.relation(r["short"], r["word"], True)):
+            out.setdefault(r["word"], set()).add(r["short"])
+    return {w: frozenset(n) for w, n in out.items()}
+
+
+_registers: dict[str, Register] = {}
+
+
+def _register(name: str, *parts) -> Register:
+    """The register of one run, built once per worker."""
+    if name not in _registers:
+        _registers.clear()
+        _registers[name] = Register(*parts)
+    return _registers[name]
+
+
 def attach_variants(mentions: DataFrame, register: DataFrame, max_register: int = 200_000) -> DataFrame:
     """(mention_id, entity_id) of mentions of an entity of ``register`` under another spelling.
 
@@ -284,10 +415,11 @@ def attach_variants(mentions: DataFrame, register: DataFrame, max_register: int
     if counts is None:
         raise ValueError(f"the register has more than {max_register} names")
     entries = [(r["entity_id"], r["type"], r["name"], int(counts.get(r["entity_id"], 0))) for r in known.orderBy("entity_id").collect()]
-    shared = spark.sparkContext.broadcast(entries)
+    shorts = short_forms(spelled, [name for _, kind, name, _ in entries if kind == "person"])
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, entries, shorts))
 
     def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reg = Register(shared.value)
+        reg = _register(*shared.value)
         for part in parts:
             found = [reg.attach(k, n, list(a), c) for k, n, a, c in zip(part["type"], part["name"], part["aliases"], part["n"])]
             part["entity_id"] = pd.array(found, dtype="Int64")

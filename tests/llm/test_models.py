@@ -6,7 +6,7 @@ import pytest
 from strandline.llm.bitext import align, anchors_en, anchors_zh, sentences_en, sentences_zh
 from strandline.llm.mixing import capped_mean, mean_for_rate, mix, poisson_steps, replicate
 from strandline.llm.subjects import assign, composition, sentences, train
-from strandline.llm.variants import attach_variants
+from strandline.llm.variants import NICKNAMES, Register, attach_variants, channel, short_forms, words
 
 
 def test_poisson_inversion():
@@ -51,6 +51,48 @@ def test_variants(spark):
     assert attach_variants(df.limit(0), register).count() == 0 and attach_variants(df, register.limit(0)).count() == 0
 
 
+def test_candidates_lose_no_name():
+    """Against scoring every name of the register, on spellings made by random slips, cuts and changes of order."""
+    rng = random.Random(11)
+    given, family, lead, trade = ["Edward", "Amelia", "Bartholomew", "Josephine"], ["Monkrey", "Huldstrand", "Tarvelle", "Monkray"], ["Anchor", "Glacier", "Citadel"], ["Capital Management", "Futures", "Securities Investment", "Income"]
+    rows = [(i, "person", f"{g} {m}{f}", i % 7) for i, (g, m, f) in enumerate((g, m, f) for g in given for m in ("", "Ellis ") for f in family)]
+    rows += [(100 + i, "organization", f"{a} {b}{t} {x}", i % 5) for i, (a, b, t, x) in enumerate((a, b, t, x) for a in lead for b in ("", "Szekvane ") for t in trade for x in ("Limited", "Group Plc", "(Asia) Limited"))]
+    reg = Register(rows, {w: frozenset(n.split()) for w, n in NICKNAMES.items()})
+
+    def changed(name):
+        ws = name.split()
+        for _ in range(rng.randint(1, 3)):
+            i = rng.randrange(len(ws))
+            k = rng.randrange(len(ws[i]) or 1)
+            ws[i] = rng.choice([ws[i][:k] + ws[i][k + 1 :], ws[i][:k] + "x" + ws[i][k:], ws[i][:1], ws[i][:4], "".join(c for c in ws[i] if c not in "aeiou"), "", ws[i]]) or "x"
+            if rng.random() < 0.3:
+                ws = ws[1:] + ws[:1]
+            if rng.random() < 0.2 and len(ws) > 1:
+                ws = [ws[0] + ws[1], *ws[2:]]
+            if rng.random() < 0.2:
+                ws.pop()
+            ws = ws or ["x"]
+        return " ".join(ws)
+
+    near = 0
+    for _ in range(1500):
+        _, kind, name, _ = rng.choice(rows)
+        form = words(changed(name))
+        within = {n for n, (e, ws, person, _) in enumerate(reg.names) if (e < 100) == (kind == "person") and channel(form, ws, person, reg.words) <= 5.5}
+        near += len(within)
+        assert within <= reg.candidates(kind, form)
+    assert near > 1000
+
+
+def test_short_forms_are_learned(spark):
+    family = [a + b for a in ("Monk", "Huld", "Tarv", "Drus", "Zwan", "Kess") for b in ("rey", "strand", "elle", "osz")]
+    persons = [f"{('Yolanda', 'Quentin', 'Andrew', 'Oscar')[i % 4]} {f}" for i, f in enumerate(family)]
+    rows = [("person", f"Yoli {f}") for f in family[::4]] + [("person", f"{family[1]}, Qunt")] + [("person", f"Grace {f}") for f in family] + [("organization", "Yoli Ltd"), ("person", ""), ("person", "x")]
+    got = short_forms(spark.createDataFrame(rows, "type string, name string"), persons)
+    assert got["yolanda"] == {"yoli"} and not {"quentin", "oscar"} & got.keys() and "andy" in got["andrew"]
+    assert short_forms(spark.createDataFrame([], "type string, name string"), persons).keys() == short_forms(spark.createDataFrame(rows, "type string, name string"), []).keys()
+
+
 EN = ["{a} was released on bail of ${n} million.", "The accounts of {n} clients were frozen on {d} May 20{y}.", "Auditors could not verify ${n},000 of receivables.", "The appeal by {a} was dismissed by the court.", "No identity check was made on {n}.5% of the new accounts.", "The case was adjourned to {d} June 20{y} for plea."]
 ZH = ["{z}獲准以{n}00萬元保釋。", "{n}個客戶帳戶在20{y}年5月{d}日被凍結。", "核數師未能核實{n},000元的應收帳款。", "法院駁回{z}的上訴。", "在新開立的帳戶當中，有{n}.5%未經身分核實。", "案件押後至20{y}年6月{d}日答辯。"]
 
