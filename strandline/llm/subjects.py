@@ -8,10 +8,11 @@ Titles and descriptions of the areas are weakly labelled sentences too. A
 document gets an area if enough of its sentences are about it; how much is
 enough is calibrated on labelled documents held out of the fit.
 
-The fit is made on the driver, on the hashed n-grams of at most
-``MAX_TRAIN_DOCS`` documents (whole texts): labelled ones chosen by a hash of
-the id and, where they don't fill the sample, unlabelled ones that take the
-labels the first fit gives them. All documents are classified where they lie, whole and without a shuffle.
+The fit is made on the driver, on the hashed n-grams of labelled documents
+(whole texts) chosen by a hash of their id: at most about ``MAX_TRAIN_DOCS``
+of them, and of at most ``MAX_TRAIN_SENTENCES`` sentences. It is the same fit
+at every size. All documents are classified where they lie, whole and without
+a shuffle.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 import re
 import unicodedata as ud
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,16 +28,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the fit: labelled documents, sentences taken from them in all, and the width of the hash.
+from strandline.session import cut
+
+#: Bounds of the fit: labelled documents, their sentences in all, and the width of the hash.
 MAX_TRAIN_DOCS = 4_000
-MAX_TRAIN_SENTENCES = 60_000
+MAX_TRAIN_SENTENCES = 120_000
 WIDTH = 1 << 17
 ROUNDS = 4
 STEPS = 12
-SELF_ROUNDS = 2  # of self-training on unlabelled documents, where the sample has room for them
-GUESS_SHARE = 0.5  # of an unlabelled document's sentences, to count as labelled in self-training
 HOLD_OUT = 5  # every fifth labelled document calibrates
-SHARE = 0.25  # of a document's sentences, where calibration has too little to go by
+SHARE = 0.25  # of a document's sentences makes an area, before calibration
+PRIOR_CASES = 50  # held-out cases that SHARE counts as much as
 
 _TAG = re.compile(r"<(?:style|script)\b.*?</(?:style|script)\s*>|<!--.*?-->|<[a-zA-Z/][^<>]*>", re.S | re.I)
 _ENTITY = re.compile(r"&(?:nbsp|amp|lt|gt|quot|#\d+|#x[0-9a-fA-F]+);")
@@ -85,6 +87,29 @@ def features(sentence: str) -> list[int]:
     return sorted(out)
 
 
+@dataclass
+class Grams:
+    """The n-grams of some sentences one after another, and how many each has."""
+
+    flat: np.ndarray
+    lengths: np.ndarray
+
+    @staticmethod
+    def of(lists: Iterable[Sequence[int]]) -> Grams:
+        lists = [np.asarray(g, dtype=np.int32) for g in lists]
+        return Grams(np.concatenate(lists) if lists else np.zeros(0, np.int32), np.array([len(g) for g in lists], dtype=np.int64))
+
+    @staticmethod
+    def joined(parts: Sequence[Grams]) -> Grams:
+        return Grams(np.concatenate([p.flat for p in parts] or [np.zeros(0, np.int32)]), np.concatenate([p.lengths for p in parts] or [np.zeros(0, np.int64)]))
+
+    def blocks(self, size: int = 8_192) -> Iterator[tuple[slice, Grams]]:
+        ends = np.concatenate(([0], np.cumsum(self.lengths)))
+        for i in range(0, len(self.lengths), size):
+            j = min(i + size, len(self.lengths))
+            yield slice(i, j), Grams(self.flat[ends[i] : ends[j]], self.lengths[i:j])
+
+
 @dataclass
 class Model:
     subjects: list[str]
@@ -92,91 +117,80 @@ class Model:
     bias: np.ndarray
     shares: np.ndarray  # share of a document's sentences that makes an area
 
-    def scores(self, grams: list[list[int]]) -> np.ndarray:
+    def scores(self, grams: Grams) -> np.ndarray:
         """Log-odds of every area for each sentence."""
-        lengths = np.array([len(g) for g in grams])
-        out = np.tile(self.bias, (len(grams), 1))
-        flat = np.array([f for g in grams for f in g], dtype=np.int64)
-        if len(flat):
-            full = np.flatnonzero(lengths)
-            starts = np.concatenate(([0], np.cumsum(lengths[full])[:-1]))
-            out[full] += np.add.reduceat(self.weights[flat], starts, axis=0) / np.sqrt(lengths[full])[:, None]
+        out = np.tile(self.bias, (len(grams.lengths), 1))
+        for rows, part in grams.blocks():
+            full = np.flatnonzero(part.lengths)
+            if len(full):
+                starts = np.concatenate(([0], np.cumsum(part.lengths[full])[:-1]))
+                out[rows][full] += np.add.reduceat(self.weights[part.flat], starts, axis=0) / np.sqrt(part.lengths[full])[:, None]
         return out
 
-    def about(self, grams: list[list[int]]) -> np.ndarray:
+    def about(self, grams: Grams) -> np.ndarray:
         """The area each sentence is about, -1 for none."""
         s = self.scores(grams)
-        best = s.argmax(axis=1)
+        best = s.argmax(axis=1) if s.size else np.zeros(0, np.int64)
         return np.where(s[np.arange(len(s)), best] > 0, best, -1)
 
 
-def _fit(rows: list[np.ndarray], targets: np.ndarray, use: np.ndarray, start: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
-    """One-versus-rest logistic regression by Adagrad on the whole batch. ``use`` is 0 where a sentence says nothing of an area."""
-    lengths = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows)
-    owner = np.repeat(np.arange(len(rows)), lengths)
-    value = (1 / np.sqrt(lengths))[:, None].astype(np.float32)
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    order = np.argsort(flat, kind="stable")
-    active, first = np.unique(flat[order], return_index=True)
-    by_feature = owner[order]
-    place = np.searchsorted(active, flat)
-    n_areas = targets.shape[1]
-    w, b = (np.zeros((len(active), n_areas), np.float32), np.full(n_areas, -2.0, np.float32)) if start is None else (start[0][active], start[1].copy())
+class _Block:
+    """Some sentences made ready for steps of the fit: their n-grams' places among the active ones, by sentence and by n-gram."""
+
+    def __init__(self, grams: Grams, active: np.ndarray):
+        self.place = np.searchsorted(active, grams.flat).astype(np.int32)
+        self.starts = np.concatenate(([0], np.cumsum(grams.lengths)[:-1]))
+        self.value = (1 / np.sqrt(grams.lengths))[:, None].astype(np.float32)
+        order = np.argsort(self.place, kind="stable")
+        self.owner = np.repeat(np.arange(len(grams.lengths), dtype=np.int32), grams.lengths)[order]
+        self.held, self.first = np.unique(self.place[order], return_index=True)
+
+
+def _fit(blocks: list[tuple[slice, _Block]], targets: np.ndarray, use: np.ndarray, w: np.ndarray, b: np.ndarray) -> None:
+    """One-versus-rest logistic regression by Adagrad on the whole batch, in place. ``use`` is 0 where a sentence says nothing of an area."""
     g2, h2 = np.full_like(w, 1e-8), np.full_like(b, 1e-8)
-    weight = use.astype(np.float32)
     for _ in range(STEPS):
-        logits = np.add.reduceat(w[place], starts, axis=0) * value + b
-        error = (1 / (1 + np.exp(-logits)) - targets) * weight
-        grad = np.add.reduceat((error * value)[by_feature], first, axis=0) + 1e-3 * w
+        grad, slope = 1e-3 * w, np.zeros_like(b)
+        for rows, block in blocks:
+            logits = np.add.reduceat(w[block.place], block.starts, axis=0) * block.value + b
+            error = (1 / (1 + np.exp(-logits)) - targets[rows]) * use[rows]
+            grad[block.held] += np.add.reduceat((error * block.value)[block.owner], block.first, axis=0)
+            slope += error.sum(axis=0)
         g2 += grad**2
         w -= 0.7 * grad / np.sqrt(g2)
-        slope = error.sum(axis=0)
         h2 += slope**2
         b -= 0.3 * slope / np.sqrt(h2)
-    full = np.zeros((WIDTH, n_areas), np.float32)
-    full[active] = w
-    return full, b
 
 
-def fit(docs: list[tuple[list[list[int]], set[int]]], areas: list[tuple[str, list[list[int]]]], unlabelled: list[list[list[int]]] = ()) -> Model:
-    """Fit on documents (n-grams of each sentence, areas), on each area's own description, and by self-training on unlabelled documents."""
+def fit(docs: list[tuple[Grams, set[int]]], areas: list[tuple[str, Grams]]) -> Model:
+    """Fit on documents (n-grams of each sentence, areas) and on each area's own description; every fifth document is held out for the thresholds."""
     subjects = [s for s, _ in areas]
     n = len(subjects)
-    few = len(docs) < 40
-    train = docs if few else [d for i, d in enumerate(docs) if i % HOLD_OUT]
-    held = docs if few else [d for i, d in enumerate(docs) if not i % HOLD_OUT]
-    model = Model(subjects, *_learn(train, areas, n), np.full(n, SHARE))
-    for _ in range(SELF_ROUNDS if unlabelled else 0):
-        guessed = [(g, set(np.flatnonzero(shares_of(model, g) >= GUESS_SHARE).tolist())) for g in unlabelled]
-        model = Model(subjects, *_learn([*train, *(d for d in guessed if d[1])], areas, n), np.full(n, SHARE))
-    model.shares = _calibrate(model, held, n)
+    model = Model(subjects, *_learn([d for i, d in enumerate(docs) if (i + 1) % HOLD_OUT], areas, n), np.full(n, SHARE))
+    model.shares = _calibrate(model, [d for i, d in enumerate(docs) if not (i + 1) % HOLD_OUT], n)
     return model
 
 
-def _learn(train: list[tuple[list[list[int]], set[int]]], areas: list[tuple[str, list[list[int]]]], n: int) -> tuple[np.ndarray, np.ndarray]:
+def _learn(train: list[tuple[Grams, set[int]]], areas: list[tuple[str, Grams]], n: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights and bias, by fitting and giving sentences to areas in turn."""
-    rows, labels = [], []
-    for a, (_, grams) in enumerate(areas):
-        for g in grams:
-            if g:
-                rows.append(np.array(g, dtype=np.int64))
-                labels.append([float(x == a) for x in range(n)])
-    for grams, own in train:
-        for g in grams:
-            if g and len(rows) < MAX_TRAIN_SENTENCES:
-                rows.append(np.array(g, dtype=np.int64))
-                labels.append([float(a in own) for a in range(n)])
-    if not rows:
-        return np.zeros((WIDTH, n), np.float32), np.full(n, -1.0, np.float32)
-    own = np.array(labels, np.float32)
-    targets, use, start = own / np.maximum(own.sum(axis=1, keepdims=True), 1), np.ones_like(own), None
-    lists = [r.tolist() for r in rows]
+    sources = [(g, {a}) for a, (_, g) in enumerate(areas)] + train
+    grams = Grams.joined([g for g, _ in sources])
+    own = np.concatenate([np.tile(np.isin(np.arange(n), list(labels)).astype(np.float32), (len(g.lengths), 1)) for g, labels in sources] or [np.zeros((0, n), np.float32)])
+    own, grams = own[grams.lengths > 0], Grams(grams.flat, grams.lengths[grams.lengths > 0])
+    bias = np.full(n, -2.0, np.float32)
+    full = np.zeros((WIDTH, n), np.float32)
+    if not len(own):
+        return full, bias
+    active = np.unique(grams.flat)
+    w = np.zeros((len(active), n), np.float32)
+    blocks = [(rows, _Block(part, active)) for rows, part in grams.blocks()]
+    targets, use = own / np.maximum(own.sum(axis=1, keepdims=True), 1), np.ones_like(own)
     for k in range(ROUNDS):
-        start = _fit(rows, targets, use, start)
+        _fit(blocks, targets, use, w, bias)
+        full[active] = w
         if k == ROUNDS - 1:
             break
-        s = Model([], *start, np.zeros(n)).scores(lists)
+        s = Model([], full, bias, np.zeros(n)).scores(grams)
         p = 1 / (1 + np.exp(-s))
         best = np.where(own > 0, s, -np.inf).argmax(axis=1)
         within = np.zeros_like(own)
@@ -184,32 +198,40 @@ def _learn(train: list[tuple[list[list[int]], set[int]]], areas: list[tuple[str,
         targets = within * own * (p > (0.3 if k == 0 else 0.5))
         # An area the document isn't labelled with, but the sentence surely is about, is a passing mention or a missing label.
         outside = (own == 0) & (p > 0.6)
-        use = np.where(outside | ((own > 0) & (targets == 0) & (p > 0.3)), 0.0, 1.0)
-    return start
+        use = np.where(outside | ((own > 0) & (targets == 0) & (p > 0.3)), np.float32(0), np.float32(1))
+    return full, bias
 
 
-def shares_of(model: Model, grams: list[list[int]]) -> np.ndarray:
+def shares_of(model: Model, grams: Grams) -> np.ndarray:
     """Share of the sentences that are about each area."""
     about = model.about(grams)
-    return np.bincount(about[about >= 0], minlength=len(model.subjects)) / max(len(grams), 1)
+    return np.bincount(about[about >= 0], minlength=len(model.subjects)) / max(len(grams.lengths), 1)
 
 
-def _calibrate(model: Model, held: list[tuple[list[list[int]], set[int]]], n: int) -> np.ndarray:
-    """Per area the share with the best F1 on held-out documents; all areas together where one has too few."""
-    found = np.array([shares_of(model, g) for g, _ in held if g]).reshape(-1, n)
-    truth = np.array([[a in own for a in range(n)] for g, own in held if g], dtype=bool).reshape(-1, n)
+def _calibrate(model: Model, held: list[tuple[Grams, set[int]]], n: int) -> np.ndarray:
+    """Per area the share with the best F1 on held-out documents, drawn to ``SHARE`` the more the fewer cases there are."""
+    found = np.array([shares_of(model, g) for g, _ in held if len(g.lengths)]).reshape(-1, n)
+    truth = np.array([[a in own for a in range(n)] for g, own in held if len(g.lengths)], dtype=bool).reshape(-1, n)
     grid = np.arange(0.15, 0.36, 0.01)
+    out = np.empty(n)
+    for a in range(n):
+        f, t = found[:, a], truth[:, a]
+        scores = np.array([2 * ((f >= x - 1e-9) & t).sum() / max((f >= x - 1e-9).sum() + t.sum(), 1) for x in grid])
+        # Labels are partly wrong and documents short: shares within half a percent of the best F1 are equally good.
+        best = min(grid[scores >= scores.max() - 0.005], key=lambda x: abs(x - SHARE))
+        out[a] = (best * t.sum() + SHARE * PRIOR_CASES) / (t.sum() + PRIOR_CASES)
+    return out
 
-    def best(f: np.ndarray, t: np.ndarray) -> float:
-        scores = [2 * (h & t).sum() / max(h.sum() + t.sum(), 1) for x in grid for h in [f >= x - 1e-9]]
-        top = max(scores)
-        near = [x for x, s in zip(grid, scores) if s >= top - 0.005]
-        return float(min(near, key=lambda x: abs(x - SHARE)))
 
-    if truth.sum() < 100:
-        return np.full(n, SHARE)
-    overall = best(found, truth)
-    return np.array([best(found[:, a], truth[:, a]) if truth[:, a].sum() >= 100 else overall for a in range(n)])
+MAX_AREAS = 1_000
+
+
+def small_rows(df: DataFrame, most: int) -> list:
+    """The rows of a list of settings, refused if they are more than ``most``."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows where a short list belongs")
+    return rows
 
 
 def area_key(c):
@@ -217,37 +239,46 @@ def area_key(c):
     return F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))
 
 
-def train(docs: DataFrame, labels: DataFrame, areas: DataFrame, key: str = "doc_id", text: str = "text", max_docs: int = MAX_TRAIN_DOCS) -> Model:
-    """A model from weak labels (doc_id, subject as id or title in any spelling) and areas (subject, title, description)."""
-    listed = sorted((r["subject"], r["title"], r["description"]) for r in areas.where("subject is not null").select("subject", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("description", F.lit("")).alias("description")).distinct().collect())
-    names = areas.select(area_key(F.col("subject")).alias("_key"), "subject").union(areas.select(area_key(F.col("title")).alias("_key"), "subject")).where("_key <> ''").dropDuplicates(["_key"])
-    tagged = labels.select(F.col(key).alias("_id"), area_key(F.col("subject")).alias("_key")).join(F.broadcast(names), "_key").groupBy("_id").agg(F.collect_set("subject").alias("_own"))
-    chosen = tagged.orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
-    labelled = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(chosen, "_id")
+def train(docs: DataFrame, labels: DataFrame, areas: DataFrame, key: str = "doc_id", text: str = "text", max_docs: int = MAX_TRAIN_DOCS, max_sentences: int = MAX_TRAIN_SENTENCES) -> Model:
+    """A model from weak labels (doc_id, subject as id or title in any spelling) and areas (subject, title, description).
 
-    others = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).where("_text is not null").join(tagged.select("_id"), "_id", "left_anti")
-    filled = max_docs - labelled.count()
-    sample = others.orderBy(F.xxhash64("_id"), "_id").limit(max(filled, 0)).withColumn("_own", F.array().cast("array<string>"))
+    Of the labelled documents those with the least hashes of their id are
+    taken: a part of the range of the hash that holds ``max_docs`` of them on
+    average, and of these as many, in order of the hash, as have
+    ``max_sentences`` sentences in all. Documents are taken whole. Labels that
+    are no area, of documents that do not exist, or null say nothing.
+    """
+    listed = sorted((r["subject"], r["title"], r["description"]) for r in small_rows(areas.where("subject is not null").select("subject", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("description", F.lit("")).alias("description")).distinct(), MAX_AREAS))
+    spelled = {}
+    for c in ("title", "subject"):
+        for r in areas.where("subject is not null").select(area_key(F.col(c)).alias("k"), "subject").where("k <> ''").distinct().orderBy("k", F.desc("subject")).collect():
+            spelled[r["k"]] = r["subject"]
+    at = {s: i for i, (s, _, _) in enumerate(listed)}
+    described = [(s, Grams.of([features(t), *[features(x) for x in sentences(d)]])) for s, t, d in listed]
+    if not spelled:
+        return fit([], described)
+    names = docs.sparkSession.createDataFrame(sorted(spelled.items()), "_key string, _subject string")
+    tagged = labels.select(F.col(key).alias("_id"), area_key(F.col("subject")).alias("_key")).where("_id is not null").join(F.broadcast(names), "_key")
+    n = tagged.agg(F.approx_count_distinct("_id", 0.02)).first()[0]
+    place = F.shiftrightunsigned(F.xxhash64("_id"), 11).cast("double") / F.lit(float(1 << 53))
+    chosen = tagged.withColumn("_at", place).where(F.col("_at") < max_docs / max(n, 1)).groupBy("_at", "_id").agg(F.collect_set("_subject").alias("_own"))
+    texts = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).where("_text is not null")
+    labelled = texts.join(F.broadcast(chosen), "_id").groupBy("_at", "_id", "_own").agg(F.max("_text").alias("_text"))
 
     def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"_id": part["_id"], "_own": part["_own"], "_grams": [[features(s) for s in sentences(t)] for t in part["_text"]]})
-
-    kind = docs.schema[key].dataType.simpleString()
-    at = {s: i for i, (s, _, _) in enumerate(listed)}
-
-    def gather(rows: DataFrame) -> list:
-        out, total = [], 0
-        for r in rows.mapInPandas(run, f"_id {kind}, _own array<string>, _grams array<array<int>>").orderBy(F.xxhash64("_id"), "_id").toLocalIterator():
-            total += len(r["_grams"])
-            if total > MAX_TRAIN_SENTENCES * 1.3:
-                break
-            out.append((r["_grams"], {at[s] for s in r["_own"]}))
-        return out
-
-    data = gather(labelled)
-    free = [g for g, _ in gather(sample)] if filled > 0 else []
-    return fit(data, [(s, [features(t), *[features(x) for x in sentences(d)]]) for s, t, d in listed], free)
+            grams = [[features(s) for s in sentences(t)] for t in part["_text"]]
+            yield pd.DataFrame({"_at": part["_at"], "_own": part["_own"], "_n": [len(g) for g in grams], "_grams": grams})
+
+    read = cut(labelled.select("_at", "_own", "_text").mapInPandas(run, "_at double, _own array<string>, _n int, _grams array<array<int>>"))
+    total, last = 0, 2.0
+    for r in read.select("_at", "_n").orderBy("_at").collect():  # two numbers for each chosen document
+        total += r["_n"]
+        if total > max_sentences:
+            last = r["_at"]
+            break
+    data = [(Grams.of(r["_grams"]), {at[s] for s in r["_own"]}) for r in read.where(F.col("_at") < last).orderBy("_at").toLocalIterator()]
+    return fit(data, described)
 
 
 def assign(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -264,8 +295,8 @@ def assign(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
         for part in parts:
             ids, subjects, shares = [], [], []
             for k, t in zip(part.iloc[:, 0], part.iloc[:, 1]):
-                grams = [features(s) for s in sentences(t)]
-                if not grams:
+                grams = Grams.of([features(s) for s in sentences(t)])
+                if not len(grams.lengths):
                     continue
                 found = shares_of(m, grams)
                 for a in np.flatnonzero(found >= m.shares - 1e-9):
