@@ -205,7 +205,7 @@ def channel(seen: list[str], name: list[str], person: bool, words_: Words) -> fl
         cost += sum(1.5 if western else CAP for w in missing)
         cost += sum(0.2 if s in TITLES else 0.5 if any(s in words_.of(w) for w in name) else 3.0 for s in extra)
         # Someone must be named by more than initials and short forms alone.
-        if not any(len(seen[i]) > 1 and seen[i] not in words_.of(name[j]) for i, j in by_seen.items()):
+        if not any(len(seen[i]) > 1 and words_.relation(seen[i], name[j], True) != COST["nickname"] for i, j in by_seen.items()):
             cost += 4.0
     else:
         core = [j for j, w in enumerate(name) if w not in DROPPABLE and w not in SMALL]
@@ -296,15 +296,13 @@ class Register:
         return out | self.letters.get((kind, seen[0]), set()) if len(seen) == 1 else out
 
     def _floor(self, n: int, costs: dict[int, float]) -> float:
-        """No less than this does it cost, if each word comes from its cheapest source and words without one are lost."""
+        """No less than this does it cost, each word coming from its cheapest source or being lost, whichever is less."""
         _, name, person, _ = self.names[n]
-        low = sum(costs.values())
         if person:
-            lost = [j for j in range(len(name)) if j not in costs]
-            return low if not lost else low + 1.5 if lost == [1] and len(name) == 3 else CAP
-        core = [j for j, w in enumerate(name) if w not in DROPPABLE and w not in SMALL]
-        lost = [i for i, j in enumerate(core) if j not in costs]
-        return low + (0.0 if not lost else COST["head"] if lost[0] >= 2 else 4.0 * len(lost))
+            return sum(min(costs.get(j, CAP), 1.5 if j == 1 and len(name) == 3 else CAP) for j in range(len(name)))
+        core = [costs.get(j, math.inf) for j, w in enumerate(name) if w not in DROPPABLE and w not in SMALL]
+        heads = [sum(core[:k]) + COST["head"] for k in range(2, len(core))]
+        return min([sum(min(c, 4.0) for c in core), *heads])
 
     def attach(self, kind: str, name: str, aliases: list[str], count: int) -> int | None:
         """The entity of maximum posterior, or None."""
