@@ -23,6 +23,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.skew import lookup_join
+
 #: Letters of other scripts that look like a Latin letter.
 LOOKALIKES = {
     # Greek
@@ -188,17 +190,19 @@ def normalized(texts: DataFrame, text: str) -> DataFrame:
     points = points.join(classes, "ch", "left").withColumn("ccc", F.coalesce("ccc", F.lit(0))).join(alike, "ch", "left").join(twins, "ch", "left")
     letter = F.col("ch").rlike(r"\p{L}")
     points = points.withColumn("letter", letter | (F.col("ccc") > 0))
-    points = points.withColumn("word", F.sum(F.when(F.col("letter"), 0).otherwise(1)).over(line))
-    points = points.withColumn("starter", F.sum(F.when(F.col("ccc") == 0, 1).otherwise(0)).over(line))
-    of = Window.partitionBy(*ids, "word")
+    points = points.select("*", F.sum(F.when(F.col("letter"), 0).otherwise(1)).over(line).alias("word"), F.sum(F.when(F.col("ccc") == 0, 1).otherwise(0)).over(line).alias("starter"))
     script = F.when(F.col("script").isNotNull(), F.col("script")).when(F.col("ch").rlike(r"\p{IsLatin}"), "LATIN").when(F.col("ch").rlike(r"\p{IsGreek}"), "GREEK").when(F.col("ch").rlike(r"\p{IsCyrillic}"), "CYRILLIC")
     points = points.withColumn("script", F.when(letter, script))
-    # Letters without a twin in another script tell the script of their word and of the text.
-    sure = {s: F.sum(F.when((F.col("script") == s) & F.col("latin").isNull(), 1).otherwise(0)) for s in ("LATIN", "GREEK", "CYRILLIC")}
-    any_ = {s: F.sum(F.when(F.col("script") == s, 1).otherwise(0)) for s in ("LATIN", "GREEK", "CYRILLIC")}
-    for s in sure:
-        low = s.lower()
-        points = points.withColumn(f"w_sure_{low}", sure[s].over(of)).withColumn(f"w_{low}", any_[s].over(of)).withColumn(f"t_{low}", any_[s].over(whole)).withColumn(f"t_sure_{low}", sure[s].over(whole))
+    # Letters without a twin in another script tell the script of their word and of the text. One number holds the
+    # counts of a script: all its letters, and those without a twin times 2^32.
+    scripts = ("LATIN", "GREEK", "CYRILLIC")
+    count = {s: F.when(F.col("script") == s, F.when(F.col("latin").isNull(), 1 + (1 << 32)).otherwise(1)).otherwise(0).cast("long") for s in scripts}
+    of = Window.partitionBy(*ids, "word")
+    points = points.select("*", *[F.sum(count[s]).over(of).alias(f"w{s}") for s in scripts])
+    points = points.select("*", *[F.sum(count[s]).over(whole).alias(f"t{s}") for s in scripts])
+    low, high = (lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF))), (lambda c: F.shiftright(c, 32))
+    kept = [c for c in points.columns if c[1:] not in scripts]
+    points = points.select(*kept, *[f(F.col(f"{at}{s}")).alias(f"{at}_{name}{s.lower()}") for s in scripts for at in "wt" for name, f in (("", low), ("sure_", high))])
     mixed = F.greatest("w_latin", "w_greek", "w_cyrillic") < F.col("w_latin") + F.col("w_greek") + F.col("w_cyrillic")
     home = (
         F.when(mixed & (F.col("w_sure_latin") >= F.greatest("w_sure_greek", "w_sure_cyrillic")) & (F.col("w_sure_latin") > 0), "LATIN")
@@ -261,9 +265,9 @@ def normalize_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         h = (F.when(needs_work(F.col(c)), F.xxhash64(c)), F.when(needs_work(F.col(c)), F.xxhash64(F.col(c), F.lit(7))))
         mine = norm.select(F.col("_t1").alias(f"_h{i}"), F.col("_t2").alias(f"_g{i}"), F.col("_norm").alias(f"_n{i}"))
         rough = out.withColumn(f"_h{i}", h[0]).withColumn(f"_g{i}", h[1])
-        # Texts without need of work have no hash and stay out of the join.
+        # Texts without need of work have no hash and stay out of the join; texts that very many rows hold don't meet in one task.
         idle = rough.where(F.col(f"_h{i}").isNull()).withColumn(f"_n{i}", F.lit(None).cast("string"))
-        busy = rough.where(F.col(f"_h{i}").isNotNull()).join(mine, [f"_h{i}", f"_g{i}"], "left").select(*idle.columns)
+        busy = lookup_join(rough.where(F.col(f"_h{i}").isNotNull()), mine, [f"_h{i}", f"_g{i}"]).select(*idle.columns)
         out = idle.unionByName(busy).withColumn(c, F.coalesce(f"_n{i}", c)).drop(f"_h{i}", f"_g{i}", f"_n{i}")
     return out
 
