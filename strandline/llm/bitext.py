@@ -5,13 +5,20 @@ hashed to a fixed number of concepts; how a word (or a pair of Chinese
 characters) of either language is spread over the concepts, against what its
 frequency lets expect, is its vector, so words of both languages that occur in
 the same pairs get like vectors. A pair's own words are judged by the other
-pairs alone, else all its rare words would look alike. A sentence, or a part
-of one between strong breaks, is the sum of its words' vectors. Every word of
+pairs alone, else all its rare words would look alike. Every word of
 ``LEAST_PAIRS`` or more pairs has a vector: frequent words, of which there are
 few, are broadcast; the others stay a table that is joined to the documents.
-All spans of a document pair are scored against each other with whole vectors
-and by the numbers, dates and refs they share; mutual best spans, whole
-sentences of several parts among them, are selected.
+
+A sentence is cut into parts at strong breaks; a part is the sum of its words'
+vectors. A sparse cosine join in SQL finds which parts belong together: the
+``KEPT`` greatest entries of each part, and the numbers, dates and refs it
+holds, meet on (document pair, entry), and products are summed. What reaches
+``FLOOR`` is scored with whole vectors, as are merged windows of two or three
+parts of a sentence, and whole sentences, around it. Parts for which this finds
+no partner of a score of ``SURE`` are scored against all parts in full, so
+that no pair is lost to the sparse join. Then mutual best spans are selected,
+and grow over neighbouring parts, also of the next sentence, that have no
+partner of their own.
 """
 
 from __future__ import annotations
@@ -31,9 +38,14 @@ from strandline.operators.current import current_rows
 from strandline.session import cut
 
 CONCEPTS = 256
+KEPT = 32  # entries of a part's vector in the sparse join; None for all
+FLOOR = 0.0  # of the sparse join's score
+SURE = 0.7  # a score above which a part needs no further partners
 BROADCAST_SHARE = 0.01  # of the document pairs hold a word that is broadcast; so at most 100 words per word of a mean document are
 LEAST_PAIRS = 3
-BLOCK = 512  # EN spans scored at once
+WINDOW = 3  # neighbouring parts that may be merged
+GAIN = 0.15  # by which a window must beat the span that it grew from
+BLOCK = 512  # parts scored in full at once
 THRESHOLD = 0.3
 SAME = 0.2  # for a shared number, date or ref, up to two
 CLASH = 0.8  # where both have numbers (dates, refs) and share none
@@ -176,30 +188,17 @@ def _parts(text: str, breaks: str, size: int) -> list[str]:
     return found if len(found) > 1 and min(map(len, found)) >= size else [text]
 
 
-def spans(markup: str | None, side: str) -> list[tuple[int, set[str], set[str]]]:
-    """(code, word grams, anchors) of every part and every sentence of several parts; the code packs sentence, first and last part."""
-    out, n = [], 0
+def parts(markup: str | None, side: str) -> list[tuple[int, set[str], set[str]]]:
+    """(sentence number, word grams, anchors) of every part of every sentence, in reading order."""
+    out = []
     chinese = side == "zh"
     for no, sentence in enumerate(sentences_zh(markup) if chinese else sentences_en(markup), 1):
-        parts = _parts(sentence, ZH_BREAKS, 6) if chinese else _parts(sentence, EN_BREAKS, 20)
-        read = [(anchors_zh if chinese else anchors_en)(p) for p in parts]
-        grams = [(_grams_zh if chinese else _grams_en)(t) for _, t in read]
-        for i in range(len(parts)):
-            out.append((_code(no, n + i, n + i), grams[i], read[i][0]))
-        if len(parts) > 1:
-            out.append((_code(no, n, n + len(parts) - 1), set().union(*grams), set().union(*(a for a, _ in read))))
-        n += len(parts)
+        for p in _parts(sentence, ZH_BREAKS, 6) if chinese else _parts(sentence, EN_BREAKS, 20):
+            anchors, text = anchors_zh(p) if chinese else anchors_en(p)
+            out.append((no, _grams_zh(text) if chinese else _grams_en(text), anchors))
     return out
 
 
-def _code(no: int, first: int, last: int) -> int:
-    return no << 42 | first << 21 | last
-
-
-def uncode(code: int) -> tuple[int, int, int]:
-    return code >> 42, code >> 21 & 0x1FFFFF, code & 0x1FFFFF
-
-
 def _kinds(anchors: Iterable[str]) -> int:
     return sum(1 << i for i, k in enumerate("dnr") if any(a[0] == k for a in anchors))
 
@@ -217,9 +216,12 @@ def paired_documents(releases: DataFrame, left: str = "EN", right: str = "ZH") -
     return one.join(now.where(F.col("language") == right).select("source_ref", F.col("html").alias("right_html")), "source_ref")
 
 
-_SPAN = pa.struct([("span", pa.int64()), ("words", pa.list_(pa.int32())), ("anchors", pa.list_(pa.string())), ("kinds", pa.int32())])
-_DOCUMENT = pa.schema([("source_ref", pa.string()), ("en_words", pa.list_(pa.int64())), ("zh_words", pa.list_(pa.int64())), ("en_spans", pa.list_(_SPAN)), ("zh_spans", pa.list_(_SPAN))])
-_SPANS = "array<struct<span:bigint,words:array<int>,anchors:array<string>,kinds:int>>"
+_PART = pa.struct([("no", pa.int64()), ("words", pa.list_(pa.int32())), ("anchors", pa.list_(pa.string())), ("kinds", pa.int32())])
+_DOCUMENT = pa.schema([("source_ref", pa.string()), ("en_words", pa.list_(pa.int64())), ("zh_words", pa.list_(pa.int64())), ("en_parts", pa.list_(_PART)), ("zh_parts", pa.list_(_PART))])
+_PARTS = "array<struct<no:bigint,words:array<int>,anchors:array<string>,kinds:int>>"
+_SCORED = pa.struct([("no", pa.int64()), ("anchors", pa.list_(pa.string())), ("kinds", pa.int32()), ("vector", pa.binary())])
+_SCORED_DOCUMENT = pa.schema([("source_ref", pa.string()), ("en", pa.list_(_SCORED)), ("zh", pa.list_(_SCORED))])
+_SCORED_PARTS = "array<struct<no:bigint,anchors:array<string>,kinds:int,vector:binary>>"
 
 
 def _hashed(gram: str) -> int:
@@ -227,26 +229,26 @@ def _hashed(gram: str) -> int:
 
 
 def _document(markup: str | None, side: str) -> tuple[list[int], list[dict]]:
-    """The distinct hashed words of a document and its spans, which hold places in that list."""
-    found = spans(markup, side)
+    """The distinct hashed words of a document and its parts, which hold places in that list."""
+    found = parts(markup, side)
     at = {g: i for i, g in enumerate(sorted({g for _, grams, _ in found for g in grams}))}
-    return [_hashed(g) for g in at], [{"span": code, "words": sorted(at[g] for g in grams), "anchors": sorted(anchors), "kinds": _kinds(anchors)} for code, grams, anchors in found]
+    return [_hashed(g) for g in at], [{"no": no, "words": sorted(at[g] for g in grams), "anchors": sorted(anchors), "kinds": _kinds(anchors)} for no, grams, anchors in found]
 
 
-def all_spans(pairs: DataFrame) -> DataFrame:
-    """source_ref, and of both documents of the pair the distinct hashed words and the spans; pairs without any span left out."""
+def all_parts(pairs: DataFrame) -> DataFrame:
+    """source_ref, and of both documents of the pair the distinct hashed words and the parts; pairs with an empty side left out."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 rows = []
                 for r in batch.slice(start, 200).to_pylist():
-                    (en, en_spans), (zh, zh_spans) = _document(r["left_html"], "en"), _document(r["right_html"], "zh")
-                    if en_spans or zh_spans:
-                        rows.append({"source_ref": r["source_ref"], "en_words": en, "zh_words": zh, "en_spans": en_spans, "zh_spans": zh_spans})
+                    (en, en_parts), (zh, zh_parts) = _document(r["left_html"], "en"), _document(r["right_html"], "zh")
+                    if en_parts and zh_parts:
+                        rows.append({"source_ref": r["source_ref"], "en_words": en, "zh_words": zh, "en_parts": en_parts, "zh_parts": zh_parts})
                 yield pa.RecordBatch.from_pylist(rows, schema=_DOCUMENT)
 
-    return pairs.mapInArrow(run, f"source_ref string, en_words array<bigint>, zh_words array<bigint>, en_spans {_SPANS}, zh_spans {_SPANS}")
+    return pairs.mapInArrow(run, f"source_ref string, en_words array<bigint>, zh_words array<bigint>, en_parts {_PARTS}, zh_parts {_PARTS}")
 
 
 def _concept() -> Column:
@@ -296,55 +298,8 @@ def _vectors(counts: np.ndarray, own: int, sizes: np.ndarray) -> np.ndarray:
     return v * np.where(norm > 1e-3, np.log((n + 1) / (df + 1)) / np.maximum(norm, 1e-3), 0.0).astype(np.float32)[:, None]
 
 
-def _summed(spans_: list[dict], place: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Unit vectors of spans; ``place``: the row of each of the document's words in ``vectors``, -1 for none."""
-    out = np.zeros((len(spans_), CONCEPTS), np.float32)
-    for i, s in enumerate(spans_):
-        at = place[s["words"]]
-        out[i] = vectors[at[at >= 0]].sum(axis=0)
-    norm = np.linalg.norm(out, axis=1)[:, None]
-    return np.where(norm > 1e-6, out / np.maximum(norm, 1e-6), 0.0)
-
-
-def scores(en: list[dict], zh: list[dict], en_vectors: np.ndarray, zh_vectors: np.ndarray, threshold: float) -> list[tuple[float, int, int]]:
-    """(score, EN code, ZH code) of all spans of a pair that reach the threshold: the cosine, with what numbers, dates and refs say."""
-    out = []
-    zh_kinds, held = np.array([s["kinds"] for s in zh]), {}
-    for j, s in enumerate(zh):
-        for a in s["anchors"]:
-            held.setdefault(a, []).append(j)
-    for start in range(0, len(en), BLOCK):
-        some = en[start : start + BLOCK]
-        score = en_vectors[start : start + BLOCK] @ zh_vectors.T
-        same, agreed = np.zeros(score.shape, np.int32), np.zeros(score.shape, np.int32)
-        for i, s in enumerate(some):
-            for a in s["anchors"]:
-                if a in held:
-                    same[i, held[a]] += 1
-                    agreed[i, held[a]] |= _kinds((a,))
-        clash = np.array([s["kinds"] for s in some])[:, None] & zh_kinds[None, :] & ~agreed != 0
-        score = score + SAME * np.minimum(same, 2) - CLASH * clash
-        out += [(float(score[i, j]), some[i]["span"], zh[j]["span"]) for i, j in np.argwhere(score >= threshold)]
-    return out
-
-
-def select_spans(scored: list[tuple[float, int, int]]) -> set[tuple[int, int]]:
-    """(en_no, zh_no) of mutual best spans of a pair, taken in turn, each part once."""
-    rows = [(score, uncode(en), uncode(zh)) for score, en, zh in scored]
-    rows.sort(key=lambda r: (-(r[0] - 0.001 * abs(r[1][0] - r[2][0])), r[1], r[2]))
-    en_used: set[int] = set()
-    zh_used: set[int] = set()
-    out = set()
-    for _, (en, a, b), (zh, c, d) in rows:
-        if en_used.isdisjoint(range(a, b + 1)) and zh_used.isdisjoint(range(c, d + 1)):
-            en_used.update(range(a, b + 1))
-            zh_used.update(range(c, d + 1))
-            out.add((en, zh))
-    return out
-
-
-def matched(found: DataFrame, threshold: float) -> DataFrame:
-    """source_ref, en_no, zh_no of the sentences of every pair that belong together."""
+def with_vectors(found: DataFrame) -> DataFrame:
+    """source_ref, en, zh: the parts of every document pair with their vectors (sums of word vectors, as 16-bit floats)."""
     sizes = np.zeros(CONCEPTS, np.float32)
     for r in found.groupBy(_concept().alias("k")).count().collect():
         sizes[r["k"]] = r["count"]
@@ -358,33 +313,201 @@ def matched(found: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
         for batch in batches:
-            out: list[tuple[str, int, int]] = []
+            out = []
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i] for c in batch.schema.names}
-                own, side = row["own"].as_py(), {}
+                own, sides = row["own"].as_py(), {}
                 for en, s in ((True, "en"), (False, "zh")):
-                    some, ids = row[f"{s}_spans"].as_py(), row[f"{s}_words"].values.to_numpy()
+                    some, ids = row[f"{s}_parts"].as_py(), row[f"{s}_words"].values.to_numpy()
                     known, counts = frequent[en]
                     at = np.minimum(np.searchsorted(known, ids), max(len(known) - 1, 0))
                     hit = known[at] == ids if len(known) else np.zeros(len(ids), bool)
                     place = np.full(len(ids), -1)
                     place[hit] = np.arange(hit.sum())
-                    parts = [counts[at[hit]]]
+                    blocks_ = [counts[at[hit]]]
                     if row["rare"].is_valid:
                         values = row["rare"].values
                         mine = values.filter(pa.compute.equal(values.field("en"), en))
                         order = np.argsort(ids)
                         place[order[np.searchsorted(ids[order], mine.field("gram").to_numpy())]] = hit.sum() + np.arange(len(mine))
-                        parts.append(_dense(mine.field("ks"), mine.field("ns")))
-                    side[s] = some, _summed(some, place, _vectors(np.concatenate(parts), own, sizes))
-                ref = row["source_ref"].as_py()
-                out += [(ref, *p) for p in sorted(select_spans(scores(side["en"][0], side["zh"][0], side["en"][1], side["zh"][1], threshold)))]
+                        blocks_.append(_dense(mine.field("ks"), mine.field("ns")))
+                    vectors = _vectors(np.concatenate(blocks_), own, sizes)
+                    sides[s] = []
+                    for p in some:
+                        rows = place[p["words"]]
+                        sides[s].append({"no": p["no"], "anchors": p["anchors"], "kinds": p["kinds"], "vector": vectors[rows[rows >= 0]].sum(axis=0).astype(np.float16).tobytes()})
+                out.append({"source_ref": row["source_ref"].as_py(), **sides})
+            yield pa.RecordBatch.from_pylist(out, schema=_SCORED_DOCUMENT)
+
+    return whole.mapInArrow(run, f"source_ref string, en {_SCORED_PARTS}, zh {_SCORED_PARTS}")
+
+
+def _matrix(some: list[dict]) -> np.ndarray:
+    return np.frombuffer(b"".join(p["vector"] for p in some), np.float16).reshape(len(some), CONCEPTS).astype(np.float32)
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(rows, axis=1)[:, None]
+    return np.where(norm > 1e-6, rows / np.maximum(norm, 1e-6), 0.0).astype(np.float32)
+
+
+def sparse_entries(scored: DataFrame, kept: int | None = KEPT) -> DataFrame:
+    """source_ref, en, part, dims, weights: the greatest entries of every part's unit vector, and an entry for each number, date and ref."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ref, rows = batch.column("source_ref")[i].as_py(), []
+                for s in ("en", "zh"):
+                    some = batch.column(s)[i].as_py()
+                    unit = _unit(_matrix(some))
+                    most = CONCEPTS if kept is None else min(kept, CONCEPTS)
+                    top = np.argpartition(-np.abs(unit), most - 1, axis=1)[:, :most]
+                    for n, (p, ks, v) in enumerate(zip(some, top, unit)):
+                        ks = np.sort(ks[v[ks] != 0])
+                        # An entry of an anchor lies beyond the concepts; two that meet add SAME.
+                        names = [CONCEPTS + (_hashed(a) & 0x7FFFFFFF) for a in p["anchors"]]
+                        rows.append((ref, s == "en", n, [*ks.tolist(), *names], [*v[ks].tolist(), *([SAME**0.5] * len(names))]))
+                types = (pa.string(), pa.bool_(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], ["source_ref", "en", "part", "dims", "weights"])
+
+    return scored.mapInArrow(run, "source_ref string, en boolean, part int, dims array<bigint>, weights array<float>")
+
+
+def sparse_cosines(entries: DataFrame) -> DataFrame:
+    """source_ref, e, z, score of all parts of a document pair that share an entry: the sum of the products of what they share."""
+    side = lambda en, name, w: entries.where(F.col("en") == en).select("source_ref", F.col("part").alias(name), F.inline(F.arrays_zip(F.col("dims").alias("dim"), F.col("weights").alias(w))))
+    left, right = side(True, "e", "we"), side(False, "z", "wz")
+    return left.join(right, ["source_ref", "dim"]).groupBy("source_ref", "e", "z").agg(F.sum(F.col("we") * F.col("wz")).alias("score"))
+
+
+class _Side:
+    """The spans of one document: parts, windows of neighbouring parts, and whole sentences; each a range of parts."""
+
+    def __init__(self, some: list[dict]):
+        self.no = [p["no"] for p in some]
+        n = len(some)
+        sentences_ = {}
+        for i, no in enumerate(self.no):
+            first, _ = sentences_.get(no, (i, i))
+            sentences_[no] = (first, i)
+        spans_ = [(i, i) for i in range(n)] + [(i, i + w - 1) for w in range(2, WINDOW + 1) for i in range(n - w + 1)]
+        spans_ += [s for s in sentences_.values() if s[1] - s[0] >= WINDOW]
+        self.spans = spans_
+        self.place = {s: k for k, s in enumerate(spans_)}
+        self.first_no = np.array([self.no[a] for a, _ in spans_])
+        self.across = np.array([self.no[a] != self.no[b] for a, b in spans_])
+        sums = np.concatenate((np.zeros((1, CONCEPTS), np.float32), np.cumsum(_matrix(some), axis=0, dtype=np.float64)))
+        first, last = np.array(spans_).T
+        self.unit = _unit(sums[last + 1] - sums[first])
+        self.anchors = [frozenset(a for p in some[a : b + 1] for a in p["anchors"]) for a, b in spans_]
+        self.kinds = np.array([_kinds(x) for x in self.anchors])
+        self.around: list[list[int]] = [[] for _ in range(n)]
+        for k, (a, b) in enumerate(spans_):
+            for i in range(a, b + 1):
+                self.around[i].append(k)
+
+
+def scores(en: _Side, zh: _Side, es: np.ndarray, zs: np.ndarray) -> np.ndarray:
+    """Scores of pairs of spans with whole vectors: the cosine, with what numbers, dates and refs say."""
+    out = np.empty(len(es))
+    for i in range(0, len(es), 4096):
+        out[i : i + 4096] = np.einsum("ij,ij->i", en.unit[es[i : i + 4096]], zh.unit[zs[i : i + 4096]])
+    for i in np.flatnonzero((en.kinds[es] & zh.kinds[zs]) != 0):
+        both = en.anchors[es[i]] & zh.anchors[zs[i]]
+        agreed = _kinds(both)
+        out[i] += SAME * min(len(both), 2) - CLASH * (en.kinds[es[i]] & zh.kinds[zs[i]] & ~agreed != 0)
+    return out
+
+
+def _spans_around(en: _Side, zh: _Side, pairs: Iterable[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of spans within sentences about pairs of parts."""
+    out = {(k, m) for e, z in pairs for k in en.around[e] if not en.across[k] for m in zh.around[z] if not zh.across[m]}
+    ks = np.array(sorted(out), dtype=np.int64).reshape(-1, 2)
+    return ks[:, 0], ks[:, 1]
+
+
+def _in_full(en: _Side, zh: _Side, left: np.ndarray, right: np.ndarray, threshold: float) -> list[tuple[np.ndarray, ...]]:
+    """All pairs of these parts that reach the threshold, in blocks."""
+    found = []
+    for start in range(0, len(left) if len(right) else 0, BLOCK):
+        es, zs = (x.ravel() for x in np.meshgrid(left[start : start + BLOCK], right, indexing="ij"))
+        score = scores(en, zh, es, zs)
+        good = score >= threshold
+        found.append((es[good], zs[good], score[good]))
+    return found
+
+
+def select_spans(en: _Side, zh: _Side, candidates: list[tuple[int, int]], threshold: float) -> set[tuple[int, int]]:
+    """(en_no, zh_no) of mutual best spans of a document pair, taken in turn, each part once.
+
+    Parts without a sure candidate, and what is left, are scored in full. A
+    span that was taken grows over a neighbouring part that nothing else took,
+    in the next sentence too, where its partner is rendered by both better by
+    ``GAIN`` than by itself.
+    """
+    free = {"en": np.ones(len(en.no), bool), "zh": np.ones(len(zh.no), bool)}
+    taken: list[tuple[int, int, float]] = []
+
+    def take(found: list[tuple[np.ndarray, ...]]) -> None:
+        es, zs, score = (np.concatenate(x) for x in zip(*found))
+        es, zs, score = (x[score >= threshold] for x in (es, zs, score))
+        apart = np.abs(en.first_no[es] - zh.first_no[zs])
+        for i in np.lexsort((zs, es, -(score - 0.001 * apart))):
+            (a, b), (c, d) = en.spans[es[i]], zh.spans[zs[i]]
+            if free["en"][a : b + 1].all() and free["zh"][c : d + 1].all():
+                free["en"][a : b + 1] = free["zh"][c : d + 1] = False
+                taken.append((es[i], zs[i], score[i]))
+
+    es, zs = _spans_around(en, zh, candidates)
+    found = [(es, zs, scores(en, zh, es, zs))]
+    best_en, best_zh = np.full(len(en.spans), -1.0), np.full(len(zh.spans), -1.0)
+    np.maximum.at(best_en, es, found[0][2])
+    np.maximum.at(best_zh, zs, found[0][2])
+    n, m = np.arange(len(en.no)), np.arange(len(zh.no))
+    take(found + _in_full(en, zh, n[best_en[n] < SURE], m, threshold) + _in_full(en, zh, n[best_en[n] >= SURE], m[best_zh[m] < SURE], threshold))
+    if left := _in_full(en, zh, np.flatnonzero(free["en"]), np.flatnonzero(free["zh"]), threshold):
+        take(left)
+    for at, (e, z, score) in enumerate(taken):
+        for side, name in ((en, "en"), (zh, "zh")):
+            (a, b) = side.spans[e if side is en else z]
+            for c, d, more in ((a - 1, b, a - 1), (a, b + 1, b + 1)):
+                k = side.place.get((c, d))
+                if k is None or not free[name][more]:
+                    continue
+                wide, alone = ((k, z), (more, z)) if side is en else ((e, k), (e, more))
+                grown, own = scores(en, zh, *np.array([wide, alone]).T)
+                if grown >= score + GAIN and own >= threshold / 2:
+                    free[name][more] = False
+                    (e, z), score = wide, grown
+                    taken[at] = (e, z, score)
+                    break
+    out = set()
+    for e, z, _ in taken:
+        (a, b), (c, d) = en.spans[e], zh.spans[z]
+        out.update((x, y) for x in set(en.no[a : b + 1]) for y in set(zh.no[c : d + 1]))
+    return out
+
+
+def matched(found: DataFrame, threshold: float, kept: int | None = KEPT) -> DataFrame:
+    """source_ref, en_no, zh_no of the sentences of every document pair that belong together."""
+    scored = cut(with_vectors(found))
+    near = sparse_cosines(sparse_entries(scored, kept)).where(F.col("score") >= FLOOR)
+    lists = near.groupBy("source_ref").agg(F.array_sort(F.collect_list(F.struct("e", "z"))).alias("near"))
+    whole = scored.join(lists, "source_ref", "left")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[str, int, int]] = []
+            for r in batch.to_pylist():
+                picked = select_spans(_Side(r["en"]), _Side(r["zh"]), [(p["e"], p["z"]) for p in r["near"] or ()], threshold)
+                out += [(r["source_ref"], *p) for p in sorted(picked)]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["source_ref", "en_no", "zh_no"])
 
     return whole.mapInArrow(run, "source_ref string, en_no bigint, zh_no bigint")
 
 
-def align(releases: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def align(releases: DataFrame, threshold: float = THRESHOLD, kept: int | None = KEPT) -> DataFrame:
     """source_ref, en_no, zh_no of the sentences that render the same statement.
 
     ``releases``: source_ref, language, modification_time, fetched_at,
@@ -395,4 +518,4 @@ def align(releases: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows. With fewer than ``LEAST_PAIRS`` document pairs there is nothing to
     learn from and only shared numbers, dates and refs speak.
     """
-    return matched(cut(all_spans(paired_documents(releases))), threshold)
+    return matched(cut(all_parts(paired_documents(releases))), threshold, kept)

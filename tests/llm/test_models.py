@@ -150,6 +150,41 @@ def test_alignment_by_rare_names(spark):
     assert len(got & want) / len(want) > 0.95 and len(got & want) / len(got) > 0.95
 
 
+def _statements(k, rng):
+    """Two statements of a pair: (EN, ZH) of each, drawn from 12 templates with a number."""
+    verbs = [("sold the shares", "出售股份"), ("opened an account", "開立帳戶"), ("signed the papers", "簽署文件"), ("left the board", "離開董事會"), ("paid the fee", "繳付費用"), ("moved the money", "轉移款項"), ("called the broker", "致電經紀"), ("wrote the report", "撰寫報告"), ("lost the licence", "失去牌照"), ("joined the fund", "加入基金"), ("hid the records", "隱藏紀錄"), ("met the auditor", "會見核數師")]
+    return [(f"The manager {verbs[i][0]} without delay", f"經理立即{verbs[i][1]}") for i in rng.sample(range(12), 4)]
+
+
+def _releases(spark, pairs):
+    rows = [(ref, lang, "2020", "2020", json.dumps({"html": "<p>" + text + "</p>"})) for ref, en, zh in pairs for lang, text in (("EN", en), ("ZH", zh))]
+    return spark.createDataFrame(rows, "source_ref string, language string, modification_time string, fetched_at string, raw_json string")
+
+
+def test_alignment_merges_neighbouring_sentences(spark):
+    """A ZH sentence that renders two EN sentences, joined by a plain comma, is paired with both."""
+    rng = random.Random(4)
+    pairs, want, merged = [], set(), set()
+    for k in range(300):
+        st = _statements(k, rng)
+        en = [s[0] + "." for s in st]
+        if k % 3:
+            zh = [s[1] + "。" for s in st]
+            want |= {(f"R{k}", i, i) for i in range(1, 5)}
+        else:
+            zh = [st[0][1] + "，" + st[1][1] + "。", st[2][1] + "。", st[3][1] + "。"]
+            merged |= {(f"R{k}", 1, 1), (f"R{k}", 2, 1)}
+            want |= {(f"R{k}", 3, 2), (f"R{k}", 4, 3)}
+        pairs.append((f"R{k}", " ".join(en), "".join(zh)))
+    df = _releases(spark, pairs)
+    got = {tuple(r) for r in align(df).collect()}
+    assert len(got & want) / len(want) > 0.97 and len(got & merged) / len(merged) > 0.85
+    assert len(got - want - merged) / len(got) < 0.03
+    # All entries in the sparse join instead of the greatest: the same pairs.
+    whole = {tuple(r) for r in align(df, kept=None).collect()}
+    assert len(got ^ whole) <= 0.01 * len(whole)
+
+
 TOPICS = {"cats": ["the cat chased a mouse", "a kitten purred softly", "whiskers and paws", "the tabby slept"], "cars": ["the engine needs oil", "a gearbox was replaced", "brakes and tyres", "the sedan was parked"], "food": ["soup was served hot", "bread from the oven", "rice and beans", "the stew simmered"]}
 
 
