@@ -1,20 +1,24 @@
 """Adjacency-table shredding of nested JSON records into related flat tables.
 
 ``shred`` turns every record into rows of one adjacency table: node, parent,
-label, ordinal, kind and scalar. A list adds no node of its own: its elements
-hang under the object that holds the list, labelled with the list's name and
-numbered by their place, so that an object standing where a list belongs reads
-as a list of one. ``entities`` gives object nodes the place of their parents;
-``entity_table`` joins object nodes with their scalar children and pivots them.
+label, ordinal, kind and scalar, and of each node the entity it belongs to and
+its field there. A list adds no node of its own: its elements hang under the
+object that holds the list, labelled with the list's name and numbered by
+their place, so that an object standing where a list belongs reads as a list
+of one. ``pivoted`` brings object nodes together with their scalar children,
+in one aggregation that is combined where the record was read, and turns the
+children into columns; ``placed`` gives objects the place of their parents.
+``entities`` and ``entity_table`` are these two with no columns and with those
+of one list.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Lists of a record and lists inside their items.
@@ -22,7 +26,8 @@ TOP_LISTS = ("mentions", "matters", "relationships", "risks", "actions")
 CHILD_LISTS = ("geographies", "attributes", "case_numbers", "legal_provisions")
 
 ROOT = 0
-_ADJACENCY = "node int, parent int, label string, ordinal bigint, kind string, scalar string"
+_ADJACENCY = "node int, parent int, label string, ordinal bigint, kind string, scalar string, entity int, field string"
+_TYPES = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string())
 
 
 class _Number(str):
@@ -70,48 +75,62 @@ def _loads(text: str) -> object:
     return json.loads(text, parse_float=_Number, parse_int=_Number, strict=False)
 
 
-def walk(record: dict, scalars: bool = True) -> Iterator[tuple[int, int | None, str, int, str, str | None]]:
-    """(node, parent, label, ordinal, kind, scalar) of a record, the root first.
+def walk(record: dict, tops: Sequence[str] = TOP_LISTS, children: Sequence[str] = CHILD_LISTS) -> tuple[list, ...]:
+    """The columns node, parent, label, ordinal, kind, scalar, entity, field of a record, the root first.
 
+    Entities are the root, objects of a list of ``tops`` in it, and objects of
+    a list of ``children`` in those; every other node belongs to the nearest
+    entity above it, ``field`` being the labels from there, joined by dots.
     Iterative, so depth is bounded by the JSON reader only. Elements of a list
     inside a list keep the outer element's ordinal through an ``array`` node.
     """
-    yield ROOT, None, "", 0, "object", None
+    nodes, parents, labels, ordinals, kinds, scalars, owners, fields = out = tuple([v] for v in (ROOT, None, "", 0, "object", None, ROOT, ""))
     n = ROOT
-    stack: list[tuple[int, str, int, object]] = [(ROOT, k, -1, v) for k, v in reversed(record.items())]
+    tops, children = frozenset(tops), frozenset(children)
+    # (parent, label, ordinal, value, entity, its level, field of the parent)
+    stack: list[tuple] = [(ROOT, k, -1, v, ROOT, 0, "") for k, v in reversed(record.items())]
     while stack:
-        parent, label, ordinal, value = stack.pop()
-        if isinstance(value, list) and ordinal < 0:
-            stack.extend((parent, label, i, v) for i, v in reversed(list(enumerate(value))))
+        parent, label, ordinal, value, entity, level, above = stack.pop()
+        kind = type(value)
+        if kind is list and ordinal < 0:
+            stack.extend((parent, label, i, v, entity, level, above) for i, v in reversed(list(enumerate(value))))
             continue
-        ordinal = max(ordinal, 0)
-        if isinstance(value, dict):
-            n += 1
-            yield n, parent, label, ordinal, "object", None
-            stack.extend((n, k, -1, v) for k, v in reversed(value.items()))
-        elif isinstance(value, list):
-            n += 1
-            yield n, parent, label, ordinal, "array", None
-            stack.extend((n, label, i, v) for i, v in reversed(list(enumerate(value))))
-        elif scalars:
-            n += 1
-            if isinstance(value, _Number):
-                yield n, parent, label, ordinal, "number", str(value)
-            elif isinstance(value, bool):
-                yield n, parent, label, ordinal, "boolean", "true" if value else "false"
-            elif value is None:
-                yield n, parent, label, ordinal, "null", None
-            else:
-                yield n, parent, label, ordinal, "string", value.encode("utf-8", "replace").decode("utf-8") if isinstance(value, str) else str(value)
-
-
-def shred(df: DataFrame, keys: Sequence[str], column: str, scalars: bool = True, names: Sequence[str] = TOP_LISTS) -> DataFrame:
-    """Adjacency table of the JSON in ``column``: ``keys`` plus node, parent, label, ordinal, kind, scalar.
+        n += 1
+        scalar = None
+        field = f"{above}.{label}" if above else label
+        if kind is dict:
+            name = "object"
+            if not above and parent == entity and label in (tops if level == 0 else children if level == 1 else ()):
+                entity, level, field = n, level + 1, ""
+            stack.extend((n, k, -1, v, entity, level, field) for k, v in reversed(value.items()))
+        elif kind is list:
+            name = "array"
+            stack.extend((n, label, i, v, entity, level, above) for i, v in reversed(list(enumerate(value))))
+        elif kind is str:
+            name, scalar = "string", value if value.isascii() else value.encode("utf-8", "replace").decode("utf-8")
+        elif kind is _Number:
+            name, scalar = "number", str(value)
+        elif kind is bool:
+            name, scalar = "boolean", "true" if value else "false"
+        else:
+            name, scalar = ("null", None) if value is None else ("number", str(value))
+        nodes.append(n)
+        parents.append(parent)
+        labels.append(label)
+        ordinals.append(ordinal if ordinal > 0 else 0)
+        kinds.append(name)
+        scalars.append(scalar)
+        owners.append(entity)
+        fields.append(field)
+    return out
+
+
+def shred(df: DataFrame, keys: Sequence[str], column: str, names: Sequence[str] = TOP_LISTS, children: Sequence[str] = CHILD_LISTS) -> DataFrame:
+    """Adjacency table of the JSON in ``column``: ``keys`` plus node, parent, label, ordinal, kind, scalar, entity, field.
 
     Records are read one by one where they lie (no shuffle). ``keys`` must
-    tell the records apart. ``scalars=False`` pushes a filter on object and
-    array nodes into the reader. A null, empty or unreadable record has no
-    rows, nor has one without any of ``names`` at any level. Other columns are
+    tell the records apart. A null, empty or unreadable record has no rows,
+    nor has one without any of ``names`` at any level. Other columns are
     dropped, whatever they are called. Numbers keep their spelling.
     """
     source = df.select(*keys, column)
@@ -121,87 +140,94 @@ def shred(df: DataFrame, keys: Sequence[str], column: str, scalars: bool = True,
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at: list[int] = []
-            rows: list[tuple] = []
+            columns: list[list] = [[] for _ in _TYPES]
             for i, text in enumerate(batch.column(len(keys)).to_pylist()):
                 record = parse_record(text, names)
                 if record is not None:
-                    before = len(rows)
-                    rows.extend(walk(record, scalars))
-                    at.extend([i] * (len(rows) - before))
-                if len(rows) >= 200_000:
-                    yield _out(batch, keys, at, rows)
-                    at, rows = [], []
-            if rows:
-                yield _out(batch, keys, at, rows)
+                    found = walk(record, names, children)
+                    for own, new in zip(columns, found):
+                        own += new
+                    at += [i] * len(found[0])
+                if len(at) >= 100_000:
+                    yield _out(batch, keys, at, columns)
+                    at, columns = [], [[] for _ in _TYPES]
+            if at:
+                yield _out(batch, keys, at, columns)
 
     return source.mapInArrow(run, schema)
 
 
-def _out(batch: pa.RecordBatch, keys: Sequence[str], at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+def _out(batch: pa.RecordBatch, keys: Sequence[str], at: list[int], columns: list[list]) -> pa.RecordBatch:
     index = pa.array(at, pa.int32())
-    columns = [batch.column(i).take(index) for i in range(len(keys))]
-    types = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string())
-    columns += [pa.array(c, t) for c, t in zip(zip(*rows), types)]
-    return pa.RecordBatch.from_arrays(columns, [*keys, "node", "parent", "label", "ordinal", "kind", "scalar"])
+    arrays = [batch.column(i).take(index) for i in range(len(keys))] + [pa.array(c, t) for c, t in zip(columns, _TYPES)]
+    return pa.RecordBatch.from_arrays(arrays, [*keys, *(f.split(" ")[0] for f in _ADJACENCY.split(", "))])
 
 
-def entities(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Object nodes of the lists: ``keys``, node, path, item_pos, child_pos, parent.
+def pivoted(nodes: DataFrame, keys: Sequence[str], columns: Mapping[str, Column] | None = None) -> DataFrame:
+    """``keys``, entity, parent, label, ordinal of every entity, and ``columns``: aggregates over its fields and scalars.
+
+    An entity's own row and its scalar children have the same ``entity``, so
+    joining them is one grouping, combined in the task that read the record
+    before anything is shuffled. The root is no entity of a table.
+    """
+    own = (F.col("kind") == "object") & (F.col("node") == F.col("entity"))
+    names = F.array(*[F.lit(n) for n in dict.fromkeys((*TOP_LISTS, *CHILD_LISTS))])
+    # Numbers only, the label as its place among the names: such buffers are hashed, text would be sorted.
+    place = {"parent": F.col("parent"), "ordinal": F.col("ordinal"), "_label": F.array_position(names, F.col("label"))}
+    aggs = [F.max(F.when(own, c)).alias(n) for n, c in place.items()] + [c.alias(n) for n, c in (columns or {}).items()]
+    grouped = nodes.where(F.col("entity") != ROOT).groupBy(*keys, "entity").agg(*aggs)
+    return grouped.withColumn("label", F.element_at(names, F.col("_label").cast("int"))).drop("_label")
+
+
+def placed(objects: DataFrame, keys: Sequence[str], rest: Sequence[str] = ()) -> DataFrame:
+    """``keys``, path, item_pos, child_pos and ``rest`` of entities, each with the place of its parent.
 
     Items of a top list hang under the record, objects of an inner list under
     an item; ``path`` names the list or both lists joined by a dot, and
-    ``child_pos`` is -1 for an item. Objects elsewhere are left out.
+    ``child_pos`` is -1 for an item.
     """
-    at_item = (F.col("parent") == ROOT) & F.col("label").isin(*TOP_LISTS)
-    within = (F.col("parent") > ROOT) & F.col("label").isin(*CHILD_LISTS)
-    objects = nodes.where((F.col("kind") == "object") & (at_item | within))
-    owner = F.when(at_item, F.col("node")).otherwise(F.col("parent"))
+    at_item = F.col("parent") == ROOT
     # An item and its objects come from one record, which one task has held as text.
     family = Window.partitionBy(*keys, "_owner")
-    placed = objects.withColumn("_owner", owner).withColumn("_item", F.max(F.when(at_item, F.struct("label", "ordinal"))).over(family))
-    return placed.where(F.col("_item").isNotNull()).select(
+    found = objects.withColumn("_owner", F.when(at_item, F.col("entity")).otherwise(F.col("parent"))).withColumn("_item", F.max(F.when(at_item, F.struct("label", "ordinal"))).over(family))
+    return found.select(
         *keys,
-        "node",
         F.when(at_item, F.col("label")).otherwise(F.concat_ws(".", "_item.label", "label")).alias("path"),
         F.col("_item.ordinal").alias("item_pos"),
         F.when(at_item, F.lit(-1)).otherwise(F.col("ordinal")).cast("long").alias("child_pos"),
-        "parent",
+        *rest,
     )
 
 
+def entities(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys``, path, item_pos, child_pos of every object of a list. Objects elsewhere are left out."""
+    return placed(pivoted(nodes, keys), keys)
+
+
+def _fields(fields: Sequence[str], lists: Sequence[str], embedded: Sequence[str]) -> dict[str, Column]:
+    scalar = F.col("kind").isin("string", "number", "boolean")
+    pick = lambda name: F.min_by("scalar", F.when(scalar & (F.col("field") == name), F.struct("ordinal", "node")))
+    out = {f: pick(f) for f in fields}
+    for f in lists:
+        out[f] = F.transform(F.array_sort(F.collect_list(F.when(scalar & (F.col("field") == f), F.struct("ordinal", "node", "scalar")))), lambda x: x["scalar"])
+    for e in embedded:
+        value = pick(e)
+        out[e.replace(".", "_")] = F.coalesce(value, pick(e.removesuffix(".quote"))) if e.endswith("evidence.quote") else value
+    return out
+
+
 def entity_table(nodes: DataFrame, keys: Sequence[str], path: str, fields: Sequence[str], lists: Sequence[str] = (), embedded: Sequence[str] = ()) -> DataFrame:
-    """The flat table of one list: object nodes joined with their scalar children, pivoted.
+    """The flat table of one list: object nodes with their scalar children, pivoted.
 
     ``fields`` become text columns, ``lists`` arrays in list order, and each
     ``a.b`` or ``a.b.c`` in ``embedded`` a column ``a_b`` or ``a_b_c`` read
     from a single object inside the entity (a plain text in place of
-    ``evidence`` counts as its quote). Rows keep ``keys``, the node and its
+    ``evidence`` counts as its quote). Rows keep ``keys`` and their and their
     parent's positions. Absent fields are null, absent lists empty; a field
     given twice takes its first value. Nothing is dropped but other fields.
     """
-    own = entities(nodes, keys).where(F.col("path") == path)
-    scalars = nodes.where(F.col("kind").isin("string", "number", "boolean")).select(*keys, F.col("parent").alias("_up"), "label", "ordinal", "scalar")
-    wanted = [*fields, *lists, *embedded]
-    heads = sorted({e.rsplit(".", 1)[0] for e in embedded if "." in e})
-    links = nodes.where(F.col("kind") == "object").select(*keys, F.col("node").alias("_n"), F.col("parent").alias("_p"), F.col("label").alias("_l"))
-    level = scalars
-    found = scalars
-    for _ in range(max([e.count(".") for e in embedded], default=0)):
-        holder = links.where(F.col("_l").isin(*{h.rsplit(".", 1)[-1] for h in heads}, *{h.split(".")[0] for h in heads}))
-        level = level.withColumnRenamed("_up", "_n").join(holder, [*keys, "_n"])
-        level = level.select(*keys, F.col("_p").alias("_up"), F.concat_ws(".", "_l", "label").alias("label"), "ordinal", "scalar")
-        found = found.unionByName(level)
-    found = found.where(F.col("label").isin(*wanted, *[e.rsplit(".", 1)[0] for e in embedded if e.endswith("evidence.quote")])).withColumnRenamed("_up", "node")
-    joined = own.join(found, [*keys, "node"], "left")
-    pick = lambda name: F.min_by("scalar", F.when(F.col("label") == name, F.col("ordinal")))
-    aggs = [pick(f).alias(f) for f in fields]
-    aggs += [
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("label") == f, F.struct("ordinal", "scalar")))), lambda x: x["scalar"]).alias(f)
-        for f in lists
-    ]
-    for e in embedded:
-        value = pick(e)
-        if e.endswith("evidence.quote"):
-            value = F.coalesce(value, pick(e.rsplit(".", 1)[0]))
-        aggs.append(value.alias(e.replace(".", "_")))
-    return joined.groupBy(*keys, "node", "path", "item_pos", "child_pos").agg(*aggs).drop("node", "path")
+    columns = _fields(fields, lists, embedded)
+    # Items of other lists are no parents or members of this one; of its parents only the place is needed.
+    names = path.split(".")
+    rows = pivoted(nodes, keys, columns).where(F.col("label").isin(*names))
+    return placed(rows, keys, list(columns)).where(F.col("path") == path).drop("path")
