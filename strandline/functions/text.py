@@ -3,37 +3,31 @@
 from __future__ import annotations
 
 import re
-import unicodedata
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPACED = frozenset(("br", "li", "p"))
+#: Elements that set a space before what follows their opening tag.
+SPACED = ("br", "li", "p")
 
-
-class _Data(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.seen: list[str] = []
-
-    def handle_starttag(self, tag, attrs):
-        if tag in _SPACED:
-            self.seen.append(" ")
-
-    def handle_data(self, data):
-        self.seen.append(data)
+_INSIDE = r"""(?:"[^"]*"|'[^']*'|[^"'>])*>"""
+# What is no text: comments, declarations, and tags; script and style hold text that is not decoded.
+_MARK = re.compile(rf"<!--.*?-->|<(?P<raw>script|style)\b{_INSIDE}(?P<held>.*?)</(?P=raw)\s*>|<[!?][^>]*>|<(?P<open>[a-z][^\s/>]*){_INSIDE}|</[a-z]{_INSIDE}", re.S | re.I)
 
 
 def plain_text(markup: str | None) -> str | None:
-    """Text data with one space at each br, li and p, references decoded, white space made single. Null stays null."""
+    """The text of markup: a space where br, li or p opens, nothing for other tags, references decoded, white space made single. Null stays null."""
     if markup is None:
         return None
-    reader = _Data()
-    reader.feed(markup)
-    reader.close()
-    return " ".join("".join(reader.seen).split())
+    found, at = [], 0
+    for mark in _MARK.finditer(markup):
+        found.append(unescape(markup[at : mark.start()]))
+        found.append(mark["held"] or (" " if (mark["open"] or "").lower() in SPACED else ""))
+        at = mark.end()
+    found.append(unescape(markup[at:]))
+    return " ".join("".join(found).split())
 
 
 def html_text(markup: Column) -> Column:
@@ -45,20 +39,23 @@ def html_text(markup: Column) -> Column:
     return F.pandas_udf(run, "string")(markup)
 
 
-def _fold(name: str) -> str:
-    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", name).casefold()).strip()
+def stripped(c: Column) -> Column:
+    """A text without outer white space of any kind."""
+    return F.regexp_replace(c, r"(?U)^[\s\x{1c}-\x{1f}]+|[\s\x{1c}-\x{1f}]+$", "")
 
 
-def _folded(names: Column) -> Column:
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(_fold, na_action="ignore")
+def normalize_name(c: Column) -> Column:
+    """A name in compatibility form, case-folded, white space made single.
 
-    return F.pandas_udf(run, "string")(names)
+    Plain ASCII stays in the JVM; only other names are sent to Python.
+    """
 
+    def folded(values: pd.Series) -> pd.Series:
+        return values.str.normalize("NFKC").str.casefold().str.split().str.join(" ")
 
-def normalize_name(c: Column) -> Column:
-    """A name in compatibility form, case-folded, white space made single."""
-    return _folded(c)
+    ascii_ = c.rlike(r"^[\x00-\x7F]*$")
+    here = F.trim(F.regexp_replace(F.lower(c), r"[\s\x0B\x1c-\x1f]+", " "))
+    return F.when(ascii_, here).otherwise(F.pandas_udf(folded, "string")(F.when(~ascii_, c)))
 
 
 def title_label(c: Column) -> Column:
@@ -68,20 +65,17 @@ def title_label(c: Column) -> Column:
 
 def source_text(title: Column, text: Column) -> Column:
     """What quotes are looked up in: the trimmed title, a line break, the text."""
-    return F.concat_ws("\n", F.trim(title), text)
-
-
-def occurrences(text: Column, part: Column) -> Column:
-    """How often ``part`` occurs in ``text`` without overlap; 0 for an empty part."""
-    cut = F.replace(text, part, F.lit(""))
-    return F.when(F.length(part) > 0, ((F.length(text) - F.length(cut)) / F.length(part)).cast("int")).otherwise(F.lit(0))
+    return F.concat_ws("\n", stripped(title), text)
 
 
 def repair_quote(quote: Column, source: Column) -> Column:
-    """The source's own spelling of a quote found exactly once ignoring case; else the quote as it is."""
-    low, text = F.lower(quote), F.lower(source)
-    once = occurrences(text, low) == 1
-    return F.when(once & (F.length(text) == F.length(source)), F.substring(source, F.position(low, text), F.length(quote))).otherwise(quote)
+    """The source's own spelling of a quote found exactly once ignoring case; else the quote as it is.
+
+    Places are counted without overlap. An empty quote is left alone.
+    """
+    literal = F.concat(F.lit(r"(?iu)\Q"), F.replace(quote, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E"))
+    found = F.regexp_extract_all(source, literal, F.lit(0))
+    return F.when((F.length(quote) > 0) & (F.size(found) == 1), F.element_at(found, 1)).otherwise(quote)
 
 
 def release_links(html: Column, ref: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the data model.
+NODE_KINDS = ("release", "person", "organization", "fund", "group", "instrument", "unknown", "matter", "risk", "action")
 NODE_FAMILIES = {"release": "source", "matter": "matter", "risk": "risk", "action": "action"}
 EDGE_FAMILIES = ("evidence", "participation", "relationship")
 PEOPLE = ("person", "group")

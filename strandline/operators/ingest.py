@@ -12,17 +12,23 @@ RELEASE = ("source_ref", "language")
 EXTRACTION = ("source_ref", "language", "source_modification_time", "schema_version", "model")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """``old`` with the rows of ``new`` in place of those with equal keys. Of equal keys in one batch the greatest row wins.
+def upsert(old: DataFrame, new: DataFrame, keys: tuple[str, ...], order: tuple[str, ...] = ()) -> DataFrame:
+    """``old`` with the rows of ``new`` in place of those with equal keys. Of equal keys in one batch the one greatest by ``order`` (columns of ``new``), then the greatest row, wins.
 
     Keys and rows are combined on the map side; nothing is sorted per key.
     """
     cols = old.columns
     rest = [c for c in cols if c not in keys]
-    fresh = current_rows(new.select(*cols).withColumn("_t", F.struct(*rest)), keys, ("_t",), ()).select(*keys, *[F.col(f"_t.{c}").alias(c) for c in rest])
+    rank = new.select(*cols, F.struct(*order).alias("_o") if order else F.lit(0).alias("_o"), F.struct(*rest).alias("_t"))
+    fresh = current_rows(rank, keys, ("_o", "_t"), ()).select(*keys, *[F.col(f"_t.{c}").alias(c) for c in rest])
     return old.join(fresh.select(*keys), list(keys), "left_anti").unionByName(fresh)
 
 
+def save_releases(old: DataFrame, new: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+    """Releases with a batch saved: languages are kept in upper case."""
+    return upsert(old, new.withColumn("language", F.upper("language")), RELEASE, order)
+
+
 def derived_links(releases: DataFrame) -> DataFrame:
     """source_ref, language, target_ref of the releases linked in the markup of each release."""
     rows = releases.select(*RELEASE, F.get_json_object("raw_json", "$.html").alias("html"))
@@ -36,12 +42,32 @@ def replace_links(links: DataFrame, upserted: DataFrame) -> DataFrame:
 
 
 def classify_changes(listing: DataFrame, known: DataFrame) -> DataFrame:
-    """Every listed ref with its status: added, updated or unchanged, by issue date and modification time."""
-    seen = known.select("source_ref", F.col("issue_date").alias("_i"), F.col("modification_time").alias("_m")).dropDuplicates(["source_ref"])
-    status = F.when(F.col("_m").isNull(), "added").when((F.col("_i") == F.col("issue_date")) & (F.col("_m") == F.col("modification_time")), "unchanged").otherwise("updated")
+    """Every listed ref with its status: added, updated or unchanged, by issue date and modification time. ``known`` has one language; of a ref given twice the greatest version counts."""
+    version = F.struct(F.col("modification_time").alias("m"), F.col("issue_date").alias("i"))
+    seen = known.groupBy("source_ref").agg(F.max(version).alias("_v"))
+    same = (F.col("_v.i") == F.col("issue_date")) & (F.col("_v.m") == F.col("modification_time"))
+    status = F.when(F.col("_v").isNull(), "added").when(same, "unchanged").otherwise("updated")
     return listing.join(seen, "source_ref", "left").select("source_ref", "issue_date", "modification_time", status.alias("status"))
 
 
+def scan(releases: DataFrame, language: str, refs: tuple[str, ...] = ()) -> DataFrame:
+    """Releases of a language, newest first; only those of ``refs`` if there are any."""
+    rows = releases.where(F.col("language") == language.upper())
+    rows = rows.where(F.col("source_ref").isin(*refs)) if refs else rows
+    return rows.orderBy(F.desc("issue_date"), F.desc("source_ref"))
+
+
+def versions(releases: DataFrame, language: str) -> DataFrame:
+    """source_ref, issue_date, modification_time of a language's releases."""
+    return releases.where(F.col("language") == language.upper()).select("source_ref", "issue_date", "modification_time")
+
+
+def links_of(links: DataFrame, known: DataFrame, language: str) -> DataFrame:
+    """Links of the known releases (source_ref), in order of source and target."""
+    rows = links.where(F.col("language") == language.upper()).select("source_ref", "target_ref").distinct()
+    return rows.join(known.select("source_ref").distinct(), "source_ref", "left_semi").orderBy("source_ref", "target_ref")
+
+
 def pending(releases: DataFrame, extractions: DataFrame, failures: DataFrame, version: int, model: str, force: bool = False, retry_failures: bool = False, limit: int | None = None) -> DataFrame:
     """Releases that still need an extraction, newest first. ``force`` redoes current ones, but does not lift the skipping of failures."""
     key = list(EXTRACTION)
@@ -78,6 +104,6 @@ def invalid_json(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull() & F.try_parse_json(column).isNull())
 
 
-def settle_failures(failures: DataFrame, saved: DataFrame) -> DataFrame:
-    """Failures without those whose extraction has been saved since."""
-    return failures.join(saved.select(*EXTRACTION).distinct(), list(EXTRACTION), "left_anti")
+def without_release(rows: DataFrame, releases: DataFrame) -> DataFrame:
+    """Rows of a table whose release (source_ref, language) does not exist."""
+    return rows.join(releases.select(*RELEASE).distinct(), list(RELEASE), "left_anti")

@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 
 from strandline.graph import EvidenceGraph
 from strandline.operators.order import ordered
-from strandline.session import cut
+from strandline.session import cut, cut_count, drop_cut
 
 DAMPING = 0.85
 ROUNDS = 50
-#: Edges up to which the edge list is broadcast for betweenness (two 32-bit numbers each): 64 MB.
-BROADCAST_EDGES = 8_000_000
+#: Edges up to which the edge list is broadcast for betweenness: 16 MB, and some 80 MB as lists in each worker.
+BROADCAST_EDGES = 1_000_000
+#: Sources times nodes that betweenness by joins works on at once.
+PAIRS = 50_000_000
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -36,20 +38,31 @@ def degree(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id, component (its smallest member), size. Least labels spread along edges, and labels jump to their label's label."""
-    ways = cut(both_ways(edges))
-    label = cut(ways.groupBy(F.col("src").alias("id")).agg(F.min(F.least("src", "dst")).alias("label")))
-    while True:
-        near = ways.join(label, ways["dst"] == label["id"]).groupBy("src").agg(F.min("label").alias("seen"))
-        step = label.join(near, F.col("id") == F.col("src"), "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("seen", "label")).alias("label"))
-        up = step.select(F.col("id").alias("_i"), F.col("label").alias("_l"))
-        step = cut(step.join(up, F.col("label") == F.col("_i"), "left").select("id", "old", F.least("label", F.coalesce("_l", "label")).alias("label")))
-        done = step.where("label <> old").isEmpty()
-        label = step.select("id", "label")
-        if done:
-            break
-    sizes = label.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    return label.join(sizes, "label").select("id", F.col("label").alias("component"), "size")
+    """id, component (its smallest member), size.
+
+    In a round every node takes the least label around it, labels jump to their
+    label's label twice, and edges are redrawn between labels; those within one
+    label vanish, so a round works on what is left only. Labels never rise and
+    stay within their component; when no edge is left each component has one
+    label, its smallest member. The rounds' labels are put together at the end.
+    """
+    left, n = cut_count(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    rounds = []
+    while n or not rounds:
+        least = cut(both_ways(left).groupBy(F.col("src").alias("v")).agg(F.min(F.least("src", "dst")).alias("m")))
+        label = least
+        for _ in range(2):
+            label = label.join(least.select(F.col("v").alias("m"), F.col("m").alias("_up")), "m").select("v", F.col("_up").alias("m"))
+        label = cut(label, least)
+        rounds.append(label)
+        at = lambda end, name: label.select(F.col("v").alias(end), F.col("m").alias(name))  # noqa: B023, E731
+        drawn = left.join(at("a", "x"), "a").join(at("b", "y"), "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        left, n = cut_count(drawn, left)
+    label = rounds[-1]
+    for own in reversed(rounds[:-1]):
+        label = own.join(label.select(F.col("v").alias("m"), F.col("m").alias("_up")), "m", "left").select("v", F.coalesce("_up", "m").alias("m"))
+    sizes = label.groupBy("m").agg(F.count(F.lit(1)).alias("size"))
+    return label.join(sizes, "m").select(F.col("v").alias("id"), F.col("m").alias("component"), "size")
 
 
 def pagerank(edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, every: int = 10) -> DataFrame:
@@ -58,68 +71,69 @@ def pagerank(edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, e
     ways = cut(ways.join(degree(edges).withColumnRenamed("id", "src"), "src").select("src", "dst", (F.lit(1.0) / F.col("degree")).alias("share")))
     n = ways.select("src").distinct().count()
     rank = ways.select(F.col("src").alias("id")).distinct().withColumn("pagerank", F.lit(1.0 / max(n, 1)))
+    written: tuple[DataFrame, ...] = ()
     for i in range(rounds):
         flow = ways.join(rank, ways["src"] == rank["id"]).groupBy("dst").agg(F.sum(F.col("pagerank") * F.col("share")).alias("in"))
         rank = flow.select(F.col("dst").alias("id"), (F.lit((1 - damping) / max(n, 1)) + F.lit(damping) * F.col("in")).alias("pagerank"))
         if (i + 1) % every == 0:
-            rank = cut(rank)
+            rank = cut(rank, *written)
+            written = (rank,)
     return rank
 
 
 def core_numbers(edges: DataFrame) -> DataFrame:
     """id, core: every node's number falls to the h-index of its neighbours' numbers until none falls."""
     ways = cut(both_ways(edges))
-    core = cut(degree(edges).select("id", F.col("degree").cast("long").alias("core")))
+    state = cut(degree(edges).select("id", F.col("degree").cast("long").alias("core")))
     while True:
+        core = state.select("id", "core")
         near = ways.join(core, ways["dst"] == core["id"]).groupBy("src", "core").agg(F.count(F.lit(1)).alias("n"))
         # Counts by value, not neighbours, are gathered: as many entries as there are distinct core numbers around a node.
         lists = near.groupBy("src").agg(F.array_sort(F.collect_list(F.struct((-F.col("core")).alias("v"), "n"))).alias("seen"))
         step = F.aggregate("seen", F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("total")), lambda acc, x: F.struct(F.greatest(acc["h"], F.least(acc["total"] + x["n"], -x["v"])).alias("h"), (acc["total"] + x["n"]).alias("total")))
-        new = cut(core.join(lists, F.col("id") == F.col("src")).select("id", F.col("core").alias("old"), F.least("core", step["h"]).alias("core")))
-        done = new.where("core <> old").isEmpty()
-        core = new.select("id", "core")
-        if done:
-            return core
+        new = core.join(lists, F.col("id") == F.col("src")).select("id", F.col("core").alias("old"), F.least("core", step["h"]).alias("core"))
+        state, fell = cut_count(new, state, where="core <> old")
+        if not fell:
+            return state.select("id", "core")
 
 
-def betweenness(edges: DataFrame, limit: int = BROADCAST_EDGES) -> DataFrame:
+def betweenness(edges: DataFrame, limit: int = BROADCAST_EDGES, pairs: int = PAIRS) -> DataFrame:
     """id, betweenness: exact, unweighted, scaled by 1 / ((n - 1)(n - 2)).
 
-    Up to ``limit`` edges the edge list is broadcast and sources are shared
-    out over the tasks; beyond, sources advance level by level in joins.
+    Nodes are numbered first. Up to ``limit`` edges the edge list is broadcast
+    and sources are shared out over the tasks; beyond, sources advance level by
+    level in joins, so many at a time that sources times nodes are ``pairs``.
     """
-    names = cut(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    names = cut(ordered(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "v", "id").select("id", F.col("v").cast("int").alias("v")))
     n = names.count()
     if n <= 2:
-        return names.withColumn("betweenness", F.lit(0.0))
-    small = edges.limit(limit + 1).count() <= limit
-    sums = _brandes(edges, names) if small else _brandes_joined(edges, names)
-    return names.join(sums, "id", "left").select("id", (F.coalesce("total", F.lit(0.0)) / F.lit(float((n - 1) * (n - 2)))).alias("betweenness"))
-
-
-def _brandes(edges: DataFrame, names: DataFrame) -> DataFrame:
-    table = edges.toArrow()
-    a, b = (np.asarray(table.column(c).to_pylist(), dtype=object) for c in ("a", "b"))
-    ids = np.unique(np.concatenate((a, b)))
-    ia, ib = np.searchsorted(ids, a).astype(np.int32), np.searchsorted(ids, b).astype(np.int32)
-    src, dst = np.concatenate((ia, ib)), np.concatenate((ib, ia))
+        return names.select("id", F.lit(0.0).alias("betweenness"))
+    number = lambda end, name: names.select(F.col("id").alias(end), F.col("v").alias(name))
+    numbered, m = cut_count(edges.join(number("a", "x"), "a").join(number("b", "y"), "b").select("x", "y"))
+    sums = _brandes(numbered, names.select("v"), n) if m <= limit else _brandes_joined(numbered, names.select("v"), max(1, pairs // n), n)
+    return names.join(sums, "v", "left").select("id", (F.coalesce("total", F.lit(0.0)) / F.lit(float((n - 1) * (n - 2)))).alias("betweenness"))
+
+
+def _brandes(edges: DataFrame, sources: DataFrame, n: int) -> DataFrame:
+    table = edges.toArrow()  # two 32-bit numbers for each of at most BROADCAST_EDGES
+    x, y = (table.column(c).to_numpy() for c in ("x", "y"))
+    src, dst = np.concatenate((x, y)), np.concatenate((y, x))
     order = np.argsort(src, kind="stable")
-    start = np.searchsorted(src[order], np.arange(len(ids) + 1)).astype(np.int64)
-    shared = edges.sparkSession.sparkContext.broadcast((ids.tolist(), start, dst[order]))
+    first = np.searchsorted(src[order], np.arange(n + 1)).astype(np.int64)
+    shared = edges.sparkSession.sparkContext.broadcast((first, dst[order]))
 
     def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        named, first, to = shared.value
-        near = [to[first[v] : first[v + 1]].tolist() for v in range(len(named))]
-        place = {x: i for i, x in enumerate(named)}
-        total = np.zeros(len(named))
+        first, to = shared.value
+        near = [part.tolist() for part in np.split(to, first[1:-1])]
+        total = np.zeros(len(near))
         for part in parts:
-            for s in part["id"]:
-                _accumulate(place[s], near, total)
+            for s in part["v"].tolist():
+                _accumulate(s, near, total)
         hit = np.flatnonzero(total)
-        yield pd.DataFrame({"id": [named[i] for i in hit], "part": total[hit]})
+        yield pd.DataFrame({"v": hit.astype(np.int32), "part": total[hit]})
 
     tasks = edges.sparkSession.sparkContext.defaultParallelism
-    return names.repartition(tasks).mapInPandas(run, "id string, part double").groupBy("id").agg(F.sum("part").alias("total"))
+    return sources.repartition(tasks).mapInPandas(run, "v int, part double").groupBy("v").agg(F.sum("part").alias("total"))
 
 
 def _accumulate(s: int, near: list[list[int]], total: np.ndarray) -> None:
@@ -144,15 +158,26 @@ def _accumulate(s: int, near: list[list[int]], total: np.ndarray) -> None:
             total[w] += owed[w]
 
 
-def _brandes_joined(edges: DataFrame, names: DataFrame) -> DataFrame:
-    """The same by joins: levels[d] has (s, v, sigma) of all nodes v at distance d from s."""
-    ways = cut(both_ways(edges))
-    levels = [cut(names.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("sigma")))]
+def _brandes_joined(edges: DataFrame, sources: DataFrame, batch: int, n: int) -> DataFrame:
+    """The same by joins, for ``batch`` sources at a time."""
+    ways = cut(edges.select(F.col("x").alias("src"), F.col("y").alias("dst")).unionByName(edges.select(F.col("y").alias("src"), F.col("x").alias("dst"))))
+    total = None
+    for start in range(0, n, batch):
+        part = _dependencies(ways, sources.where(F.col("v").between(start, start + batch - 1)))
+        if part is not None:
+            spent = () if total is None else (total,)
+            total = cut((part if total is None else part.unionByName(total)).groupBy("v").agg(F.sum("total").alias("total")), *spent)
+    return sources.select("v", F.lit(0.0).alias("total")) if total is None else total
+
+
+def _dependencies(ways: DataFrame, sources: DataFrame) -> DataFrame | None:
+    """v, total: dependencies of some sources. levels[d] has (s, v, sigma) of all nodes v at distance d from s."""
+    levels = [cut(sources.select(F.col("v").alias("s"), "v", F.lit(1.0).alias("sigma")))]
     seen = levels[0].select("s", "v")
     while True:
         front = levels[-1].join(ways, F.col("v") == F.col("src")).groupBy("s", F.col("dst").alias("v")).agg(F.sum("sigma").alias("sigma"))
-        front = cut(front.join(seen, ["s", "v"], "left_anti"))
-        if front.isEmpty():
+        front, reached = cut_count(front.join(seen, ["s", "v"], "left_anti"))
+        if not reached:
             break
         seen = front.select("s", "v").unionByName(levels[-1].select("s", "v"))  # an edge spans one level at most
         levels.append(front)
@@ -160,13 +185,11 @@ def _brandes_joined(edges: DataFrame, names: DataFrame) -> DataFrame:
     for d in range(len(levels) - 1, 0, -1):
         own = levels[d].withColumn("delta", F.lit(0.0)) if owed is None else levels[d].join(owed, ["s", "v"], "left").fillna(0.0, ["delta"])
         own = cut(own)
-        add = own.groupBy(F.col("v").alias("id")).agg(F.sum("delta").alias("part"))
+        add = own.groupBy("v").agg(F.sum("delta").alias("total"))
         total = add if total is None else total.unionByName(add)
         up = own.join(ways, own["v"] == ways["src"]).select("s", F.col("dst").alias("v"), ((1 + F.col("delta")) / F.col("sigma")).alias("x"))
         owed = up.join(levels[d - 1], ["s", "v"]).groupBy("s", "v").agg(F.sum(F.col("x") * F.col("sigma")).alias("delta"))
-    if total is None:
-        return names.select("id", F.lit(0.0).alias("total"))
-    return total.groupBy("id").agg(F.sum("part").alias("total"))
+    return total
 
 
 def communities(edges: DataFrame) -> DataFrame:
@@ -192,19 +215,23 @@ def communities(edges: DataFrame) -> DataFrame:
             if moves.isEmpty():
                 break
             tried = _moved(label, moves.where(F.pmod(F.xxhash64("v", F.lit(rounds)), F.lit(2)) == 0))
-            near, risen = _toward(graph, tried, two_m)
+            around, risen = _toward(graph, tried, two_m)
             if risen <= quality:
+                for x in (tried, around):
+                    drop_cut(x)
                 tried = _moved(label, _apart(moves))
-                near, risen = _toward(graph, tried, two_m)
-            label, quality = tried, risen
+                around, risen = _toward(graph, tried, two_m)
+            for x in (label, near, moves):
+                drop_cut(x)
+            label, near, quality = tried, around, risen
             rounds += 1
         if not rounds:
             break
         to = label.select("v", F.col("c").alias("c2"))
-        member = cut(member.join(to, F.col("c") == F.col("v")).select("id", F.col("c2").alias("c")))
-        graph = cut(graph.join(to.select(F.col("v").alias("src"), F.col("c2").alias("s2")), "src").join(to.select(F.col("v").alias("dst"), F.col("c2").alias("d2")), "dst").groupBy(F.col("s2").alias("src"), F.col("d2").alias("dst")).agg(F.sum("w").alias("w")))
+        member = cut(member.join(to, F.col("c") == F.col("v")).select("id", F.col("c2").alias("c")), member)
+        graph = cut(graph.join(to.select(F.col("v").alias("src"), F.col("c2").alias("s2")), "src").join(to.select(F.col("v").alias("dst"), F.col("c2").alias("d2")), "dst").groupBy(F.col("s2").alias("src"), F.col("d2").alias("dst")).agg(F.sum("w").alias("w")), graph)
     first = member.groupBy("c").agg(F.min("id").alias("first"))
-    return member.join(ordered(first, "first", "community").select("c", "community"), "c").select("id", "community")
+    return member.join(ordered(first, "community", "first").select("c", "community"), "c").select("id", "community")
 
 
 def _toward(graph: DataFrame, label: DataFrame, two_m: int) -> tuple[DataFrame, int]:

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.session import cut
 
 
-def ordered(df: DataFrame, at: str, name: str, *ties: str) -> DataFrame:
-    """Dense 0-based ordinals by ``at`` and ``ties``, without pulling all rows into one task.
+def ordered(df: DataFrame, name: str, *by: str | Column) -> DataFrame:
+    """Dense 0-based ordinals by ``by`` (``F.desc`` for falling order), without pulling all rows into one task.
 
     Rows are range-partitioned and sorted; the sizes of the partitions (one
     number each) give every partition its first ordinal.
     """
-    ranged = cut(df.repartitionByRange(*[F.col(c) for c in (at, *ties)]).sortWithinPartitions(at, *ties).withColumn("_p", F.spark_partition_id()))
+    order = [F.col(c) if isinstance(c, str) else c for c in by]
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()))
     sizes = {r["_p"]: r["count"] for r in ranged.groupBy("_p").count().collect()}
     start, offsets = 0, []
     for p in sorted(sizes):
@@ -23,5 +24,5 @@ def ordered(df: DataFrame, at: str, name: str, *ties: str) -> DataFrame:
     if not offsets:
         return df.withColumn(name, F.lit(0).cast("long"))
     first = df.sparkSession.createDataFrame(offsets, "_p int, _first long")
-    place = F.row_number().over(Window.partitionBy("_p").orderBy(at, *ties))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
     return ranged.join(F.broadcast(first), "_p").withColumn(name, F.col("_first") + place - 1).drop("_p", "_first")

@@ -7,14 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.text import entity_id, normalize_name, title_label
+from strandline.functions.text import entity_id, normalize_name, stripped, title_label
 from strandline.graph import FACETS, FACTS, EvidenceGraph
+from strandline.operators.evidence import unwrapped
 from strandline.operators.order import ordered
 from strandline.schema import EXTRACTION
 from strandline.session import cut
 from strandline.taxonomy import ACTION_TYPES, RISK_TYPES, family_of
 
-PLACE = "struct<r:bigint,section:int,item:int,step:int,sub:int>"
+PLACE = "struct<r:bigint,section:int,item:bigint,step:int,sub:int>"
+#: Where releases are found unless another address is given.
 URL = "https://example.org/news?refNo="
 
 
@@ -63,25 +65,25 @@ def _facets(**kinds: Column) -> Column:
 
 def _at(section: int, step: int, sub: Column | int = 0) -> Column:
     sub = F.lit(sub) if isinstance(sub, int) else sub
-    return F.struct(F.col("r").alias("r"), F.lit(section).alias("section"), F.col("item").alias("item"), F.lit(step).alias("step"), sub.alias("sub")).cast(PLACE)
+    return F.struct(F.col("r").alias("r"), F.lit(section).alias("section"), F.col("item").cast("long").alias("item"), F.lit(step).alias("step"), sub.alias("sub")).cast(PLACE)
 
 
 def parse(current: DataFrame) -> DataFrame:
-    """r (release order, newest first), ref, title, issueDate and the typed record of each current extraction."""
-    rows = current.select(F.col("source_ref").alias("ref"), "issue_date", F.get_json_object("raw_json", "$.title").alias("title"), F.from_json("extraction_json", EXTRACTION).alias("x"))
-    rows = rows.withColumn("_at", F.struct((-F.unix_date(F.coalesce(F.to_date(F.substring("issue_date", 1, 10)), F.lit("1970-01-01").cast("date")))).alias("d"), F.translate("ref", "0123456789", "9876543210").alias("o")))
-    return cut(ordered(rows, "_at", "r", "ref").select("r", "ref", "title", F.col("issue_date").alias("issueDate"), "x"))
+    """r (release order, newest first by issue date and ref as texts), ref, title, issueDate and the typed record of each current extraction, however it is wrapped."""
+    rows = current.select(F.col("source_ref").alias("ref"), F.col("issue_date").alias("issueDate"), F.get_json_object("raw_json", "$.title").alias("title"), F.from_json(unwrapped(F.col("extraction_json")), EXTRACTION).alias("x"))
+    return cut(ordered(rows, "r", F.desc("issueDate"), F.desc("ref")).select("r", "ref", "title", "issueDate", "x"))
 
 
-def project(current: DataFrame, links: DataFrame, language: str = "EN") -> EvidenceGraph:
+def project(current: DataFrame, links: DataFrame, language: str = "EN", url: str = URL) -> EvidenceGraph:
     """The evidence graph of the current extractions and the reference links between their releases.
 
     ``current``: source_ref, issue_date, raw_json, extraction_json, one row
     per release. Order is that of the records: release, mentions,
     relationships, matters, risks, actions; of a node met again the first
-    naming counts, and what it adds is appended. Records that can't be read as
-    plain objects give their release node only. References to a mention or
-    matter the record lacks make no link.
+    naming counts, and what it adds is appended. Records that can't be read
+    give their release node only. References to a mention or matter the record
+    lacks make no link. Releases that are linked but have no extraction come
+    last, in order of the links (by source, then target).
     """
     base = parse(current)
     one = lambda name: base.select("r", "ref", "x", F.posexplode(F.col(f"x.{name}")).alias("item", "v")).where("v is not null")
@@ -98,7 +100,7 @@ def project(current: DataFrame, links: DataFrame, language: str = "EN") -> Evide
     release_id = F.concat(F.lit("release:"), "ref")
     nil = F.from_json(F.lit("{}"), FACETS)
     releases = base.withColumn("item", F.lit(0))
-    nodes = releases.select(*node(_at(0, 0), release_id, F.concat_ws(" · ", "ref", F.trim("title")), F.lit("release"), F.col("title"), nil, F.array().cast(FACTS)))
+    nodes = releases.select(*node(_at(0, 0), release_id, F.concat_ws(" · ", "ref", stripped(F.col("title"))), F.lit("release"), F.col("title"), nil, F.array().cast(FACTS)))
     nodes = nodes.unionByName(mentions.select(*node(_at(1, 0), F.col("id"), v["name"], F.col("kind"), v["description"], _facets(identity=F.array(F.when(merged, "exact_name").otherwise("release_local")), involvement=v["involvement"]), _facts(F.when(merged, F.array(_fact(F.lit("description"), v["description"], ev))), F.transform(strings(v["aliases"]), lambda a: _fact(F.lit("alias"), a, ev)), _places(v["geographies"]), _attributes(v["attributes"])))))
     out = mentions.select(*link(_at(1, 1), release_id, F.col("id"), F.when(v["relevance"] == "primary", "primary_mention").otherwise("mentions"), "evidence", ev))
     related = one("relationships").withColumn("_s", v["subject_id"]).join(globally.select("r", F.col("local").alias("_s"), F.col("id").alias("sid")), ["r", "_s"]).withColumn("_o", v["object_id"]).join(globally.select("r", F.col("local").alias("_o"), F.col("id").alias("oid")), ["r", "_o"])
@@ -120,14 +122,14 @@ def project(current: DataFrame, links: DataFrame, language: str = "EN") -> Evide
             out = out.unionByName(named.select(*link(_at(section, 3 + n, F.col("p")), F.col("gid"), F.col("id"), verb_in, "participation", ev)))
     known = base.select("ref").distinct()
     refs = links.where(F.col("language") == language).select(F.col("source_ref").alias("s"), F.col("target_ref").alias("t")).distinct().join(known, F.col("s") == F.col("ref"), "left_semi")
-    last = F.lit(1 << 40).cast("long")
-    place = F.struct(last.alias("r"), F.lit(9).alias("section"), F.lit(0).alias("item"), F.lit(0).alias("step"), F.lit(0).alias("sub")).cast(PLACE)
-    out = out.unionByName(refs.select(place.alias("at"), F.concat(F.lit("release:"), "s").alias("source"), F.concat(F.lit("release:"), "t").alias("target"), F.lit("references").alias("kind"), F.lit("evidence").alias("family"), F.lit("Linked release").alias("evidence"), F.col("s").alias("releaseRef"), nil.alias("facets"), F.array().cast(FACTS).alias("facts")))
-    stubs = refs.join(known, F.col("t") == F.col("ref"), "left_anti").groupBy("t").agg(F.min("s").alias("s"))
-    nodes = nodes.unionByName(stubs.select(place.alias("at"), F.concat(F.lit("release:"), "t").alias("id"), F.col("t").alias("label"), F.lit("release").alias("kind"), F.lit("A linked release without a current extraction.").alias("summary"), F.col("t").alias("ref"), nil.alias("facets"), F.array().cast(FACTS).alias("facts")))
-    merged_nodes = ordered(merge(nodes), "at", "node_ord", "id").select("node_ord", "id", "label", "kind", "summary", "releaseRefs", "facets", "facts")
-    placed = ordered(out, "at", "link_ord", "source", "target", "kind").select("link_ord", "source", "target", "kind", "family", "evidence", "releaseRef", "facets", "facts")
-    listed = base.select(F.col("r").alias("release_ord"), "ref", F.trim("title").alias("title"), "issueDate", F.concat(F.lit(URL), "ref").alias("url"))
+    refs = cut(ordered(refs, "n", "s", "t"))
+    after = lambda n: F.struct(F.lit(1 << 40).cast("long").alias("r"), F.lit(9).alias("section"), n.alias("item"), F.lit(0).alias("step"), F.lit(0).alias("sub")).cast(PLACE)
+    out = out.unionByName(refs.select(after(F.col("n")).alias("at"), F.concat(F.lit("release:"), "s").alias("source"), F.concat(F.lit("release:"), "t").alias("target"), F.lit("references").alias("kind"), F.lit("evidence").alias("family"), F.lit("Linked release").alias("evidence"), F.col("s").alias("releaseRef"), nil.alias("facets"), F.array().cast(FACTS).alias("facts")))
+    stubs = refs.join(known, F.col("t") == F.col("ref"), "left_anti").groupBy("t").agg(F.min("n").alias("n"))
+    nodes = nodes.unionByName(stubs.select(after(F.col("n")).alias("at"), F.concat(F.lit("release:"), "t").alias("id"), F.col("t").alias("label"), F.lit("release").alias("kind"), F.lit("A linked release without a current extraction.").alias("summary"), F.col("t").alias("ref"), nil.alias("facets"), F.array().cast(FACTS).alias("facts")))
+    merged_nodes = ordered(merge(nodes), "node_ord", "at", "id").select("node_ord", "id", "label", "kind", "summary", "releaseRefs", "facets", "facts")
+    placed = ordered(out, "link_ord", "at", "source", "target", "kind").select("link_ord", "source", "target", "kind", "family", "evidence", "releaseRef", "facets", "facts")
+    listed = base.select(F.col("r").alias("release_ord"), "ref", stripped(F.col("title")).alias("title"), "issueDate", F.concat(F.lit(url), "ref").alias("url"))
     return EvidenceGraph(merged_nodes, placed, listed)
 
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.graph import PEOPLE, EvidenceGraph, is_hub
+from strandline.graph import NODE_FAMILIES, NODE_KINDS, PEOPLE, EvidenceGraph, is_hub
 from strandline.operators.metrics import degree
-from strandline.session import cut
+from strandline.session import cut, cut_count
 
 SEARCH_LIMIT = 12
 VIEW_LIMIT = 80
@@ -74,6 +75,28 @@ def _ids(graph: EvidenceGraph, ids: Sequence[str]) -> DataFrame:
     return graph.nodes.sparkSession.createDataFrame([(i,) for i in ids], "id string")
 
 
+@dataclass(frozen=True)
+class Result:
+    """What a query shows: ids in order (id, pos) and the subgraph they induce."""
+
+    ids: DataFrame
+    graph: EvidenceGraph
+    truncated: bool = False
+    people: DataFrame | None = None
+    cluster: object = None
+
+    def node_ids(self) -> list[str]:
+        """The ids in order. Results are as long as their limit."""
+        return [r["id"] for r in self.ids.orderBy("pos").collect()]
+
+
+def result(graph: EvidenceGraph, ids: Sequence[str], **more) -> Result:
+    """The known ids among those given, each once, and what they induce."""
+    found = known(graph, ids)
+    rows = graph.nodes.sparkSession.createDataFrame(list(zip(found, range(len(found)))), "id string, pos int")
+    return Result(rows, focus(graph, rows), **more)
+
+
 def filtered(graph: EvidenceGraph, kinds: Sequence[str], families: Sequence[str]) -> EvidenceGraph:
     """Nodes of the kinds, links of the families between them, all releases."""
     nodes = graph.nodes.where(F.col("kind").isin(*kinds))
@@ -132,75 +155,102 @@ def spread(graph: EvidenceGraph, seeds: Sequence[str], depth: int, limit: int, e
         if closed is not None:
             new = new.join(closed, "id", "left_anti")
         if room is not None:
-            few = new.orderBy("at", "id").limit(room + 1)
+            few = cut(new.orderBy("at", "id").limit(room + 1))
             n = few.count()
             truncated |= n > room
             new, room = few.orderBy("at", "id").limit(room), room - min(n, room)
-        seen = cut(seen.unionByName(new.select("id", F.lit(hop).alias("hop"), "at")))
+        seen = cut(seen.unionByName(new.select("id", F.lit(hop).alias("hop"), "at")), seen)
     return seen, truncated
 
 
-def neighborhood(graph: EvidenceGraph, ids: Sequence[str], depth: int = 2, limit: int = VIEW_LIMIT, include_hubs: bool = False) -> tuple[EvidenceGraph, DataFrame, DataFrame, bool]:
-    """The induced subgraph, all reached (id, hop), the people among them, and whether the cap cut it short."""
+def _reached(graph: EvidenceGraph, seeds: Sequence[str], seen: DataFrame) -> DataFrame:
+    """id, pos, hop of what was reached: seeds as given, then hop by hop in link order."""
+    start = {i: n for n, i in enumerate(known(graph, seeds))}
+    rows = [(r["id"], r["hop"], start.get(r["id"], r["at"])) for r in seen.collect()] if start else []  # at most the limit, or the seeds given
+    rows.sort(key=lambda r: (r[1], r[2], r[0]))
+    return seen.sparkSession.createDataFrame([(i, n, hop) for n, (i, hop, _) in enumerate(rows)], "id string, pos int, hop int")
+
+
+def neighborhood(graph: EvidenceGraph, ids: Sequence[str], depth: int = 2, limit: int = VIEW_LIMIT, include_hubs: bool = False) -> Result:
+    """All within ``depth`` hops (id, pos, hop), the people among them with their hops, and whether the cap cut it short."""
     seen, truncated = spread(graph, ids, depth, limit, include_hubs)
-    people = graph.nodes.where(F.col("kind").isin(*PEOPLE)).join(seen, "id").select("id", "label", "kind", "hop")
-    return focus(graph, seen), seen, people, truncated
+    found = _reached(graph, ids, seen)
+    people = graph.nodes.where(F.col("kind").isin(*PEOPLE)).join(found, "id").select("node_ord", "id", "label", "kind", "hop")
+    return Result(found, focus(graph, found), truncated, people)
 
 
-def expand(graph: EvidenceGraph, ids: Sequence[str], limit: int = VIEW_LIMIT) -> tuple[EvidenceGraph, DataFrame, bool]:
+def expand(graph: EvidenceGraph, ids: Sequence[str], limit: int = VIEW_LIMIT) -> Result:
     """One hop around the seeds, hubs entered."""
     seen, truncated = spread(graph, ids, 1, limit, True)
-    return focus(graph, seen), seen, truncated
+    found = _reached(graph, ids, seen)
+    return Result(found, focus(graph, found), truncated)
 
 
-def trace(graph: EvidenceGraph, source: str, target: str, max_hops: int = 1000) -> DataFrame:
+def shortest(graph: EvidenceGraph, source: str, target: str) -> DataFrame:
     """step, id, link_ord (of the link that led there) of the shortest path; of several, the first in breadth-first order.
 
     A reached node carries its place in the queue as a text that sorts like
-    the queue (place of its parent, then link order), so no level is numbered.
+    the queue (place of its parent, then link order), so no level is numbered,
+    and the node it was reached from. The search ends with the target or when
+    nothing new is reached; then the path is read back level by level.
     """
     ends = [source] if source == target else [source, target]
     if len(known(graph, ends)) < len(ends):
         raise UnknownNode("Unknown path endpoint")
     spark = graph.nodes.sparkSession
     ways = cut(graph.adjacency())
-    front = spark.createDataFrame([(source, "", [source], [None])], "id string, place string, path array<string>, through array<bigint>")
-    seen = front.select("id")
-    for _ in range(max_hops):
-        hit = front.where(F.col("id") == target).select("path", "through").first()
-        if hit:
-            return spark.createDataFrame([(i, n, o) for i, (n, o) in enumerate(zip(hit["path"], hit["through"]))], "step int, id string, link_ord bigint")
-        new = ways.join(front, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), F.concat("place", F.lpad(F.col("link_ord").cast("string"), 16, "0")).alias("place"), F.concat("path", F.array("dst")).alias("path"), F.concat("through", F.array("link_ord")).alias("through"))
-        new = new.join(seen, "id", "left_anti").groupBy("id").agg(F.min(F.struct("place", "path", "through")).alias("b")).select("id", "b.place", "b.path", "b.through")
-        front = cut(new)
-        if front.isEmpty():
-            break
-        seen = cut(seen.unionByName(front.select("id")))
-    raise UnknownNode("No path found")
-
-
-def cluster(graph: EvidenceGraph, metrics: DataFrame, seed: str, column: str, limit: int = VIEW_LIMIT) -> tuple[DataFrame, bool]:
-    """(id, pos): the seed, then members of its cluster by pagerank and label, and whether there were more than ``limit``."""
-    own = metrics.where(F.col("id") == seed).select(column).first()
-    if own is None:
+    front = spark.createDataFrame([(source, "", None, None)], "id string, place string, parent string, link_ord bigint")
+    seen, levels, hit = front.select("id"), [front], int(source == target)
+    while not hit:
+        new = ways.withColumnRenamed("link_ord", "_o").join(front.select(F.col("id").alias("src"), "place"), "src")
+        new = new.select(F.col("dst").alias("id"), F.concat("place", F.lpad(F.col("_o").cast("string"), 16, "0")).alias("place"), F.col("src").alias("parent"), F.col("_o").alias("link_ord"))
+        new = new.join(seen, "id", "left_anti").groupBy("id").agg(F.min(F.struct("place", "parent", "link_ord")).alias("b")).select("id", "b.*")
+        front, reached = cut_count(new)
+        if not reached:
+            raise UnknownNode("No path found")
+        levels.append(front)
+        seen = cut(seen.unionByName(front.select("id")), seen)
+        hit = front.where(F.col("id") == target).limit(1).count()
+    steps, at = [], target
+    for n in range(len(levels) - 1, -1, -1):
+        row = levels[n].where(F.col("id") == at).select("parent", "link_ord").first()
+        steps.append((n, at, row["link_ord"]))
+        at = row["parent"]
+    return spark.createDataFrame(steps[::-1], "step int, id string, link_ord bigint")
+
+
+def trace(graph: EvidenceGraph, source: str, target: str) -> Result:
+    """The shortest path: its nodes in order and the links that make it up."""
+    path = shortest(graph, source, target)
+    ids = path.select("id", F.col("step").alias("pos"))
+    induced = focus(graph, ids)
+    return Result(ids, EvidenceGraph(induced.nodes, graph.links.join(F.broadcast(path.select("link_ord").where("link_ord is not null")), "link_ord", "left_semi"), induced.releases))
+
+
+def cluster(graph: EvidenceGraph, metrics: DataFrame, seed: str, column: str, limit: int = VIEW_LIMIT) -> Result:
+    """The seed, then members of its cluster by pagerank and label, up to ``limit``; a node of no cluster alone."""
+    if not known(graph, [seed]):
         raise UnknownNode(seed)
-    first = _ids(graph, [seed]).withColumn("pos", F.lit(0))
-    if own[0] is None:
-        return first, False
+    own = metrics.where(F.col("id") == seed).select(column).first()
+    if own is None or own[0] is None:
+        return result(graph, [seed])
     members = metrics.where(F.col(column) == F.lit(own[0])).join(graph.nodes.select("id", "label", "node_ord"), "id")
-    n = members.limit(limit + 1).count()
-    top = members.where(F.col("id") != seed).orderBy(F.desc("pagerank"), F.collate("label", "UNICODE"), "node_ord").limit(limit - 1)
-    placed = top.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("pagerank"), F.collate("label", "UNICODE"), "node_ord")))  # at most limit rows
-    return first.unionByName(placed.select("id", "pos")), n > limit
+    order = (F.desc("pagerank"), F.collate("label", "UNICODE"), F.col("node_ord"))
+    top = [r["id"] for r in members.orderBy((F.col("id") != seed), *order).select("id").limit(limit + 1).collect()]
+    return result(graph, top[:limit], truncated=len(top) > limit, cluster=own[0])
 
 
-def view(graph: EvidenceGraph, ids: Sequence[str], selected: Sequence[str], mode: str | None = None) -> EvidenceGraph:
-    """The given nodes and the selected ones, with their neighbours in mode ego (the default for one seed)."""
+def view(graph: EvidenceGraph, ids: Sequence[str], selected: Sequence[str], mode: str | None = None) -> tuple[Result, list[str]]:
+    """What to show of the given nodes and the selected ones, and which are selected; with neighbours in mode ego (the default for one seed)."""
     chosen = known(graph, selected)[:SELECTED_LIMIT]
-    seeds = list(dict.fromkeys([*chosen, *known(graph, ids)]))[:VIEW_LIMIT]
-    if (mode or ("ego" if len(seeds) == 1 else "exact")) == "ego":
-        return expand(graph, seeds)[0]
-    return focus(graph, _ids(graph, seeds))
+    seeds = list(dict.fromkeys([*chosen, *known(graph, ids)]))
+    shown = expand(graph, seeds).node_ids() if (mode or ("ego" if len(seeds) == 1 else "exact")) == "ego" else seeds
+    return result(graph, shown[:VIEW_LIMIT]), chosen
+
+
+def kinds_of(families: Sequence[str]) -> list[str]:
+    """The node kinds of the families, in their usual order."""
+    return [k for k in NODE_KINDS if NODE_FAMILIES.get(k, "entity") in families]
 
 
 def metric_facts(metrics: DataFrame) -> DataFrame:

@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Texts that stand for no value, in lower case.
+from strandline.session import small_rows
+
+#: Texts that usually stand for no value, in lower case; the default of ``widen``'s ``fillers``.
 FILLERS = (
     "", "-", "--", "?", "n/a", "na", "n.a.", "nil", "nil return", "none", "null",
     "not stated", "not available", "see notice", "tbc", "tba", "tbd", "unknown",
@@ -27,6 +29,7 @@ TRUE_WORDS = ("true", "yes", "y", "1", "t")
 FALSE_WORDS = ("false", "no", "n", "0", "f")
 MULTIPLES = {"thousand": 1_000, "k": 1_000, "million": 1_000_000, "mn": 1_000_000, "m": 1_000_000, "billion": 1_000_000_000, "bn": 1_000_000_000}
 
+MAX_COLUMNS = 5_000
 #: Input rows per partition of the registers' shuffle.
 ROWS_PER_PARTITION = 500_000
 
@@ -96,10 +99,10 @@ def cell_text(c: Column, kind: str) -> Column:
     return c.cast("string")
 
 
-def readable(value: Column, kind: Column) -> Column:
+def readable(value: Column, kind: Column, fillers: Sequence[str] = FILLERS) -> Column:
     """``value`` as canonical text of the type named by ``kind``, null where it can't be read or is a filler."""
     text = clean_text(value)
-    filler = F.lower(text).isin(*FILLERS)
+    filler = F.lower(text).isin(*fillers)
     typed = (
         F.when(kind == "int", read_int(value).cast("string"))
         .when(kind == "decimal", decimal_text(read_decimal(value)))
@@ -122,7 +125,7 @@ def _decode(text: str, kind: str):
     return text
 
 
-def widen(rows: DataFrame, types: DataFrame, keys: Sequence[str] = ("source_ref", "language", "item_id"), name: str = "name", value: str = "value", at: str = "recorded_at") -> DataFrame:
+def widen(rows: DataFrame, types: DataFrame, keys: Sequence[str] = ("source_ref", "language", "item_id"), name: str = "name", value: str = "value", at: str = "recorded_at", fillers: Sequence[str] = FILLERS) -> DataFrame:
     """One row per ``keys`` with a typed column for each name of ``types`` (name, value_type).
 
     Of several values of a cell, the latest ``at`` that can be read counts; a
@@ -130,17 +133,18 @@ def widen(rows: DataFrame, types: DataFrame, keys: Sequence[str] = ("source_ref"
     Entities with no readable cell at all still get a row of nulls. Nulls in
     ``name`` or ``value`` make no cell. Names outside ``types`` are ignored.
     Rows whose key is null form an entity of that key. ``types`` is the list
-    of columns, so it is read to the driver; empty ``rows`` give no rows.
+    of columns, so it is read to the driver, and refused beyond ``MAX_COLUMNS``;
+    empty ``rows`` give no rows. Texts in ``fillers`` are no values.
     Columns not named, whatever they are called, are ignored.
     """
     spark = rows.sparkSession
-    declared = sorted({(r["name"], r["value_type"]) for r in types.select("name", "value_type").collect() if r["name"] is not None and r["value_type"] in SPARK_TYPES})
+    declared = sorted({(r["name"], r["value_type"]) for r in small_rows(types.select("name", "value_type").distinct(), MAX_COLUMNS) if r["name"] is not None and r["value_type"] in SPARK_TYPES})
     slots = [n for n, _ in declared]
     kinds = [k for _, k in declared]
     known = spark.createDataFrame([("".join(c for c in n if c.isalnum()).lower(), i, k) for i, (n, k) in enumerate(declared)], "_key string, _slot int, _kind string")
     cells = rows.select(*keys, F.col(name).alias("_name"), F.col(value).alias("_value"), F.col(at).cast("timestamp").alias("_at"))
     cells = cells.join(F.broadcast(known), name_key(F.col("_name")) == F.col("_key"), "left")  # as many rows as columns
-    cells = cells.select(F.struct(*keys).alias("k"), "_slot", F.coalesce(F.unix_micros("_at"), F.lit(-(1 << 62))).alias("t"), readable(F.col("_value"), F.col("_kind")).alias("v"))
+    cells = cells.select(F.struct(*keys).alias("k"), "_slot", F.coalesce(F.unix_micros("_at"), F.lit(-(1 << 62))).alias("t"), readable(F.col("_value"), F.col("_kind"), fillers).alias("v"))
     width, n_keys = len(slots), len(keys)
 
     def start(cell):
@@ -175,7 +179,7 @@ def widen(rows: DataFrame, types: DataFrame, keys: Sequence[str] = ("source_ref"
 
 def long_cells(wide: DataFrame, types: DataFrame, keys: Sequence[str] = ("source_ref", "language", "item_id")) -> DataFrame:
     """The cells of a wide table that are not null, one per row: ``keys``, name, cell_text."""
-    kinds = {r["name"]: r["value_type"] for r in types.collect()}
+    kinds = {r["name"]: r["value_type"] for r in small_rows(types.select("name", "value_type").distinct(), MAX_COLUMNS)}
     pairs = [F.struct(F.lit(c).alias("name"), cell_text(F.col(f"`{c}`"), kinds[c]).alias("cell_text")) for c in wide.columns if c not in keys and c in kinds]
     if not pairs:
         return wide.select(*keys, F.lit("").alias("name"), F.lit("").alias("cell_text")).limit(0)

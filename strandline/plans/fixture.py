@@ -58,7 +58,7 @@ def fixture_graph(spark: SparkSession, sf_dir: str, size: tuple[int, float] = SM
         nations = table(spark, sf_dir, "nation").select(F.concat(s("n"), "n_nationkey").alias("id"), s("group").alias("kind"), F.struct(s(10**6).cast("int").alias("d"), F.col("n_nationkey").cast("long").alias("o"), s(7).alias("sec"), F.col("n_nationkey").cast("long").alias("key"), s(0).cast("long").alias("sub")).alias("at"), facet(s("related")).alias("facets"), F.array().cast("array<string>").alias("releaseRefs"), F.col("n_name").alias("name"), F.col("n_name").alias("label"))
         others = homes.join(merged.select("id"), "id", "left_anti").select("id", s("person").alias("kind"), F.struct(s(10**6 + 1).cast("int").alias("d"), F.regexp_extract("id", r"(\d+)", 1).cast("long").alias("o"), s(4).alias("sec"), s(0).cast("long").alias("key"), s(0).cast("long").alias("sub")).alias("at"), facet(s("subject")).alias("facets"), F.array().cast("array<string>").alias("releaseRefs"), F.col("c_name").alias("name"), F.col("c_name").alias("label"))
         merged = merged.unionByName(nations).unionByName(others)
-    nodes = ordered(merged, "at", "node_ord").select("node_ord", "id", "label", "kind", F.concat_ws(" ", "kind", "label").alias("summary"), "releaseRefs", "facets", F.array().cast(FACTS).alias("facts"))
+    nodes = ordered(merged, "node_ord", "at").select("node_ord", "id", "label", "kind", F.concat_ws(" ", "kind", "label").alias("summary"), "releaseRefs", "facets", F.array().cast(FACTS).alias("facts"))
     link = lambda sec, src, dst, kind, family, sub=s(0): h.select("day", "ok", s(sec).alias("sec"), F.col("ln").alias("key"), sub.cast("long").alias("sub"), src.alias("source"), dst.alias("target"), s(kind).alias("kind"), s(family).alias("family"))
     c = {"rel": F.concat(s("release:"), "ok"), "s": F.concat(s("s"), "sk"), "p": F.concat(s("p"), "pk"), "c": F.concat(s("c"), "ck"), "r": F.concat(s("r"), "ok", s(":"), "ln"), "m": F.concat(s("m"), "ok")}
     raw = link(1, c["rel"], c["s"], "mentions", "evidence")
@@ -70,6 +70,6 @@ def fixture_graph(spark: SparkSession, sf_dir: str, size: tuple[int, float] = SM
     found = raw.groupBy("source", "target", "kind", "family").agg(F.min(F.struct((-F.unix_date(F.to_date("day"))).alias("d"), (-F.col("ok")).alias("o"), "sec", "key", "sub")).alias("at"))
     if residents:
         found = found.unionByName(table(spark, sf_dir, "customer").select(F.concat(s("c"), "c_custkey").alias("source"), F.concat(s("n"), "c_nationkey").alias("target"), s("resident_in").alias("kind"), s("relationship").alias("family"), F.struct(s(10**6).cast("int").alias("d"), F.col("c_custkey").cast("long").alias("o"), s(10).alias("sec"), s(0).cast("long").alias("key"), s(0).cast("long").alias("sub")).alias("at")))
-    links = ordered(found, "at", "link_ord", "source", "target", "kind").select("link_ord", "source", "target", "kind", "family", F.concat_ws(" ", "source", "kind", "target").alias("evidence"), F.when(F.col("at.d") < 10**6, (-F.col("at.o")).cast("string")).alias("releaseRef"), none.alias("facets"), F.array().cast(FACTS).alias("facts"))
-    rel = ordered(h.select("day", "ok", "prio").distinct().withColumn("at", F.struct((-F.unix_date(F.to_date("day"))).alias("d"), (-F.col("ok")).alias("o"))), "at", "release_ord").select("release_ord", F.col("ok").cast("string").alias("ref"), F.col("prio").alias("title"), F.col("day").alias("issueDate"), F.concat(s("https://example.org/"), F.col("ok").cast("string")).alias("url"))
+    links = ordered(found, "link_ord", "at", "source", "target", "kind").select("link_ord", "source", "target", "kind", "family", F.concat_ws(" ", "source", "kind", "target").alias("evidence"), F.when(F.col("at.d") < 10**6, (-F.col("at.o")).cast("string")).alias("releaseRef"), none.alias("facets"), F.array().cast(FACTS).alias("facts"))
+    rel = ordered(h.select("day", "ok", "prio").distinct().withColumn("at", F.struct((-F.unix_date(F.to_date("day"))).alias("d"), (-F.col("ok")).alias("o"))), "release_ord", "at").select("release_ord", F.col("ok").cast("string").alias("ref"), F.col("prio").alias("title"), F.col("day").alias("issueDate"), F.concat(s("https://example.org/"), F.col("ok").cast("string")).alias("url"))
     return EvidenceGraph(cut(nodes), cut(links), cut(rel))

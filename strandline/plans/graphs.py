@@ -55,8 +55,28 @@ def _reach(depth: int, limit: int = 10**6, hubs: bool = False):
     return run
 
 
+def _shown(r: Q.Result) -> DataFrame:
+    """All parts of a result: ids with their place, links, releases, and whether it was cut short."""
+    ids = r.ids.select(F.lit("node").alias("part"), "id", F.col("pos").cast("long").alias("pos"))
+    links = r.graph.links.select(F.lit("link").alias("part"), F.col("link_ord").cast("string").alias("id"), F.lit(-1).cast("long").alias("pos"))
+    releases = r.graph.releases.select(F.lit("release").alias("part"), F.col("ref").alias("id"), F.lit(-1).cast("long").alias("pos"))
+    return ids.unionByName(links).unionByName(releases).withColumn("truncated", F.lit(r.truncated))
+
+
+def _neighborhood(g: EvidenceGraph) -> DataFrame:
+    """With the default depth and a cap that bites."""
+    seeds = [r["id"] for r in g.nodes.where("kind = 'person'").orderBy("node_ord").limit(5).collect()]
+    return _shown(Q.neighborhood(g, seeds, 2, 12))
+
+
+def _people(g: EvidenceGraph) -> DataFrame:
+    seeds = [r["id"] for r in g.nodes.where("kind = 'organization'").orderBy("node_ord").limit(3).collect()]
+    return Q.neighborhood(g, seeds, 3, 80, True).people.select("id", "label", F.col("hop").cast("long").alias("hop"))
+
+
 def _expand(g: EvidenceGraph) -> DataFrame:
-    return Q.expand(g, [_first(g, "organization")], 10**6)[1].select("id", "hop")
+    found = Q.expand(g, [_first(g, "organization")])
+    return found.ids.select("id", "hop")
 
 
 def _farthest(g: EvidenceGraph) -> str:
@@ -64,20 +84,31 @@ def _farthest(g: EvidenceGraph) -> str:
 
 
 def _trace(g: EvidenceGraph) -> DataFrame:
-    path = Q.trace(g, _first(g, "person"), _farthest(g))
-    return path.agg(F.min_by("id", "step").alias("source"), F.max_by("id", "step").alias("target"), F.max("step").cast("long").alias("hops"))
+    """The path itself, step by step."""
+    return Q.shortest(g, _first(g, "person"), _farthest(g)).select(F.col("step").cast("long").alias("step"), "id", F.coalesce("link_ord", F.lit(-1)).alias("link_ord"))
 
 
 def _component_of(g: EvidenceGraph) -> DataFrame:
-    parts = M.components(_edges(g))
-    own = parts.where(F.col("id") == _first(g, "person")).first()["component"]
-    return parts.where(F.col("component") == own).select("id")
+    """Seed first, then by pagerank and label, with the default cap."""
+    edges = _edges(g)
+    table = M.components(edges).join(M.pagerank(edges).withColumn("pagerank", F.round("pagerank", 7)), "id")
+    return _shown(Q.cluster(g, table, _first(g, "person"), "component"))
 
 
 def _community(g: EvidenceGraph) -> DataFrame:
     edges = _edges(g)
-    table = M.communities(edges).join(M.pagerank(edges), "id")
-    return Q.cluster(g, table, _first(g, "person"), "community")[0]
+    table = M.communities(edges).join(M.pagerank(edges).withColumn("pagerank", F.round("pagerank", 7)), "id")
+    return _shown(Q.cluster(g, table, _first(g, "person"), "community"))
+
+
+def _view(g: EvidenceGraph) -> DataFrame:
+    shown, _ = Q.view(g, [], [_first(g, "person")])
+    return _shown(shown)
+
+
+def _attached(g: EvidenceGraph) -> DataFrame:
+    """All metrics of all nodes, but for the communities, as names and values."""
+    return Q.metric_facts(M.attach(g).drop("community").withColumns({c: F.round(c, 7) for c in ("pagerank", "betweenness")}).withColumn("community", F.lit(None).cast("int"))).where("name not in ('pagerank', 'betweenness')")
 
 
 def _flags(g: EvidenceGraph) -> DataFrame:
@@ -102,6 +133,10 @@ SMALL_QUERIES: dict[str, Callable[[EvidenceGraph], DataFrame]] = {
     "neighborhood_d2": _reach(2),
     "neighborhood_d3": _reach(3),
     "neighborhood_capped": lambda g: Q.spread(g, [r["id"] for r in g.nodes.where("kind = 'person'").orderBy("node_ord").limit(3).collect()], 1, 6, False)[0].select("id", "hop"),
+    "neighborhood_people": _people,
+    "neighborhood_result": _neighborhood,
+    "view_ego": _view,
+    "metric_facts": _attached,
     "trace_path": _trace,
     "components": lambda g: M.components(_edges(g)),
     "component_graph": _component_of,

@@ -135,13 +135,35 @@ def _cores(top: int = 4, rounds: int = 24) -> str:
     return out + f", cores AS (SELECT id, max(k) AS core FROM ({levels}) GROUP BY id)"
 
 
+_STEP = "r.place || lpad(CAST(w.ord AS VARCHAR), 16, '0')"
 _TRACE = f""", reach AS (
-  SELECT {_SEED.format("person")} AS id, 0 AS hop
-  UNION
-  SELECT w.dst, r.hop + 1 FROM reach r JOIN way w ON w.src = r.id WHERE r.hop < 6
+  SELECT {_SEED.format("person")} AS id, 0 AS hop, '' AS place, [{_SEED.format("person")}] AS ids, [CAST(NULL AS BIGINT)] AS ords
+  UNION ALL
+  SELECT w.dst, r.hop + 1, min({_STEP}), arg_min(list_append(r.ids, w.dst), {_STEP}), arg_min(list_append(r.ords, w.ord), {_STEP})
+  FROM reach r JOIN way w ON w.src = r.id WHERE r.hop < 6 GROUP BY w.dst, r.hop
 ), first AS (SELECT id, min(hop) AS hop FROM reach GROUP BY id
 ), far AS (SELECT id, hop FROM first ORDER BY hop DESC, id DESC LIMIT 1)
-SELECT {_SEED.format("person")} AS source, id AS target, CAST(hop AS BIGINT) AS hops FROM far"""
+SELECT CAST(generate_subscripts(ids, 1) - 1 AS BIGINT) AS step, unnest(ids) AS id, coalesce(unnest(ords), -1) AS link_ord FROM reach JOIN far USING (id, hop)"""
+
+#: Parts of a result; ``chosen`` has id and pos, ``full`` whether more were left out.
+_RESULT = """
+SELECT 'node' AS part, id, CAST(pos AS BIGINT) AS pos, (SELECT cut FROM full_) AS truncated FROM chosen
+UNION ALL SELECT 'link', CAST(ord AS VARCHAR), -1, (SELECT cut FROM full_) FROM link WHERE source IN (SELECT id FROM chosen) AND target IN (SELECT id FROM chosen)
+UNION ALL SELECT 'release', ref, -1, (SELECT cut FROM full_) FROM rel WHERE ref IN (SELECT CAST(s.ok AS VARCHAR) FROM seen s WHERE s.id IN (SELECT id FROM chosen))"""
+
+
+def _grown(seeds: str, caps: int, hops: int, hubs: bool) -> str:
+    """Hop by hop in link order around ``seeds`` (id, pos), up to ``caps`` nodes in all."""
+    closed = "" if hubs else " AND dst NOT IN (SELECT id FROM hub WHERE hub)"
+    out, seen, count = f", hop0 AS ({seeds})", "SELECT id FROM hop0", "(SELECT count(*) FROM hop0)"
+    for h in range(1, hops + 1):
+        out += f""", cand{h} AS (SELECT dst AS id, min(ord) AS first FROM way WHERE src IN (SELECT id FROM hop{h - 1}) AND dst NOT IN ({seen}){closed} GROUP BY dst
+), hop{h} AS (SELECT id, row_number() OVER (ORDER BY first, id) - 1 AS pos FROM cand{h} QUALIFY row_number() OVER (ORDER BY first, id) <= {caps} - {count})"""
+        seen += f" UNION ALL SELECT id FROM hop{h}"
+        count = "(" + " + ".join(f"(SELECT count(*) FROM hop{i})" for i in range(h + 1)) + ")"
+    levels = " UNION ALL ".join(f"SELECT id, pos, {h} AS hop FROM hop{h}" for h in range(hops + 1))
+    over = " OR ".join(f"(SELECT count(*) FROM cand{h}) > (SELECT count(*) FROM hop{h})" for h in range(1, hops + 1))
+    return out + f", chosen AS (SELECT id, row_number() OVER (ORDER BY hop, pos) - 1 AS pos, hop FROM ({levels})), full_ AS (SELECT {over} AS cut)"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -180,7 +202,19 @@ UNION ALL SELECT 'release', ref FROM rel""",
 SELECT id, 0 AS hop FROM seed UNION ALL SELECT id, 1 FROM few""",
         "trace_path": _TRACE,
         "components": _COMPONENT + " SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM part",
-        "component_graph": _COMPONENT + f" SELECT id FROM part WHERE component = (SELECT component FROM part WHERE id = {person})",
+        "component_graph": _COMPONENT + _RANKS + f""", own AS (
+  SELECT n.id, row_number() OVER (ORDER BY n.id <> {person}, round(p, 7) DESC, lower(label), ord) - 1 AS pos FROM part JOIN node n ON n.id = part.id JOIN pr ON pr.id = n.id AND pr.i = 50
+  WHERE component = (SELECT component FROM part WHERE id = {person})
+), chosen AS (SELECT id, pos FROM own WHERE pos < 80), full_ AS (SELECT count(*) > 80 AS cut FROM own)""" + _RESULT,
+        "neighborhood_result": _grown("SELECT id, row_number() OVER (ORDER BY ord) - 1 AS pos FROM node WHERE kind = 'person' ORDER BY ord LIMIT 5", 12, 2, False) + _RESULT,
+        "neighborhood_people": _grown("SELECT id, row_number() OVER (ORDER BY ord) - 1 AS pos FROM node WHERE kind = 'organization' ORDER BY ord LIMIT 3", 80, 3, True) + " SELECT n.id, label, CAST(hop AS BIGINT) AS hop FROM chosen c JOIN node n ON n.id = c.id WHERE kind IN ('person', 'group')",
+        "view_ego": _grown(f"SELECT {person} AS id, 0 AS pos", 80, 1, True) + _RESULT.replace("(SELECT cut FROM full_)", "false"),
+        "metric_facts": _COMPONENT + _cores() + """, sized AS (SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM part)
+SELECT id, 'degree' AS name, CAST(degree AS VARCHAR) AS value FROM deg
+UNION ALL SELECT id, 'releaseCount', CAST(refs AS VARCHAR) FROM node WHERE refs > 0
+UNION ALL SELECT n.id, 'componentSize', CAST(coalesce(size, 1) AS VARCHAR) FROM node n LEFT JOIN sized s ON s.id = n.id
+UNION ALL SELECT id, 'component', component FROM sized
+UNION ALL SELECT id, 'core', CAST(core AS VARCHAR) FROM cores""",
         "pagerank": _RANKS + " SELECT id, round(p, 7) AS pagerank FROM pr WHERE i = 50",
         "betweenness": _PAIRS + " SELECT id, round(betweenness, 7) AS betweenness FROM bet",
         "core_number": _cores() + " SELECT id, CAST(core AS BIGINT) AS core FROM cores",

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from strandline.functions.text import entity_id, html_text, normalize_name, source_text
 from strandline.operators import ingest as I
 from strandline.operators.current import current_rows
-from strandline.operators.evidence import check_quotes, first_missing_quote, violations
+from strandline.operators.evidence import check_quotes, first_missing_quote, ground, quotes, read_record, unknown_fields, unwrapped, violations
+from strandline.operators.extract import extract
 from strandline.operators.project import merge, project
-from strandline.schema import EXTRACTION
 from strandline.session import cut, table
 from strandline.streaming.budget import apply_budget
 
 VERSION, MODEL = 10, "extractor-large"
+CUT_OFF = "2021-01-01"
 KEYS = ("source_ref", "language")
 
 
@@ -29,23 +30,26 @@ def _oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def releases_scan(spark, sf_dir):
-    return _current(spark, sf_dir).where("language = 'ZH'").select("source_ref", "issue_date").orderBy(F.desc("issue_date"), F.desc("source_ref"))
+    return I.scan(_current(spark, sf_dir), "ZH").select("source_ref", "issue_date")
 
 
 def release_versions(spark, sf_dir):
-    return _current(spark, sf_dir).where("language = 'EN'").select("source_ref", "issue_date", "modification_time")
+    return I.versions(_current(spark, sf_dir), "EN")
 
 
 def links_scan(spark, sf_dir):
-    known = _current(spark, sf_dir).select(*KEYS)
-    links = table(spark, sf_dir, "release_links").where("language = 'EN'").select("source_ref", "language", "target_ref").distinct()
-    return links.join(known, list(KEYS), "left_semi").select("source_ref", "target_ref").orderBy("source_ref", "target_ref")
+    known = I.versions(_current(spark, sf_dir), "EN")
+    return I.links_of(table(spark, sf_dir, "release_links"), known, "EN")
+
+
+def _batch(spark, sf_dir):
+    """The releases modified since the cut-off: the batch that comes upon what was stored before."""
+    return _current(spark, sf_dir).where(F.col("modification_time") >= CUT_OFF)
 
 
 def upsert_releases(spark, sf_dir):
     cols = ("source_ref", "language", "issue_date", "modification_time", "fetched_at")
-    new = _current(spark, sf_dir).where("source_ref not like '%7'")
-    return I.upsert(_oldest(spark, sf_dir).select(*cols), new.select(*cols), KEYS)
+    return I.save_releases(_oldest(spark, sf_dir).select(*cols), _batch(spark, sf_dir).select(*cols))
 
 
 def html_links(spark, sf_dir):
@@ -54,14 +58,19 @@ def html_links(spark, sf_dir):
 
 def links_replaced(spark, sf_dir):
     old = table(spark, sf_dir, "release_links").select("source_ref", "language", "target_ref").distinct()
-    return I.replace_links(old, _current(spark, sf_dir).where("source_ref like '2%'"))
+    return I.replace_links(old, _batch(spark, sf_dir))
 
 
 def classify_changes(spark, sf_dir):
-    known = _oldest(spark, sf_dir).where("language = 'EN' and source_ref not like '%7'")
+    known = _oldest(spark, sf_dir).where((F.col("language") == "EN") & (F.col("modification_time") < CUT_OFF))
     return I.classify_changes(_current(spark, sf_dir).where("language = 'EN'"), known)
 
 
+def loose_extractions(spark, sf_dir):
+    """Extractions of releases that are not stored."""
+    return I.without_release(table(spark, sf_dir, "extractions"), table(spark, sf_dir, "releases")).select("source_ref", "language", "extracted_at").distinct()
+
+
 def _failed(spark, sf_dir):
     return I.invalid_json(table(spark, sf_dir, "extractions"), "extraction_json")
 
@@ -71,6 +80,12 @@ def worklist(spark, sf_dir):
     return I.pending(_current(spark, sf_dir), done, _failed(spark, sf_dir), VERSION, MODEL)
 
 
+def worklist_all(spark, sf_dir):
+    """All work with failures retried and done work forced."""
+    done = table(spark, sf_dir, "extractions")
+    return I.pending(_current(spark, sf_dir), done, _failed(spark, sf_dir), VERSION, MODEL, force=True, retry_failures=True)
+
+
 def worklist_skipped(spark, sf_dir):
     now = cut(_current(spark, sf_dir).select("source_ref", "language", "issue_date"))
     return I.skipped(now, cut(worklist(spark, sf_dir)), 40)
@@ -104,15 +119,53 @@ def _records(spark, sf_dir):
     return current_rows(table(spark, sf_dir, "extractions"), KEYS, ("extracted_at",), ("source_modification_time", "extraction_json"))
 
 
+def _typed(spark, sf_dir):
+    """Current extractions with their typed record, however it is wrapped."""
+    return _records(spark, sf_dir).select(*KEYS, "extraction_json", read_record(F.col("extraction_json")).alias("x"))
+
+
 def validate_rules(spark, sf_dir):
-    rows = _records(spark, sf_dir).select(*KEYS, F.from_json("extraction_json", EXTRACTION).alias("x"))
-    return rows.select(*KEYS, F.explode(violations(F.col("x"))).alias("rule"))
+    rows = _typed(spark, sf_dir).withColumn("rules", F.when(F.col("x").isNotNull(), violations(F.col("x"))))
+    return rows.select(*KEYS, F.explode("rules").alias("rule"))
+
+
+def unknown_record_fields(spark, sf_dir):
+    return _records(spark, sf_dir).select(*KEYS, F.explode(unknown_fields(unwrapped(F.col("extraction_json")))).alias("field"))
+
+
+def _grounded(spark, sf_dir):
+    joined = _typed(spark, sf_dir).where("x is not null").join(release_text(spark, sf_dir), list(KEYS))
+    return joined.select(*KEYS, "text", "x", ground(F.col("x"), F.col("text")).alias("g"))
+
+
+def ground_records(spark, sf_dir):
+    """Per record: quotes, quotes changed to the source's spelling, periods dropped, and the first quote the source does not have."""
+    period = lambda r: F.size(F.filter(F.concat(*[F.transform(F.coalesce(r[n], F.array()), lambda x: x["period"]) for n in ("relationships", "risks", "actions")]), lambda p: p.isNotNull()))
+    x, g = F.col("x"), F.col("g")
+    return _grounded(spark, sf_dir).select(
+        *KEYS, F.size(quotes(x)).cast("long").alias("n_quotes"), (period(x) - period(g)).cast("long").alias("dropped_periods"),
+        F.size(F.array_except(quotes(g), quotes(x))).cast("long").alias("repaired"), first_missing_quote(g, F.col("text")).alias("missing"),
+    )
 
 
 def missing_quotes(spark, sf_dir):
-    rows = _records(spark, sf_dir).select(*KEYS, F.from_json("extraction_json", EXTRACTION).alias("x"))
-    joined = rows.join(release_text(spark, sf_dir), list(KEYS))
-    return joined.select(*KEYS, first_missing_quote(F.col("x"), F.col("text")).alias("quote")).where("quote is not null")
+    return ground_records(spark, sf_dir).where("missing is not null").select(*KEYS, F.col("missing").alias("quote"))
+
+
+def _stub(doc: dict) -> tuple[dict, str, dict]:
+    """An extractor without a model: one organisation, quoted from the title; documents whose title has an odd length are refused."""
+    if len(doc["title"]) % 2:
+        raise ValueError("an odd title")
+    quote = {"quote": doc["title"]}
+    mention = {"id": "mention_1", "type": "organization", "name": doc["title"][:40], "relevance": "primary", "involvement": ["authority"], "description": "Named in the title.", "evidence": quote}
+    return {"mentions": [mention]}, "run-" + doc["reference"], {"requests": 1}
+
+
+def extraction_run(spark, sf_dir):
+    """Work list to extractions and failures with a stub extractor: status and error type of every EN release."""
+    done = extract(_current(spark, sf_dir).where("language = 'EN'"), _stub, VERSION, MODEL, workers=8)
+    good = done.extractions.select("source_ref", F.lit("extracted").alias("status"), F.lit(None).cast("string").alias("error_type"))
+    return good.unionByName(done.failures.select("source_ref", F.lit("failed").alias("status"), "error_type"))
 
 
 def entity_ids_all(spark, sf_dir):
@@ -153,7 +206,7 @@ def request_budget(spark, sf_dir):
 
 
 def queries() -> dict:
-    own = (releases_scan, release_versions, links_scan, upsert_releases, html_links, links_replaced, classify_changes, worklist, worklist_skipped, current_extractions, invalid_json, release_text, evidence_repair, evidence_check, validate_rules, missing_quotes, entity_ids, entity_ids_all, project_nodes, project_links, ordered_merge, request_budget)
+    own = (releases_scan, release_versions, links_scan, upsert_releases, html_links, links_replaced, classify_changes, loose_extractions, worklist, worklist_all, worklist_skipped, current_extractions, invalid_json, release_text, evidence_repair, evidence_check, validate_rules, unknown_record_fields, ground_records, missing_quotes, extraction_run, entity_ids, entity_ids_all, project_nodes, project_links, ordered_merge, request_budget)
     return {f.__name__: f for f in own}
 
 
@@ -172,11 +225,14 @@ def oracle_sql() -> dict[str, str]:
         "releases_scan": _NOW + " SELECT source_ref, issue_date FROM now WHERE language = 'ZH'",
         "release_versions": _NOW + " SELECT source_ref, issue_date, modification_time FROM now WHERE language = 'EN'",
         "links_scan": "SELECT DISTINCT source_ref, target_ref FROM release_links l WHERE language = 'EN' AND EXISTS (SELECT 1 FROM releases r WHERE r.source_ref = l.source_ref AND r.language = l.language)",
-        "upsert_releases": _NOW + " SELECT source_ref, language, issue_date, modification_time, fetched_at FROM now WHERE source_ref NOT LIKE '%7' UNION ALL SELECT source_ref, language, issue_date, modification_time, fetched_at FROM old WHERE source_ref LIKE '%7'",
+        "upsert_releases": _NOW + " SELECT source_ref, language, issue_date, modification_time, fetched_at FROM now WHERE modification_time >= '2021-01-01' UNION ALL SELECT source_ref, language, issue_date, modification_time, fetched_at FROM old o WHERE NOT EXISTS (SELECT 1 FROM now n WHERE n.modification_time >= '2021-01-01' AND n.source_ref = o.source_ref AND n.language = o.language)",
         "html_links": _NOW + " SELECT source_ref, language, target_ref FROM linked WHERE target_ref <> source_ref",
-        "links_replaced": _NOW + " SELECT source_ref, language, target_ref FROM linked WHERE target_ref <> source_ref AND source_ref LIKE '2%' UNION ALL (SELECT DISTINCT source_ref, language, target_ref FROM release_links l WHERE NOT EXISTS (SELECT 1 FROM now n WHERE n.source_ref LIKE '2%' AND n.source_ref = l.source_ref AND n.language = l.language))",
-        "classify_changes": _NOW + " SELECT n.source_ref, n.issue_date, n.modification_time, CASE WHEN o.source_ref IS NULL THEN 'added' WHEN o.issue_date = n.issue_date AND o.modification_time = n.modification_time THEN 'unchanged' ELSE 'updated' END AS status FROM now n LEFT JOIN old o ON o.source_ref = n.source_ref AND o.language = 'EN' AND o.source_ref NOT LIKE '%7' WHERE n.language = 'EN'",
+        "links_replaced": _NOW + " SELECT source_ref, language, target_ref FROM linked l WHERE target_ref <> source_ref AND EXISTS (SELECT 1 FROM now n WHERE n.modification_time >= '2021-01-01' AND n.source_ref = l.source_ref AND n.language = l.language) UNION ALL (SELECT DISTINCT source_ref, language, target_ref FROM release_links l WHERE NOT EXISTS (SELECT 1 FROM now n WHERE n.modification_time >= '2021-01-01' AND n.source_ref = l.source_ref AND n.language = l.language))",
+        "classify_changes": _NOW + " SELECT n.source_ref, n.issue_date, n.modification_time, CASE WHEN o.source_ref IS NULL THEN 'added' WHEN o.issue_date = n.issue_date AND o.modification_time = n.modification_time THEN 'unchanged' ELSE 'updated' END AS status FROM now n LEFT JOIN old o ON o.source_ref = n.source_ref AND o.language = 'EN' AND o.modification_time < '2021-01-01' WHERE n.language = 'EN'",
         "worklist": _NOW + _TODO + " SELECT * FROM todo",
+        "worklist_all": _NOW + " SELECT source_ref, language, issue_date, modification_time FROM now",
+        "loose_extractions": "SELECT DISTINCT source_ref, language, extracted_at FROM extractions e WHERE NOT EXISTS (SELECT 1 FROM releases r WHERE r.source_ref = e.source_ref AND r.language = e.language)",
+        "extraction_run": _NOW + " SELECT source_ref, CASE WHEN length(trim(raw_json ->> '$.title')) % 2 = 0 THEN 'extracted' ELSE 'failed' END AS status, CASE WHEN length(trim(raw_json ->> '$.title')) % 2 = 1 THEN 'ValueError' END AS error_type FROM now WHERE language = 'EN'",
         "worklist_skipped": _NOW + _TODO + ", stop AS (SELECT issue_date, source_ref FROM todo ORDER BY issue_date DESC, source_ref DESC LIMIT 1 OFFSET 40) SELECT source_ref, language, issue_date FROM now n WHERE NOT EXISTS (SELECT 1 FROM todo t WHERE t.source_ref = n.source_ref AND t.language = n.language) AND (n.issue_date, n.source_ref) > (SELECT (issue_date, source_ref) FROM stop)",
         "current_extractions": _NOW + f" SELECT DISTINCT n.source_ref, n.issue_date, CAST(length(e.extraction_json) AS INT) AS n FROM now n JOIN extractions e ON {_DONE} WHERE n.language = 'EN'",
         "invalid_json": "SELECT DISTINCT source_ref, language, extracted_at FROM extractions WHERE NOT json_valid(extraction_json)",

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: str | int = "*", app: str = "strandline") -> SparkSession:
@@ -31,24 +32,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; set a local one only where none is set."""
+    """Use the cluster's shared checkpoint folder; set a local one where none is set and all executors are on this machine."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(
-        spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandline-ckpt-")
-    )
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="strandline-ckpt-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, *spent: DataFrame) -> DataFrame:
     """Cut lineage through a table on the shared checkpoint folder (survives lost executors).
 
     Not ``checkpoint()``: that hands the plan's size estimate on to the next
     round of a loop, where estimates multiply until planning takes minutes. A
-    table read again has its real size.
+    table read again has its real size. ``spent`` are tables of earlier cuts
+    that nothing reads once this one is written; they are deleted then.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for old in spent:
+        drop_cut(old)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._strandline_cut = path
+    return out
+
+
+def cut_count(df: DataFrame, *spent: DataFrame, where: str = "true") -> tuple[DataFrame, int]:
+    """``cut``, and how many of the rows written meet a condition, counted while they are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count_if(F.expr(where)).alias("n")), *spent)
+    return out, int(seen.get.get("n") or 0)
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Delete the table of a cut, on whatever file system it is."""
+    path = getattr(df, "_strandline_cut", None)
+    if path is not None:
+        spark = df.sparkSession
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def small_rows(df: DataFrame, most: int) -> list[Row]:
+    """The rows of a list of settings, refused if they are more than ``most``."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows where a short list belongs")
+    return rows

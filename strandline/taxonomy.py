@@ -33,7 +33,11 @@ ACTION_TYPES = {
 }
 GEOGRAPHY_ROLES = ("incorporated_in", "resident_in", "operates_in", "listed_in", "regulated_in", "proceeding_in", "conduct_in", "assets_in", "restricted_in", "other")
 MENTION_TYPES = ("person", "person_group", "organization", "fund", "financial_instrument", "unknown")
-MERGED_KINDS = ("person", "organization", "fund", "instrument")
+RELEVANCES = ("primary", "secondary")
+INVOLVEMENTS = ("subject", "affected", "authority", "intermediary", "related")
+MATTER_KINDS = ("investigation", "disciplinary_proceeding", "civil_proceeding", "criminal_proceeding", "tribunal_proceeding", "appeal_or_review")
+RELATIONSHIP_KINDS = ("affiliation", "ownership", "control", "family", "service", "instrument", "membership", "other")
+QUALIFIERS = ("exact", "approximately", "up_to", "over", "at_least")
 
 
 def family_of(families: dict[str, tuple[str, ...]]) -> dict[str, str]:

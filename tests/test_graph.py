@@ -1,8 +1,9 @@
 import itertools
+import random
 
 import pytest
 
-from strandline.api import Context, GraphSession, InvalidQuery, compacted, latest_view, normalized_context
+from strandline.api import Context, GraphSession, InvalidQuery, compacted, described_context, latest_view, normalized_context
 from strandline.graph import FACETS, FACTS, EvidenceGraph
 from strandline.operators import metrics as M
 from strandline.operators import query as Q
@@ -67,8 +68,10 @@ def test_communities_leave_no_gain(spark):
 
 def test_trace_prefers_first_in_breadth_first_order(spark):
     g = build(spark, [("a", "x"), ("a", "y"), ("y", "t"), ("x", "t")])
-    assert [r["id"] for r in Q.trace(g, "a", "t").orderBy("step").collect()] == ["a", "x", "t"]
-    assert [r["id"] for r in Q.trace(g, "a", "a").collect()] == ["a"]
+    path = Q.trace(g, "a", "t")
+    assert path.node_ids() == ["a", "x", "t"] and sorted(r["link_ord"] for r in path.graph.links.collect()) == [0, 3]
+    assert [(r["step"], r["id"], r["link_ord"]) for r in Q.shortest(g, "t", "a").orderBy("step").collect()] == [(0, "t", None), (1, "y", 2), (2, "a", 1)]
+    assert Q.trace(g, "a", "a").node_ids() == ["a"]
     with pytest.raises(Q.UnknownNode, match="endpoint"):
         Q.trace(g, "a", "nobody")
     with pytest.raises(Q.UnknownNode, match="No path"):
@@ -84,6 +87,50 @@ def test_neighborhood_caps_and_hubs(spark):
     assert {r["id"] for r in Q.spread(g, ["a", "?"], 2, 10, True)[0].collect()} == set("abcdhx")
 
 
+def test_results_clusters_and_views(spark):
+    g = build(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("a", "z", "evidence")], kinds={"d": "fund"})
+    hood = Q.neighborhood(g, ["c", "a", "c", "?"], 1, 80)
+    assert hood.node_ids() == ["c", "a", "b", "d"] and not hood.truncated and hood.graph.links.count() == 3
+    assert {(r["id"], r["hop"]) for r in hood.people.collect()} == {("c", 0), ("a", 0), ("b", 1)}
+    edges = g.topology()
+    table = M.components(edges).join(M.pagerank(edges), "id")
+    own = Q.cluster(g, table, "d", "component", 3)
+    assert own.node_ids() == ["d", "b", "c"] and own.truncated and own.cluster == "a" and own.graph.links.count() == 2
+    alone = Q.cluster(g, table, "z", "component")
+    assert alone.node_ids() == ["z"] and alone.cluster is None and not alone.truncated
+    with pytest.raises(Q.UnknownNode):
+        Q.cluster(g, table, "?", "component")
+    shown, chosen = Q.view(g, [], ["b", "!"])
+    assert shown.node_ids() == ["b", "a", "c"] and chosen == ["b"]
+    assert Q.view(g, ["x"], ["b"])[0].node_ids() == ["b", "x"] and Q.view(g, ["x"], ["b"], "ego")[0].node_ids() == ["b", "x", "a", "c", "y"]
+    assert Q.kinds_of(["risk", "source"]) == ["release", "risk"] and len(Q.kinds_of(["entity"])) == 6
+
+
+def test_metrics_of_all_nodes(spark):
+    g = build(spark, [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("a", "z", "evidence")])
+    attached = M.attach(g)
+    table = spark.createDataFrame(attached.collect(), attached.schema)
+    rows = {r["id"]: r for r in table.collect()}
+    assert (rows["c"]["degree"], rows["c"]["core"], rows["c"]["componentSize"], rows["c"]["component"]) == (3, 2, 4, "a")
+    assert (rows["z"]["degree"], rows["z"]["componentSize"], rows["z"]["component"], rows["z"]["community"], rows["z"]["pagerank"]) == (0, 1, None, None, 0.0)
+    facts = {(r["id"], r["name"]) for r in Q.metric_facts(table).collect()}
+    assert ("z", "componentSize") in facts and ("z", "degree") not in facts and ("a", "community") in facts
+    s = GraphSession(g, table)
+    assert s.summary()["counts"] | {"nodeKinds": 0, "edgeFamilies": 0} == {"nodes": 5, "links": 5, "releases": 1, "nodeKinds": 0, "edgeFamilies": 0, "components": 1, "outsideTopology": 1, "largestComponent": 4}
+    assert s.component("d").cluster == "a" and s.show(["a"], ["z"]) == {"view": {"mode": "focus", "nodeIds": ["z", "a"], "selectedNodeIds": ["z"]}} and "trace" in s.discover()["endpoints"]
+
+
+def test_components_of_chains_and_rings(spark):
+    rng = random.Random(2)
+    ids = [f"n{i:03}" for i in range(120)]
+    rng.shuffle(ids)
+    edges = list(zip(ids[:60], ids[1:60])) + list(zip(ids[60:100], ids[61:100] + [ids[60]])) + [(ids[100], x) for x in ids[101:]]
+    want = {x: min(part) for part in (ids[:60], ids[60:100], ids[100:]) for x in part}
+    got = M.components(spark.createDataFrame(edges + [(b, a) for a, b in edges[:9]], "a string, b string")).collect()
+    assert {r["id"]: r["component"] for r in got} == want and {r["size"] for r in got} == {60, 40, 20}
+    assert M.components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
 def test_interface_bounds_and_context(spark):
     g = build(spark, PATH)
     s = GraphSession(g, M.degree(g.topology()))
@@ -94,13 +141,23 @@ def test_interface_bounds_and_context(spark):
     c = normalized_context(g, Context(["a", "?", "a"], "focus", ["b", "!"], ("a", "b", "knows")))
     assert (c.selected, c.shown, c.link) == (["a"], ["b"], ("a", "b", "knows"))
     assert normalized_context(g, Context(link=("a", "b", "hates"))).link is None
+    for bad in (lambda: Context(["a"] * 25), lambda: Context(shown=["a"] * 81), lambda: Context(mode="some"), lambda: Context(kinds=["odd"])):
+        with pytest.raises(InvalidQuery):
+            bad()
+    said = described_context(g, Context(["a", "?"], "focus", ["b"], ("a", "b", "knows"), kinds=["person"], families=[]))
+    assert "Label a [a]" in said and "[a] -knows-> [b]" in said and "nodes b" in said and "shown: person" in said and "shown: none" in said and "?" not in said
 
 
 def test_chat_helpers():
-    text = {"type": "text", "text": "hi", "state": "done"}
-    tool = {"type": "tool-show", "state": "output-available", "output": {"nodeIds": ["a"]}}
-    assert compacted([{"role": "user", "parts": [text, tool]}, {"role": "assistant", "parts": [tool]}, {"role": "user", "parts": [tool]}]) == [{"role": "user", "parts": [{"type": "text", "text": "hi"}]}, {"role": "user", "parts": [tool]}]
-    assert latest_view([tool, text]) == {"nodeIds": ["a"]} and latest_view([text]) is None
+    said, call = {"type": "text", "text": "hello", "state": "done"}, {"type": "tool-rank"}
+    history = [{"id": "1", "role": "user", "parts": [said, call]}, {"id": "2", "role": "assistant", "parts": [call]}, {"id": "3", "role": "user", "parts": [{"type": "text"}]}, {"id": "4", "role": "assistant", "parts": [call]}]
+    short = compacted(history)
+    assert short == [{"id": "1", "role": "user", "parts": [{"type": "text", "text": "hello"}]}, {"id": "3", "role": "user", "parts": [{"type": "text", "text": ""}]}, history[3]] and compacted([]) == []
+    show = lambda nodes, selected=(), state="output-available", mode="focus", **more: {"type": "tool-show", "state": state, "output": {"view": {"mode": mode, "nodeIds": nodes, "selectedNodeIds": list(selected)}}, **more}
+    message = {"id": "m", "role": "assistant", "parts": [show(["x"], toolCallId="t"), show(["y"], ["x"]), show(["z"], state="input-available"), show([]), show(["q"], mode="all"), show([1]), said]}
+    assert latest_view(message) == ("m:1", {"mode": "focus", "nodeIds": ["y"], "selectedNodeIds": ["x"]})
+    assert latest_view({**message, "parts": message["parts"][:1]}) == ("t", {"mode": "focus", "nodeIds": ["x"], "selectedNodeIds": []})
+    assert latest_view({**message, "role": "user"}) is None and latest_view({"id": "m", "role": "assistant"}) is None
 
 
 def test_graph_document(spark, tmp_path):

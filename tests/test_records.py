@@ -2,8 +2,10 @@ import json
 from datetime import date, datetime
 from decimal import Decimal
 
+import pytest
+
 from strandline.operators.current import current_rows
-from strandline.operators.orphans import find_orphans, orphan_counts
+from strandline.operators.orphans import find_orphans, orphan_counts, probed, slices
 from strandline.operators.shred import entities, entity_table, parse_record, shred
 from strandline.operators.skew import lookup_join
 from strandline.operators.widen import long_cells, widen
@@ -103,3 +105,23 @@ def test_widen_ties_nulls_and_empty(spark):
     wide, got = cells(spark, [("age", "n/a", 1)])
     assert wide.count() == 1 and not got
     assert cells(spark, [])[1] == set()
+
+
+def test_bloom_filter_in_slices(spark):
+    """More keys than one filter may hold: no key is ever denied, and few others pass."""
+    assert (slices(0), slices(11_000_000), slices(12_000_000)) == (1, 1, 2)
+    keys = spark.range(0, 2000).selectExpr("cast(id as string) as ref", "'EN' as language")
+    refs = spark.range(0, 6000).selectExpr("cast(id as string) as ref", "'EN' as language")
+    for bits in (1 << 27, 1 << 12):
+        got = probed(refs, keys, ("ref", "language"), bits)
+        assert got.count() == 6000
+        maybe = {int(r["ref"]) for r in got.where("maybe").collect()}
+        assert maybe >= set(range(2000)) and len(maybe) < 2000 + 0.05 * 4000
+    assert probed(refs, keys.limit(0), ("ref", "language")).where("maybe").count() == 0
+
+
+def test_too_many_columns_are_refused(spark):
+    types = spark.range(0, 5001).selectExpr("concat('n', id) as name", "'string' as value_type")
+    rows = spark.createDataFrame([("a", "EN", "i", "n1", "x", None)], "source_ref string, language string, item_id string, name string, value string, recorded_at timestamp")
+    with pytest.raises(ValueError, match="5000"):
+        widen(rows, types)
