@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.tokenize import DEFAULT_FOLDER, DEFAULT_TOKENIZER, token_counts
-from strandline.session import cut
+from strandline.session import cut, small_rows
 
 SEED = 20
 GRID = 48
 ROUNDS = 3
+MAX_TARGETS = 10_000
 
 
 def poisson_steps(mean: float, cap: int) -> list[float]:
@@ -135,11 +136,12 @@ def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = SE
     Documents of no tokens may be chosen and add nothing. Repeated ids draw
     the same count each. A target of null or negative share or cap counts as
     0; of a (mix, source) given twice, shares add and the greater cap counts.
-    ``targets`` is a short list and is read to the driver. The same seed gives
+    ``targets`` is a short list, read to the driver and refused beyond ``MAX_TARGETS``. The same seed gives
     the same choice, whatever the partitioning.
     """
     spark = docs.sparkSession
-    rows = targets.where("mix_name is not null and source is not null").groupBy("mix_name", "source").agg(F.sum(F.greatest("target_share", F.lit(0.0))).alias("target_share"), F.max(F.greatest("max_repeats", F.lit(0))).alias("max_repeats")).collect()
+    summed = targets.where("mix_name is not null and source is not null").groupBy("mix_name", "source").agg(F.sum(F.greatest("target_share", F.lit(0.0))).alias("target_share"), F.max(F.greatest("max_repeats", F.lit(0))).alias("max_repeats"))
+    rows = small_rows(summed, MAX_TARGETS)
     wanted = sorted((r["mix_name"], r["source"], float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in rows)
     sized = sized_documents(docs, key, name=name, folder=folder)
     fitted = fit_means(sized, wanted, seed)

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.session import cut
+from strandline.session import cut, small_rows
 
 #: Bounds of the fit: labelled documents, their sentences in all, and the width of the hash.
 MAX_TRAIN_DOCS = 4_000
@@ -226,14 +226,6 @@ def _calibrate(model: Model, held: list[tuple[Grams, set[int]]], n: int) -> np.n
 MAX_AREAS = 1_000
 
 
-def small_rows(df: DataFrame, most: int) -> list:
-    """The rows of a list of settings, refused if they are more than ``most``."""
-    rows = df.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rows where a short list belongs")
-    return rows
-
-
 def area_key(c):
     """Letters of a subject in lower case, so that its spellings compare equal."""
     return F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))
