@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandline.operators.current import current_rows
 from strandline.operators.orphans import find_orphans, orphan_counts
@@ -38,7 +39,9 @@ def p1_table(spec: str):
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         nodes = shred(current_extractions(spark, sf_dir), KEYS, "extraction_json")
-        return entity_table(nodes, KEYS, path, fields, lists, embedded)
+        flat = entity_table(nodes, KEYS, path, fields, lists, embedded)
+        # A flat table has no arrays: lists of ids and names are written as JSON.
+        return flat.withColumns({c: F.to_json(c) for c in lists})
 
     return run
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from strandline.operators.shred import CHILD_LISTS, TOP_LISTS
-from strandline.operators.widen import FALSE_WORDS, FILLERS, TRUE_WORDS
+#: Lists of a record and lists inside their items; texts for no value, for yes and no.
+TOP_LISTS = ("mentions", "matters", "relationships", "risks", "actions")
+CHILD_LISTS = ("geographies", "attributes", "case_numbers", "legal_provisions")
+FILLERS = ("", "-", "--", "?", "n/a", "na", "n.a.", "nil", "nil return", "none", "null", "not stated", "not available", "see notice", "tbc", "tba", "tbd", "unknown")
+TRUE_WORDS = ("true", "yes", "y", "1", "t")
+FALSE_WORDS = ("false", "no", "n", "0", "f")
 
 
 def _quoted(words) -> str:
@@ -11,7 +15,7 @@ def _quoted(words) -> str:
 
 
 _TOPS = f"[{_quoted(TOP_LISTS)}]"
-_P1 = f"""
+_OBJECTS = f"""
 WITH ranked AS (
   SELECT *, row_number() OVER (PARTITION BY source_ref, language ORDER BY extracted_at DESC NULLS LAST) AS rn FROM extractions
 ), raw AS (
@@ -37,11 +41,48 @@ WITH ranked AS (
     generate_subscripts(CASE json_type(l) WHEN 'ARRAY' THEN json_extract(l, '$[*]') WHEN 'OBJECT' THEN [l] END, 1) - 1 AS child_pos
   FROM sub
 )
+"""
+_P1 = _OBJECTS + """
 SELECT source_ref, language, path, CAST(item_pos AS BIGINT) AS item_pos, CAST(-1 AS BIGINT) AS child_pos FROM item
 UNION
 SELECT source_ref, language, path, CAST(item_pos AS BIGINT), CAST(child_pos AS BIGINT) FROM children WHERE json_type(o) = 'OBJECT'
 """
 
+
+def _single(o: str) -> str:
+    """The object at ``o``, or the first of a list there."""
+    return f"CASE json_type({o}) WHEN 'ARRAY' THEN {o} -> 0 ELSE {o} END"
+
+
+def _scalar(o: str) -> str:
+    """The scalar at ``o`` as text, or the first of a list there."""
+    return f"CASE WHEN json_type({_single(o)}) IN ('ARRAY', 'OBJECT', 'NULL') THEN NULL ELSE {_single(o)} ->> '$' END"
+
+
+def _list(o: str) -> str:
+    """The scalars of the list at ``o``, a single one being a list of one, as JSON text."""
+    return f"to_json(coalesce(list_transform(list_filter(CASE json_type({o}) WHEN 'ARRAY' THEN json_extract({o}, '$[*]') ELSE [{o}] END, lambda x: json_type(x) NOT IN ('ARRAY', 'OBJECT', 'NULL')), lambda x: x ->> '$'), []))"
+
+
+def p1_table_sql(path: str, fields: tuple[str, ...], lists: tuple[str, ...], embedded: tuple[str, ...]) -> str:
+    """One flat table of the objects of ``path``."""
+    source, child = ("children", "child_pos") if "." in path else ("item", "-1")
+    columns = [f"{_scalar(f'(o -> {chr(39)}$.{f}{chr(39)})')} AS {f}" for f in fields] + [f"CAST({_list(f'(o -> {chr(39)}$.{f}{chr(39)})')} AS VARCHAR) AS {f}" for f in lists]
+    for e in embedded:
+        *above, last = e.split(".")
+        at = "o"
+        for a in above:
+            at = _single(f"({at} -> '$.{a}')")
+        value = _scalar(f"({at} -> '$.{last}')")
+        if e.endswith("evidence.quote"):
+            plain = "o"
+            for a in above[:-1]:
+                plain = _single(f"({plain} -> '$.{a}')")
+            value = f"coalesce({value}, {_scalar(f'({plain} -> {chr(39)}$.evidence{chr(39)})')})"
+        columns.append(f"{value} AS {e.replace('.', '_')}")
+    return _OBJECTS + f" SELECT source_ref, language, CAST(item_pos AS BIGINT) AS item_pos, CAST({child} AS BIGINT) AS child_pos, {', '.join(columns)} FROM {source} WHERE path = '{path}' AND json_type(o) = 'OBJECT'"
+
+
 _REF = r"upper(regexp_replace({0}, '^\s+|\s+$', '', 'g'))"
 _P2 = f"""
 WITH link AS (
@@ -92,5 +133,6 @@ SELECT source_ref, language, item_id, name, cell_text FROM last WHERE rn = 1
 """
 
 
-def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p2_found": _P2_FOUND, "p2_counts": _P2_COUNTS, "p3_found": _P3}
+def oracle_sql(tables: dict[str, tuple]) -> dict[str, str]:
+    """``tables``: name -> path, fields, lists, embedded, as in the queries."""
+    return {f"p1_{name}": p1_table_sql(*spec) for name, spec in tables.items()} | {"p1_found": _P1, "p2_found": _P2_FOUND, "p2_counts": _P2_COUNTS, "p3_found": _P3}
