@@ -22,6 +22,7 @@ from strandline.functions.text import plain_text
 from strandline.operators.evidence import first_missing_quote, ground, read_record, unknown_fields, violations
 from strandline.operators.ingest import EXTRACTION
 from strandline.session import cut
+from strandline.sources.graph_io import compact
 
 #: Extractor: document -> (record, run id, usage); anything it raises is a failure of that document.
 Extractor = Callable[[dict[str, str]], tuple[dict[str, Any], str | None, dict[str, Any] | None]]
@@ -92,10 +93,10 @@ def extract(pending: DataFrame, extractor: Extractor, version: int, model: str,
                 try:
                     doc = document(raw)
                     record, run_id, usage = extractor(doc)
-                    out = (json.dumps(record, ensure_ascii=False), f"{doc['title']}\n{doc['source_text']}", run_id, usage, None, None)
+                    out = (compact(record), f"{doc['title']}\n{doc['source_text']}", run_id, usage, None, None)
                 except Exception as error:
                     out = (None, None, None, getattr(error, "usage", None), type(error).__name__, diagnostic(error))
-                rows.append((*out[:3], None if out[3] is None else json.dumps(out[3], ensure_ascii=False, separators=(",", ":")), *out[4:]))
+                rows.append((*out[:3], None if out[3] is None else compact(out[3]), *out[4:]))
             found = pd.DataFrame(rows, columns=["_record", "_source", "run_id", "usage_json", "error_type", "error_message"])
             yield pd.concat([part[["source_ref", "language", "source_modification_time"]].reset_index(drop=True), found], axis=1)
 

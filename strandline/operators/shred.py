@@ -164,7 +164,7 @@ def _out(batch: pa.RecordBatch, keys: Sequence[str], at: list[int], columns: lis
 
 
 def pivoted(nodes: DataFrame, keys: Sequence[str], columns: Mapping[str, Column] | None = None) -> DataFrame:
-    """``keys``, entity, parent, label, ordinal of every entity, and ``columns``: aggregates over its fields and scalars.
+    """``keys``, _entity, _parent, _label, _ordinal of every entity, and ``columns``: aggregates over its fields and scalars.
 
     An entity's own row and its scalar children have the same ``entity``, so
     joining them is one grouping, combined in the task that read the record
@@ -173,10 +173,10 @@ def pivoted(nodes: DataFrame, keys: Sequence[str], columns: Mapping[str, Column]
     own = (F.col("kind") == "object") & (F.col("node") == F.col("entity"))
     names = F.array(*[F.lit(n) for n in dict.fromkeys((*TOP_LISTS, *CHILD_LISTS))])
     # Numbers only, the label as its place among the names: such buffers are hashed, text would be sorted.
-    place = {"parent": F.col("parent"), "ordinal": F.col("ordinal"), "_label": F.array_position(names, F.col("label"))}
+    place = {"_parent": F.col("parent"), "_ordinal": F.col("ordinal"), "_name": F.array_position(names, F.col("label"))}
     aggs = [F.max(F.when(own, c)).alias(n) for n, c in place.items()] + [c.alias(n) for n, c in (columns or {}).items()]
-    grouped = nodes.where(F.col("entity") != ROOT).groupBy(*keys, "entity").agg(*aggs)
-    return grouped.withColumn("label", F.element_at(names, F.col("_label").cast("int"))).drop("_label")
+    grouped = nodes.where(F.col("entity") != ROOT).groupBy(*keys, F.col("entity").alias("_entity")).agg(*aggs)
+    return grouped.withColumn("_label", F.element_at(names, F.col("_name").cast("int"))).drop("_name")
 
 
 def placed(objects: DataFrame, keys: Sequence[str], rest: Sequence[str] = ()) -> DataFrame:
@@ -186,15 +186,15 @@ def placed(objects: DataFrame, keys: Sequence[str], rest: Sequence[str] = ()) ->
     an item; ``path`` names the list or both lists joined by a dot, and
     ``child_pos`` is -1 for an item.
     """
-    at_item = F.col("parent") == ROOT
+    at_item = F.col("_parent") == ROOT
     # An item and its objects come from one record, which one task has held as text.
     family = Window.partitionBy(*keys, "_owner")
-    found = objects.withColumn("_owner", F.when(at_item, F.col("entity")).otherwise(F.col("parent"))).withColumn("_item", F.max(F.when(at_item, F.struct("label", "ordinal"))).over(family))
+    found = objects.withColumn("_owner", F.when(at_item, F.col("_entity")).otherwise(F.col("_parent"))).withColumn("_item", F.max(F.when(at_item, F.struct("_label", "_ordinal"))).over(family))
     return found.select(
         *keys,
-        F.when(at_item, F.col("label")).otherwise(F.concat_ws(".", "_item.label", "label")).alias("path"),
-        F.col("_item.ordinal").alias("item_pos"),
-        F.when(at_item, F.lit(-1)).otherwise(F.col("ordinal")).cast("long").alias("child_pos"),
+        F.when(at_item, F.col("_label")).otherwise(F.concat_ws(".", "_item._label", "_label")).alias("path"),
+        F.col("_item._ordinal").alias("item_pos"),
+        F.when(at_item, F.lit(-1)).otherwise(F.col("_ordinal")).cast("long").alias("child_pos"),
         *rest,
     )
 
@@ -229,5 +229,5 @@ def entity_table(nodes: DataFrame, keys: Sequence[str], path: str, fields: Seque
     columns = _fields(fields, lists, embedded)
     # Items of other lists are no parents or members of this one; of its parents only the place is needed.
     names = path.split(".")
-    rows = pivoted(nodes, keys, columns).where(F.col("label").isin(*names))
+    rows = pivoted(nodes, keys, columns).where(F.col("_label").isin(*names))
     return placed(rows, keys, list(columns)).where(F.col("path") == path).drop("path")

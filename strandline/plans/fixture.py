@@ -1,9 +1,9 @@
 """The evidence graph that the registered graph queries run on, projected from the order tables.
 
-Parts returned in large, strongly discounted lines are the claims: each such
-line is a risk, each order a release and a matter, each customer, supplier and
-part a party. Every row of the tables is read; the filter is what defines the
-graph.
+Order lines are the claims: each is a risk, each order a release and a matter,
+each customer, supplier and part a party. ``ALL`` is the graph of all lines;
+``SMALL`` and ``LARGE`` are of returned, large and strongly discounted lines
+only, for queries whose SQL can't follow on more.
 """
 
 from __future__ import annotations
@@ -15,20 +15,23 @@ from strandline.graph import FACETS, FACTS, EvidenceGraph
 from strandline.operators.order import ordered
 from strandline.session import cut, table
 
-SMALL = (49, 0.08)
-LARGE = (45, 0.05)
+#: Least quantity and discount, and the return flag (None for any).
+Size = tuple[int, float, str | None]
+SMALL: Size = (49, 0.08, "R")
+LARGE: Size = (45, 0.05, "R")
+ALL: Size = (0, 0.0, None)
 
 
-def lines(spark: SparkSession, sf_dir: str, quantity: int, discount: float) -> DataFrame:
+def lines(spark: SparkSession, sf_dir: str, quantity: int, discount: float, flag: str | None) -> DataFrame:
     """One line per (order, line number): the first by supplier, part, ship date and price."""
     item, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    rows = item.where((F.col("l_quantity") >= quantity) & (F.col("l_discount") >= discount) & (F.col("l_returnflag") == "R"))
+    rows = item if flag is None else item.where((F.col("l_quantity") >= quantity) & (F.col("l_discount") >= discount) & (F.col("l_returnflag") == flag))
     first = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_suppkey", "l_partkey", "l_shipdate", "l_extendedprice")
     rows = rows.withColumn("_r", F.row_number().over(first)).where("_r = 1").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return rows.select(F.col("l_orderkey").alias("ok"), F.col("l_linenumber").cast("long").alias("ln"), F.col("l_suppkey").alias("sk"), F.col("l_partkey").alias("pk"), F.col("o_custkey").alias("ck"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("o_orderpriority").alias("prio"))
 
 
-def fixture_graph(spark: SparkSession, sf_dir: str, size: tuple[int, float] = SMALL, residents: bool = False) -> EvidenceGraph:
+def fixture_graph(spark: SparkSession, sf_dir: str, size: Size = SMALL, residents: bool = False) -> EvidenceGraph:
     """The graph; with ``residents`` every customer is linked to a node of its nation."""
     h = cut(lines(spark, sf_dir, *size))
     s = F.lit

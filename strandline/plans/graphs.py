@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandline.graph import EvidenceGraph, node_family
 from strandline.operators import metrics as M
 from strandline.operators import query as Q
-from strandline.plans.fixture import LARGE, SMALL, fixture_graph
+from strandline.plans.fixture import ALL, LARGE, SMALL, fixture_graph
 from strandline.session import cut
 
 PARTIES = ("person", "organization", "instrument")
@@ -156,6 +156,8 @@ def queries() -> dict:
         return lambda spark, sf_dir: run(fixture_graph(spark, sf_dir, size, residents))
 
     out = {name: on(SMALL, run) for name, run in SMALL_QUERIES.items()}
+    for name in ("degree", "rank_degree", "components", "pagerank", "core_number", "search_terms", "neighborhood_result", "overview_graph"):
+        out[f"{name}_all"] = on(ALL, SMALL_QUERIES[name])
     out["authority_flags"] = on(LARGE, _flags)
     out["hub_flags"] = on(LARGE, Q.hubs, True)
     out["components_large"] = on(LARGE, lambda g: M.components(_edges(g)))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strandline.plans.fixture import LARGE, SMALL
+from strandline.plans.fixture import ALL, LARGE, SMALL, Size
 
 
-def base(size: tuple[int, float], residents: bool = False) -> str:
+def base(size: Size, residents: bool = False) -> str:
     """Common tables h, node (with ord, authority), link, rel, edge (a < b) and way (both directions of non-evidence links)."""
     extra_nodes = extra_links = ""
     if residents:
@@ -13,11 +13,12 @@ def base(size: tuple[int, float], residents: bool = False) -> str:
     UNION ALL SELECT 'n' || n_nationkey, 'group', NULL, n_nationkey, 7, n_nationkey, n_name, 'related', 0 FROM nation
     UNION ALL SELECT 'c' || c_custkey, 'person', NULL, c_custkey, 4, 0, c_name, 'subject', 0 FROM customer WHERE 'c' || c_custkey NOT IN (SELECT id FROM merged)"""
         extra_links = " UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'resident_in', 'relationship', NULL, c_custkey, 10, 0 FROM customer"
-    q, d = size
+    q, d, flag = size
+    only = "" if flag is None else f"WHERE l_quantity >= {q} AND l_discount >= {d} AND l_returnflag = '{flag}'"
     return f"""
 WITH RECURSIVE picked AS (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_suppkey, l_partkey, l_shipdate, l_extendedprice) AS r
-  FROM lineitem WHERE l_quantity >= {q} AND l_discount >= {d} AND l_returnflag = 'R'
+  FROM lineitem {only}
 ), h AS (
   SELECT l_orderkey AS ok, CAST(l_linenumber AS BIGINT) AS ln, l_suppkey AS sk, l_partkey AS pk, o_custkey AS ck, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority AS prio
   FROM picked JOIN orders ON l_orderkey = o_orderkey WHERE r = 1
@@ -228,5 +229,7 @@ SELECT (SELECT min(day) FROM rel) AS first_day, (SELECT max(day) FROM rel) AS la
     family = "CASE kind WHEN 'release' THEN 'source' WHEN 'matter' THEN kind WHEN 'risk' THEN kind WHEN 'action' THEN kind ELSE 'entity' END"
     out["authority_flags"] = base(LARGE) + f" SELECT id, authority, {family} AS node_family FROM node"
     out["hub_flags"] = base(LARGE, True) + " SELECT id, degree, authority, hub FROM hub"
+    for name in ("degree", "rank_degree", "components", "pagerank", "search_terms", "neighborhood_result", "overview_graph"):
+        out[f"{name}_all"] = base(ALL) + own[name]
     out["components_large"] = base(LARGE) + _COMPONENT + " SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM part"
     return out

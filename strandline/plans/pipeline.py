@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.text import entity_id, html_text, normalize_name, source_text
+from strandline.graph import EvidenceGraph
 from strandline.operators import ingest as I
+from strandline.operators import metrics as M
+from strandline.operators import query as Q
 from strandline.operators.current import current_rows
 from strandline.operators.evidence import check_quotes, first_missing_quote, ground, quotes, read_record, unknown_fields, unwrapped, violations
 from strandline.operators.extract import extract
@@ -192,6 +195,21 @@ def project_links(spark, sf_dir):
     return _projected(spark, sf_dir).links.select("link_ord", "source", "target", "kind", "family")
 
 
+def projected_metrics(spark, sf_dir):
+    """Degree, component, core number and PageRank of the graph projected from the extractions."""
+    g = _projected(spark, sf_dir)
+    edges = cut(g.topology())
+    out = M.degree(edges).join(M.components(edges), "id").join(M.core_numbers(edges), "id").join(M.pagerank(edges), "id")
+    return out.select("id", "degree", "component", "size", "core", F.round("pagerank", 7).alias("pagerank"))
+
+
+def projected_overview(spark, sf_dir):
+    """The newest releases of the projected graph and what they mainly name."""
+    g = _projected(spark, sf_dir)
+    shown = Q.overview(EvidenceGraph(cut(g.nodes), cut(g.links), cut(g.releases)))
+    return shown.nodes.select("node_ord", "id", "label", "kind")
+
+
 def ordered_merge(spark, sf_dir):
     """Nodes named once per order line: the first label counts, refs are appended in order."""
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.min("l_partkey").alias("p"))
@@ -206,7 +224,7 @@ def request_budget(spark, sf_dir):
 
 
 def queries() -> dict:
-    own = (releases_scan, release_versions, links_scan, upsert_releases, html_links, links_replaced, classify_changes, loose_extractions, worklist, worklist_all, worklist_skipped, current_extractions, invalid_json, release_text, evidence_repair, evidence_check, validate_rules, unknown_record_fields, ground_records, missing_quotes, extraction_run, entity_ids, entity_ids_all, project_nodes, project_links, ordered_merge, request_budget)
+    own = (releases_scan, release_versions, links_scan, upsert_releases, html_links, links_replaced, classify_changes, loose_extractions, worklist, worklist_all, worklist_skipped, current_extractions, invalid_json, release_text, evidence_repair, evidence_check, validate_rules, unknown_record_fields, ground_records, missing_quotes, extraction_run, entity_ids, entity_ids_all, project_nodes, project_links, projected_metrics, projected_overview, ordered_merge, request_budget)
     return {f.__name__: f for f in own}
 
 

@@ -44,6 +44,9 @@ def test_entity_table_pivots_scalars_lists_and_embedded_objects(spark):
     assert [(r["item_pos"], r["id"], r["aliases"], r["evidence_quote"]) for r in rows] == [(0, "m1", ["a", "b"], "plain"), (2, "m2", [], "q")]
     risk = entity_table(nodes, KEYS, "risks", ("id",), (), ("period.text", "period.evidence.quote", "evidence.quote")).first()
     assert (risk["period_text"], risk["period_evidence_quote"], risk["evidence_quote"]) == ("t", "pq", None)
+    named = shred(spark.createDataFrame([("r", "EN", json.dumps({"risks": [{"label": "l", "parent": "p", "ordinal": 3, "entity": "e", "kind": "k", "node": True}]}))], "source_ref string, language string, extraction_json string"), KEYS, "extraction_json")
+    clash = entity_table(named, KEYS, "risks", ("label", "parent", "ordinal", "entity", "kind", "node")).first()
+    assert tuple(clash)[2:] == (0, -1, "l", "p", "3", "e", "k", "true")
     attrs = entity_table(nodes, KEYS, "mentions.attributes", ("name", "value"), (), ()).orderBy("item_pos").collect()
     assert [(r["item_pos"], r["child_pos"], r["name"], r["value"]) for r in attrs] == [(0, 0, "age", "3"), (2, 1, "x", None)]
 
