@@ -39,7 +39,7 @@ from strandline.session import cut
 
 CONCEPTS = 256
 KEPT = 32  # entries of a part's vector in the sparse join; None for all
-FLOOR = 0.0  # of the sparse join's score
+FLOOR = 0.25  # of the sparse join's score
 SURE = 0.7  # a score above which a part needs no further partners
 BROADCAST_SHARE = 0.01  # of the document pairs hold a word that is broadcast; so at most 100 words per word of a mean document are
 LEAST_PAIRS = 3
