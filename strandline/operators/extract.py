@@ -42,12 +42,15 @@ class ExtractionError(RuntimeError):
 
 def diagnostic(error: BaseException) -> str:
     """The error and what it came from, one cause a line, each once."""
-    lines, met = [], set()
-    while error is not None and id(error) not in met:
-        met.add(id(error))
-        lines.append(f"{type(error).__name__}: {error}")
-        error = error.__cause__ or error.__context__
-    return "\nCaused by: ".join(lines)
+    told: dict[int, str] = {}
+
+    def tell(what: BaseException | None) -> None:
+        if what is not None and told.setdefault(id(what), "") == "":
+            told[id(what)] = f"{type(what).__name__}: {what}"
+            tell(what.__cause__ or what.__context__)
+
+    tell(error)
+    return "\nCaused by: ".join(told.values())
 
 
 def document(raw_json: str) -> dict[str, str]:

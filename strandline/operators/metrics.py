@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from strandline.graph import EvidenceGraph
 from strandline.operators.order import ordered
+from strandline.operators.skew import HOT_ROWS, hot_keys, lookup_join
 from strandline.session import cut, cut_count, drop_cut
 
 DAMPING = 0.85
@@ -56,7 +57,8 @@ def components(edges: DataFrame) -> DataFrame:
         label = cut(label, least)
         rounds.append(label)
         at = lambda end, name: label.select(F.col("v").alias(end), F.col("m").alias(name))  # noqa: B023, E731
-        drawn = left.join(at("a", "x"), "a").join(at("b", "y"), "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        hot = {end: hot_keys(left, [end]) if n > HOT_ROWS else [] for end in "ab"}
+        drawn = lookup_join(lookup_join(left, at("a", "x"), ["a"], hot=hot["a"]), at("b", "y"), ["b"], hot=hot["b"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         left, n = cut_count(drawn, left)
     label = rounds[-1]
     for own in reversed(rounds[:-1]):
@@ -70,10 +72,11 @@ def pagerank(edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, e
     ways = both_ways(edges)
     ways = cut(ways.join(degree(edges).withColumnRenamed("id", "src"), "src").select("src", "dst", (F.lit(1.0) / F.col("degree")).alias("share")))
     n = ways.select("src").distinct().count()
+    hot = hot_keys(ways, ["src"])
     rank = ways.select(F.col("src").alias("id")).distinct().withColumn("pagerank", F.lit(1.0 / max(n, 1)))
     written: tuple[DataFrame, ...] = ()
     for i in range(rounds):
-        flow = ways.join(rank, ways["src"] == rank["id"]).groupBy("dst").agg(F.sum(F.col("pagerank") * F.col("share")).alias("in"))
+        flow = lookup_join(ways, rank.withColumnRenamed("id", "src"), ["src"], hot=hot).groupBy("dst").agg(F.sum(F.col("pagerank") * F.col("share")).alias("in"))
         rank = flow.select(F.col("dst").alias("id"), (F.lit((1 - damping) / max(n, 1)) + F.lit(damping) * F.col("in")).alias("pagerank"))
         if (i + 1) % every == 0:
             rank = cut(rank, *written)
@@ -84,10 +87,11 @@ def pagerank(edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, e
 def core_numbers(edges: DataFrame) -> DataFrame:
     """id, core: every node's number falls to the h-index of its neighbours' numbers until none falls."""
     ways = cut(both_ways(edges))
+    hot = hot_keys(ways, ["dst"])
     state = cut(degree(edges).select("id", F.col("degree").cast("long").alias("core")))
     while True:
         core = state.select("id", "core")
-        near = ways.join(core, ways["dst"] == core["id"]).groupBy("src", "core").agg(F.count(F.lit(1)).alias("n"))
+        near = lookup_join(ways, core.withColumnRenamed("id", "dst"), ["dst"], hot=hot).groupBy("src", "core").agg(F.count(F.lit(1)).alias("n"))
         # Counts by value, not neighbours, are gathered: as many entries as there are distinct core numbers around a node.
         lists = near.groupBy("src").agg(F.array_sort(F.collect_list(F.struct((-F.col("core")).alias("v"), "n"))).alias("seen"))
         step = F.aggregate("seen", F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("total")), lambda acc, x: F.struct(F.greatest(acc["h"], F.least(acc["total"] + x["n"], -x["v"])).alias("h"), (acc["total"] + x["n"]).alias("total")))
@@ -208,19 +212,20 @@ def communities(edges: DataFrame) -> DataFrame:
     two_m = graph.agg(F.sum("w")).first()[0] or 1
     while True:
         label = cut(graph.groupBy(F.col("src").alias("v")).agg(F.sum("w").alias("k")).withColumn("c", F.col("v")))
-        near, quality = _toward(graph, label, two_m)
+        hot = hot_keys(graph, ["dst"])
+        near, quality = _toward(graph, label, two_m, hot)
         rounds = 0
         while True:
             moves = cut(_moves(label, near, two_m))
             if moves.isEmpty():
                 break
             tried = _moved(label, moves.where(F.pmod(F.xxhash64("v", F.lit(rounds)), F.lit(2)) == 0))
-            around, risen = _toward(graph, tried, two_m)
+            around, risen = _toward(graph, tried, two_m, hot)
             if risen <= quality:
                 for x in (tried, around):
                     drop_cut(x)
                 tried = _moved(label, _apart(moves))
-                around, risen = _toward(graph, tried, two_m)
+                around, risen = _toward(graph, tried, two_m, hot)
             for x in (label, near, moves):
                 drop_cut(x)
             label, near, quality = tried, around, risen
@@ -234,10 +239,10 @@ def communities(edges: DataFrame) -> DataFrame:
     return member.join(ordered(first, "community", "first").select("c", "community"), "c").select("id", "community")
 
 
-def _toward(graph: DataFrame, label: DataFrame, two_m: int) -> tuple[DataFrame, int]:
+def _toward(graph: DataFrame, label: DataFrame, two_m: int, hot: list[tuple]) -> tuple[DataFrame, int]:
     """v, to, w: the weight of every node's edges to every community; and the modularity, less what is the same in all rounds, times a constant."""
     other = label.select(F.col("v").alias("dst"), F.col("c").alias("to"))
-    near = cut(graph.where("src <> dst").join(other, "dst").groupBy(F.col("src").alias("v"), "to").agg(F.sum("w").alias("w")))
+    near = cut(lookup_join(graph.where("src <> dst"), other, ["dst"], hot=hot).groupBy(F.col("src").alias("v"), "to").agg(F.sum("w").alias("w")))
     within = near.join(label, (near["v"] == label["v"]) & (near["to"] == label["c"])).agg(F.sum("w").alias("within"))
     tot = F.col("tot").cast("decimal(19,0)")
     squares = label.groupBy("c").agg(F.sum("k").alias("tot")).agg(F.sum(tot * tot).alias("squares"))

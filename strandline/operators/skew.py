@@ -26,13 +26,14 @@ def hot_keys(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE, floor:
     return [tuple(r)[:-1] for r in large if r["count"] > share * total]
 
 
-def lookup_join(df: DataFrame, right: DataFrame, on: Sequence[str], share: float = HOT_SHARE, floor: int = HOT_ROWS) -> DataFrame:
+def lookup_join(df: DataFrame, right: DataFrame, on: Sequence[str], share: float = HOT_SHARE, floor: int = HOT_ROWS, hot: list[tuple] | None = None) -> DataFrame:
     """``df`` left-joined with ``right``, which has one row per ``on``.
 
     Rows of hot keys meet their (at most 1/share) partner rows in a broadcast
     join; all other rows meet in a plain shuffle join. Null keys match nothing.
+    Where ``df`` is joined again and again, its ``hot`` keys can be given.
     """
-    hot = hot_keys(df, on, share, floor)
+    hot = hot_keys(df, on, share, floor) if hot is None else hot
     if not hot:
         return df.join(right, list(on), "left")
     spark = df.sparkSession

@@ -7,6 +7,7 @@ from strandline.api import Context, GraphSession, InvalidQuery, compacted, descr
 from strandline.graph import FACETS, FACTS, EvidenceGraph
 from strandline.operators import metrics as M
 from strandline.operators import query as Q
+from strandline.operators.skew import hot_keys
 from strandline.sources.graph_io import InvalidGraph, checked, graph_json, is_current, read_graph, write_graph
 
 
@@ -131,6 +132,16 @@ def test_components_of_chains_and_rings(spark):
     assert M.components(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
+def test_metrics_with_a_hot_node(spark, monkeypatch):
+    """A node on a third of all edges is split off the joins; nothing changes by it."""
+    edges = spark.createDataFrame([("h", f"x{i:02}") for i in range(30)] + [(f"x{i:02}", f"x{i + 1:02}") for i in range(0, 30, 2)] + [("y", "z")], "a string, b string")
+    read = lambda: [sorted(map(tuple, f(edges).collect())) for f in (M.components, M.core_numbers, M.communities)] + [{r["id"]: round(r["pagerank"], 9) for r in M.pagerank(edges, 5).collect()}]
+    plain = read()
+    monkeypatch.setattr(M, "HOT_ROWS", 0)
+    monkeypatch.setattr(M, "hot_keys", lambda df, on: hot_keys(df, on, floor=5))
+    assert hot_keys(M.both_ways(edges), ["dst"], floor=5) == [("h",)] and read() == plain
+
+
 def test_interface_bounds_and_context(spark):
     g = build(spark, PATH)
     s = GraphSession(g, M.degree(g.topology()))
