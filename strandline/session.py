@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -58,14 +59,25 @@ def cut(df: DataFrame, *spent: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     for old in spent:
         drop_cut(old)
+    free_shuffles(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._strandline_cut = path
     return out
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the shuffle files deleted that nothing refers to any more.
+
+    Executors keep them until the driver collects its garbage, which it may
+    not do before the disk is full. What reads a cut reads none of them.
+    """
+    gc.collect()  # Python's references to plans count too
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut_count(df: DataFrame, *spent: DataFrame, where: str = "true") -> tuple[DataFrame, int]:
     """``cut``, and how many of the rows written meet a condition, counted while they are written."""
     seen = Observation()
