@@ -8,6 +8,7 @@ part of the meaning: ties and caps follow node_ord, link_ord and release_ord.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -65,6 +66,16 @@ class EvidenceGraph:
         pairs = pairs.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
         return pairs.join(eligible.withColumnRenamed("id", "a"), "a", "left_semi").join(eligible.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
 
+    def ends(self, kinds: Sequence[str]) -> DataFrame:
+        """src, dst of the topology's edges in both directions, from nodes of the kinds."""
+        edges = self.topology()
+        ways = edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(edges.select(F.col("b").alias("src"), F.col("a").alias("dst")))
+        return ways.join(self.nodes.where(F.col("kind").isin(*kinds)).select(F.col("id").alias("src")), "src", "left_semi")
+
+    def dense(self, found: DataFrame, name: str) -> DataFrame:
+        """``found`` with ordinals in column ``name``, which this graph has already."""
+        return found
+
     def adjacency(self) -> DataFrame:
         """Both directions of every link outside the evidence family: src, dst, link_ord."""
         links = self.links.where(F.col("family") != "evidence").select(F.col("source").alias("src"), F.col("target").alias("dst"), "link_ord")

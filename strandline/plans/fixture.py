@@ -8,10 +8,14 @@ only, for queries whose SQL can't follow on more.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import cached_property
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.graph import FACETS, FACTS, EvidenceGraph
+from strandline.graph import AUTHORITY_RELEASES, FACETS, FACTS, EvidenceGraph
 from strandline.operators.order import ordered
 from strandline.session import cut, table
 
@@ -26,9 +30,10 @@ def lines(spark: SparkSession, sf_dir: str, quantity: int, discount: float, flag
     """One line per (order, line number): the first by supplier, part, ship date and price."""
     item, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     rows = item if flag is None else item.where((F.col("l_quantity") >= quantity) & (F.col("l_discount") >= discount) & (F.col("l_returnflag") == flag))
-    first = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_suppkey", "l_partkey", "l_shipdate", "l_extendedprice")
-    rows = rows.withColumn("_r", F.row_number().over(first)).where("_r = 1").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.select(F.col("l_orderkey").alias("ok"), F.col("l_linenumber").cast("long").alias("ln"), F.col("l_suppkey").alias("sk"), F.col("l_partkey").alias("pk"), F.col("o_custkey").alias("ck"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("o_orderpriority").alias("prio"))
+    # Lines move once, to their order: the first has the least supplier, then part, and nothing else of it is used.
+    first = rows.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_suppkey", "l_partkey")).alias("_f"))
+    rows = first.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.select(F.col("l_orderkey").alias("ok"), F.col("l_linenumber").cast("long").alias("ln"), F.col("_f.l_suppkey").alias("sk"), F.col("_f.l_partkey").alias("pk"), F.col("o_custkey").alias("ck"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("o_orderpriority").alias("prio"))
 
 
 def fixture_graph(spark: SparkSession, sf_dir: str, size: Size = SMALL, residents: bool = False) -> EvidenceGraph:
@@ -76,3 +81,120 @@ def fixture_graph(spark: SparkSession, sf_dir: str, size: Size = SMALL, resident
     links = ordered(found, "link_ord", "at", "source", "target", "kind").select("link_ord", "source", "target", "kind", "family", F.concat_ws(" ", "source", "kind", "target").alias("evidence"), F.when(F.col("at.d") < 10**6, (-F.col("at.o")).cast("string")).alias("releaseRef"), none.alias("facets"), F.array().cast(FACTS).alias("facts"))
     rel = ordered(h.select("day", "ok", "prio").distinct().withColumn("at", F.struct((-F.unix_date(F.to_date("day"))).alias("d"), (-F.col("ok")).alias("o"))), "release_ord", "at").select("release_ord", F.col("ok").cast("string").alias("ref"), F.col("prio").alias("title"), F.col("day").alias("issueDate"), F.concat(s("https://example.org/"), F.col("ok").cast("string")).alias("url"))
     return EvidenceGraph(cut(nodes), cut(links), cut(rel))
+
+
+@dataclass(frozen=True)
+class PlacedGraph(EvidenceGraph):
+    """The same graph as plans over the lines, of which a query runs only what it reads.
+
+    node_ord, link_ord and release_ord are places (structs that sort like the
+    ordinals); ``dense`` turns those of a result into ordinals. Nodes have
+    ``n_refs`` (how many releases they refer to) besides the refs.
+    """
+
+    spark: SparkSession
+    sf_dir: str
+    h: DataFrame
+
+    def flagged(self) -> DataFrame:
+        roles = F.coalesce(F.col("facets")["involvement"], F.array().cast("array<string>"))
+        return self.nodes.withColumn("authority", ~F.array_contains(roles, "subject") & (F.array_contains(roles, "authority") | (F.col("n_refs") > AUTHORITY_RELEASES)))
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """a, b of the topology with the kinds of both. Only suppliers and parts can be authorities; they are told apart by their keys."""
+        h, s = self.h, F.lit
+        few = lambda key, first: h.where(F.col(key).isNotNull()).groupBy(key).agg(F.count_if(first).alias("n")).where(F.col("n") <= AUTHORITY_RELEASES).select(key)
+        suppliers, parts = cut(few("sk", F.col("s_first")).where("sk % 10 <> 0")), cut(few("pk", F.col("p_first")))
+        part = lambda rows, a, b, a_kind, b_kind: rows.select(a.alias("a"), b.alias("b"), s(a_kind).alias("a_kind"), s(b_kind).alias("b_kind"))
+        out = part(h.where("ck is not null"), _id("c"), _id("r"), "person", "risk").unionByName(part(h, _id("m"), _id("r"), "matter", "risk"))
+        out = out.unionByName(part(h.join(suppliers, "sk", "left_semi"), _id("r"), _id("s"), "risk", "organization"))
+        return out.unionByName(part(h.join(suppliers, "sk", "left_semi").join(parts, "pk", "left_semi").select("sk", "pk").distinct(), _id("p"), _id("s"), "instrument", "organization"))
+
+    def topology(self) -> DataFrame:
+        return self.edges.select("a", "b")
+
+    def ends(self, kinds: Sequence[str]) -> DataFrame:
+        way = lambda x, y: self.edges.where(F.col(f"{x}_kind").isin(*kinds)).select(F.col(x).alias("src"), F.col(y).alias("dst"))
+        return way("a", "b").unionByName(way("b", "a"))
+
+    def dense(self, found: DataFrame, name: str) -> DataFrame:
+        """``found`` with ordinals for its places in column ``name``.
+
+        Places begin with the order, newest first. So the graph of the orders
+        up to the last that is found has the same ordinals for these.
+        """
+        found = cut(found)
+        last = found.agg(F.max(F.struct(f"{name}.d", f"{name}.o")).alias("_last"))
+        own = cut(self.h.crossJoin(F.broadcast(last)).where(F.struct(_day().alias("d"), (-F.col("ok")).alias("o")) <= F.col("_last")).drop("_last"))
+        rows = {"node_ord": nodes_of(self.spark, self.sf_dir, own), "link_ord": links_of(own)}[name].select(F.col(name).alias("_at"))
+        placed = ordered(rows.join(F.broadcast(found.agg(F.max(name).alias("_max"))), F.col("_at") <= F.col("_max")).select("_at"), "_n", "_at")
+        return found.join(placed, F.col(name).eqNullSafe(F.col("_at")), "left").withColumn(name, F.col("_n")).select(*found.columns)
+
+
+def _day() -> Column:
+    return -F.unix_date(F.to_date("day"))
+
+
+def _id(kind: str) -> Column:
+    s = F.lit
+    return {"release": F.concat(s("release:"), "ok"), "s": F.concat(s("s"), "sk"), "p": F.concat(s("p"), "pk"), "c": F.concat(s("c"), "ck"), "r": F.concat(s("r"), "ok", s(":"), "ln"), "m": F.concat(s("m"), "ok")}[kind]
+
+
+def _place(sec: int, key: Column, day: Column, order: Column) -> Column:
+    return F.struct(day.alias("d"), order.alias("o"), F.lit(sec).alias("sec"), key.alias("key"), F.lit(0).cast("long").alias("sub"))
+
+
+def nodes_of(spark: SparkSession, sf_dir: str, h: DataFrame) -> DataFrame:
+    """The nodes of marked lines, with places for ordinals. Of a line's nodes only parties are met again, so only they are gathered, each kind by its own key."""
+    s = F.lit
+    facet = lambda role: F.create_map(s("involvement"), F.array(role))
+    nil = F.from_json(s("{}"), FACETS)
+    order = -F.col("ok")
+    shape = lambda rows, at, id_, label, kind, refs, n, facets: rows.select(at.alias("node_ord"), id_.alias("id"), label.alias("label"), s(kind).alias("kind"), F.concat_ws(" ", s(kind), label).alias("summary"), refs.alias("releaseRefs"), facets.alias("facets"), F.array().cast(FACTS).alias("facts"), n.cast("long").alias("n_refs"))
+    own = lambda rows, sec, key, id_, kind: shape(rows, _place(sec, key, _day(), order), id_, id_, kind, F.array(F.col("ok").cast("string")), s(1), nil)
+    heads = h.where("o_first")
+    out = own(heads, 1, F.col("ok"), _id("release"), "release").unionByName(own(h, 5, F.col("ln"), _id("r"), "risk")).unionByName(own(heads, 6, F.col("ok"), _id("m"), "matter"))
+    for sec, x, key, first, kind, who, facets in (
+        (2, "s", "sk", "s_first", "organization", ("supplier", "s_suppkey", "s_name"), facet(F.when(F.col("sk") % 10 == 0, "authority").otherwise("related"))),
+        (3, "p", "pk", "p_first", "instrument", ("part", "p_partkey", "p_name"), facet(s("related"))),
+        (4, "c", "ck", "o_first", "person", ("customer", "c_custkey", "c_name"), facet(s("subject"))),
+    ):
+        met = h.where(first).groupBy(key).agg(
+            F.min(F.struct(_day().alias("d"), order.alias("o"))).alias("at"), F.count(s(1)).alias("n"),
+            F.transform(F.array_sort(F.collect_set(F.struct(_day().alias("d"), order.alias("o")))), lambda x: (-x["o"]).cast("string")).alias("refs"),
+        )
+        names = table(spark, sf_dir, who[0]).select(F.col(who[1]).alias(key), F.col(who[2]).alias("name"))
+        out = out.unionByName(shape(met.join(names, key, "left"), _place(sec, F.col(key), F.col("at.d"), F.col("at.o")), _id(x), F.coalesce("name", _id(x)), kind, F.col("refs"), F.col("n"), facets))
+    return out
+
+
+def links_of(h: DataFrame) -> DataFrame:
+    """The links of marked lines, with places for ordinals. Only suppliers' links to parts come again in other orders."""
+    s = F.lit
+    order, nil = -F.col("ok"), F.from_json(s("{}"), FACETS)
+
+    def link(rows, sec, x, y, kind, family, day=None, order=order, key=F.col("ln")):
+        return rows.select(_place(sec, key, _day() if day is None else day, order).alias("link_ord"), _id(x).alias("source"), _id(y).alias("target"), s(kind).alias("kind"), s(family).alias("family"), F.concat_ws(" ", _id(x), s(kind), _id(y)).alias("evidence"), (-order).cast("string").alias("releaseRef"), nil.alias("facets"), F.array().cast(FACTS).alias("facts"))
+
+    issued = h.groupBy("sk", "pk").agg(F.min(F.struct(_day().alias("d"), order.alias("o"), "ln")).alias("at"))
+    out = link(issued, 9, "s", "p", "issuer_of", "relationship", F.col("at.d"), F.col("at.o"), F.col("at.ln"))
+    for x in (
+        link(h.where("s_first"), 1, "release", "s", "mentions", "evidence"), link(h.where("p_first"), 2, "release", "p", "mentions", "evidence"), link(h.where("o_first"), 3, "release", "c", "primary_mention", "evidence"), link(h, 4, "release", "r", "asserts", "evidence"), link(h.where("o_first"), 5, "release", "m", "reports", "evidence"),
+        link(h, 6, "c", "r", "subject_of", "participation"), link(h, 7, "s", "r", "authority_for", "participation"), link(h, 8, "r", "m", "belongs_to", "participation"),
+    ):
+        out = out.unionByName(x)
+    return out
+
+
+def marked(rows: DataFrame) -> DataFrame:
+    """Lines with marks for the first of their order, of its supplier and of its part in the order."""
+    first = lambda *by: F.row_number().over(Window.partitionBy("ok", *by).orderBy("ln")) == 1
+    return rows.withColumns({"o_first": first(), "s_first": first("sk"), "p_first": first("pk")})
+
+
+def placed_graph(spark: SparkSession, sf_dir: str, size: Size = ALL) -> PlacedGraph:
+    """The graph of many lines: only the lines are written, once, and what a query reads is worked out from them."""
+    h = cut(marked(lines(spark, sf_dir, *size)))
+    rel = h.where("o_first").select(F.struct(_day().alias("d"), (-F.col("ok")).alias("o")).alias("release_ord"), F.col("ok").cast("string").alias("ref"), F.col("prio").alias("title"), F.col("day").alias("issueDate"), F.concat(F.lit("https://example.org/"), F.col("ok").cast("string")).alias("url"))
+    return PlacedGraph(nodes_of(spark, sf_dir, h), links_of(h), rel, spark, sf_dir, h)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandline.graph import EvidenceGraph, node_family
 from strandline.operators import metrics as M
 from strandline.operators import query as Q
-from strandline.plans.fixture import ALL, LARGE, SMALL, fixture_graph
+from strandline.plans.fixture import LARGE, SMALL, fixture_graph, placed_graph
 from strandline.session import cut
 
 PARTIES = ("person", "organization", "instrument")
@@ -30,15 +30,17 @@ def _ranked(metric: str, values: Callable[[EvidenceGraph], DataFrame], digits: i
         v = values(g)
         if digits is not None:
             v = v.withColumn(metric, F.round(metric, digits))
-        out = Q.rank(g, v, metric, PARTIES)
+        out = g.dense(Q.rank(g, v, metric, PARTIES), "node_ord")
         return out.withColumn("value", F.col("value").cast("double"))
 
     return run
 
 
-def _subgraph(sub: EvidenceGraph) -> DataFrame:
+def _subgraph(sub: EvidenceGraph, of: EvidenceGraph | None = None) -> DataFrame:
+    """The parts of a subgraph; link ordinals are those of the graph it is ``of``."""
     nodes = sub.nodes.select(F.lit("node").alias("part"), "id")
-    links = sub.links.select(F.lit("link").alias("part"), F.col("link_ord").cast("string").alias("id"))
+    links = sub.links.select("link_ord")
+    links = (links if of is None else of.dense(links, "link_ord")).select(F.lit("link").alias("part"), F.col("link_ord").cast("string").alias("id"))
     return nodes.unionByName(links).unionByName(sub.releases.select(F.lit("release").alias("part"), F.col("ref").alias("id")))
 
 
@@ -55,10 +57,11 @@ def _reach(depth: int, limit: int = 10**6, hubs: bool = False):
     return run
 
 
-def _shown(r: Q.Result) -> DataFrame:
+def _shown(r: Q.Result, of: EvidenceGraph | None = None) -> DataFrame:
     """All parts of a result: ids with their place, links, releases, and whether it was cut short."""
     ids = r.ids.select(F.lit("node").alias("part"), "id", F.col("pos").cast("long").alias("pos"))
-    links = r.graph.links.select(F.lit("link").alias("part"), F.col("link_ord").cast("string").alias("id"), F.lit(-1).cast("long").alias("pos"))
+    links = r.graph.links.select("link_ord")
+    links = (links if of is None else of.dense(links, "link_ord")).select(F.lit("link").alias("part"), F.col("link_ord").cast("string").alias("id"), F.lit(-1).cast("long").alias("pos"))
     releases = r.graph.releases.select(F.lit("release").alias("part"), F.col("ref").alias("id"), F.lit(-1).cast("long").alias("pos"))
     return ids.unionByName(links).unionByName(releases).withColumn("truncated", F.lit(r.truncated))
 
@@ -66,7 +69,7 @@ def _shown(r: Q.Result) -> DataFrame:
 def _neighborhood(g: EvidenceGraph) -> DataFrame:
     """With the default depth and a cap that bites."""
     seeds = [r["id"] for r in g.nodes.where("kind = 'person'").orderBy("node_ord").limit(5).collect()]
-    return _shown(Q.neighborhood(g, seeds, 2, 12))
+    return _shown(Q.neighborhood(g, seeds, 2, 12), g)
 
 
 def _people(g: EvidenceGraph) -> DataFrame:
@@ -118,16 +121,16 @@ def _flags(g: EvidenceGraph) -> DataFrame:
 SMALL_QUERIES: dict[str, Callable[[EvidenceGraph], DataFrame]] = {
     "topology_edges": lambda g: g.topology(),
     "degree": lambda g: M.degree(g.topology()),
-    "rank_degree": _ranked("degree", lambda g: M.degree(g.topology())),
+    "rank_degree": _ranked("degree", lambda g: g.ends(PARTIES).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))),
     "rank_release_count": _ranked("n", lambda g: g.nodes.select("id", F.size("releaseRefs").alias("n"))),
     "rank_pagerank": _ranked("pagerank", lambda g: M.pagerank(_edges(g)), 7),
     "rank_betweenness": _ranked("betweenness", lambda g: M.betweenness(_edges(g)), 7),
     "rank_core": _ranked("core", lambda g: M.core_numbers(_edges(g))),
-    "search_terms": lambda g: Q.search(g, "supplier 00"),
+    "search_terms": lambda g: g.dense(Q.search(g, "supplier 00"), "node_ord"),
     "inspect_node": _inspect,
     "focus_subgraph": lambda g: _subgraph(Q.focus(g, g.nodes.where(F.col("kind").isin("person", "risk", "release")).select("id"))),
     "filter_subgraph": lambda g: _subgraph(Q.filtered(g, PARTIES, ("participation", "relationship"))),
-    "overview_graph": lambda g: _subgraph(Q.overview(g)),
+    "overview_graph": lambda g: _subgraph(Q.overview(g), g),
     "expand_nodes": _expand,
     "neighborhood_d1": _reach(1),
     "neighborhood_d2": _reach(2),
@@ -157,7 +160,7 @@ def queries() -> dict:
 
     out = {name: on(SMALL, run) for name, run in SMALL_QUERIES.items()}
     for name in ("degree", "rank_degree", "components", "pagerank", "core_number", "search_terms", "neighborhood_result", "overview_graph"):
-        out[f"{name}_all"] = on(ALL, SMALL_QUERIES[name])
+        out[f"{name}_all"] = lambda spark, sf_dir, run=SMALL_QUERIES[name]: run(placed_graph(spark, sf_dir))
     out["authority_flags"] = on(LARGE, _flags)
     out["hub_flags"] = on(LARGE, Q.hubs, True)
     out["components_large"] = on(LARGE, lambda g: M.components(_edges(g)))

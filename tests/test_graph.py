@@ -7,7 +7,9 @@ from strandline.api import Context, GraphSession, InvalidQuery, compacted, descr
 from strandline.graph import FACETS, FACTS, EvidenceGraph
 from strandline.operators import metrics as M
 from strandline.operators import query as Q
+from strandline.operators.order import ordered
 from strandline.operators.skew import hot_keys
+from strandline.plans import fixture, graphs
 from strandline.sources.graph_io import InvalidGraph, checked, graph_json, is_current, read_graph, write_graph
 
 
@@ -181,3 +183,36 @@ def test_graph_document(spark, tmp_path):
         checked(EvidenceGraph(g.nodes.union(g.nodes), g.links, g.releases))
     with pytest.raises(InvalidGraph):
         checked(EvidenceGraph(g.nodes.where("id <> 'a'"), g.links, g.releases))
+
+
+@pytest.fixture(scope="module")
+def order_tables(spark, tmp_path_factory):
+    """Order tables with repeated lines, suppliers and parts that come again, some in more than ten orders, and names for some."""
+    at, rng = tmp_path_factory.mktemp("orders"), random.Random(5)
+    write = lambda name, rows, schema: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{at}/{name}.parquet")
+    items = [(o, rng.randint(1, 4), rng.choice((1, 2, 10, 10 + o)), rng.choice((1, 2, 3, 100 + o))) for o in range(1, 41) for _ in range(4)]
+    write("lineitem", items + items[:9], "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long")
+    write("orders", [(o, 1 + o % 6, f"2020-01-{1 + o % 9:02d}", "1-URGENT") for o in range(1, 41)], "o_orderkey long, o_custkey long, o_orderdate string, o_orderpriority string")
+    write("supplier", [(k, f"Supplier 00{k}") for k in (1, 2, 10)], "s_suppkey long, s_name string")
+    write("part", [(k, f"part {k}") for k in (1, 2)], "p_partkey long, p_name string")
+    write("customer", [(k, f"Customer {k}") for k in range(1, 6)], "c_custkey long, c_name string")
+    return str(at)
+
+
+def test_graph_by_places_equals_the_graph_by_ordinals(spark, order_tables):
+    whole, placed = fixture.fixture_graph(spark, order_tables, fixture.ALL), fixture.placed_graph(spark, order_tables)
+    rows = lambda df, *columns: sorted(map(tuple, df.select(*columns).collect()), key=repr)
+    columns = ("node_ord", "id", "label", "kind", "summary", "releaseRefs")
+    assert rows(placed.dense(placed.nodes, "node_ord"), *columns) == rows(whole.nodes, *columns)
+    columns = ("link_ord", "source", "target", "kind", "family", "evidence", "releaseRef")
+    assert rows(placed.dense(placed.links, "link_ord"), *columns) == rows(whole.links, *columns)
+    assert rows(placed.flagged(), "id", "authority") == rows(whole.flagged(), "id", "authority")
+    assert rows(placed.topology(), "a", "b") == rows(whole.topology(), "a", "b")
+    assert rows(placed.releases, "ref", "title", "issueDate", "url") == rows(whole.releases, "ref", "title", "issueDate", "url")
+
+
+def test_search_of_all_lines_puts_few_nodes_in_order(spark, order_tables, monkeypatch):
+    put, every = [], fixture.placed_graph(spark, order_tables).nodes.count()
+    monkeypatch.setattr(fixture, "ordered", lambda df, *by: put.append(df.count()) or ordered(df, *by))
+    found = graphs.queries()["search_terms_all"](spark, order_tables).collect()
+    assert [r["id"] for r in found] and put and max(put) < every / 2
