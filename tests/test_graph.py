@@ -185,6 +185,13 @@ def test_graph_document(spark, tmp_path):
         checked(EvidenceGraph(g.nodes.where("id <> 'a'"), g.links, g.releases))
 
 
+def test_ends_and_hubs_of_some_nodes_only(spark):
+    g = build(spark, [("a", "b"), ("a", "c"), ("c", "d"), ("a", "h")], authorities=("h",), kinds={"b": "risk", "c": "fund"})
+    assert sorted(map(tuple, g.ends(("person", "fund")).collect())) == [("a", "b"), ("a", "c"), ("c", "a"), ("c", "d"), ("d", "c")]
+    some = spark.createDataFrame([("a",), ("h",)], "id string")
+    assert sorted(map(tuple, Q.hubs(g, some).collect())) == [("a", 2, False, False), ("h", 0, True, True)]
+
+
 @pytest.fixture(scope="module")
 def order_tables(spark, tmp_path_factory):
     """Order tables with repeated lines, suppliers and parts that come again, some in more than ten orders, and names for some."""
