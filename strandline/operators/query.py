@@ -58,10 +58,10 @@ def rank(graph: EvidenceGraph, values: DataFrame, metric: str, kinds: Sequence[s
 
 def focus(graph: EvidenceGraph, ids: DataFrame) -> EvidenceGraph:
     """The subgraph induced by ``ids`` (id): links with both ends in it, releases its nodes refer to."""
-    ids = ids.select("id").distinct()
+    ids = cut(ids.select("id").distinct())  # a table of known size: few ids are broadcast, however large the graph is
     nodes = graph.nodes.join(ids, "id", "left_semi")
     links = graph.links.join(ids, F.col("source") == F.col("id"), "left_semi").join(ids, F.col("target") == F.col("id"), "left_semi")
-    refs = nodes.select(F.explode("releaseRefs").alias("ref")).distinct()
+    refs = cut(nodes.select(F.explode("releaseRefs").alias("ref")).distinct())
     return EvidenceGraph(nodes, links, graph.releases.join(refs, "ref", "left_semi"))
 
 
@@ -107,7 +107,7 @@ def filtered(graph: EvidenceGraph, kinds: Sequence[str], families: Sequence[str]
 
 def overview(graph: EvidenceGraph, releases: int = OVERVIEW_RELEASES) -> EvidenceGraph:
     """The newest releases with what they mainly name, report and assert."""
-    newest = graph.releases.orderBy(F.desc("issueDate"), "release_ord").limit(releases).select(F.concat(F.lit("release:"), "ref").alias("id"))
+    newest = cut(graph.releases.orderBy(F.desc("issueDate"), "release_ord").limit(releases).select(F.concat(F.lit("release:"), "ref").alias("id")))
     named = graph.links.where(F.col("kind").isin("primary_mention", "reports", "asserts")).join(newest, F.col("source") == F.col("id"), "left_semi").select(F.col("target").alias("id"))
     return focus(graph, newest.unionByName(named))
 
