@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.graph import NODE_FAMILIES, NODE_KINDS, PEOPLE, EvidenceGraph, is_hub
-from strandline.operators.metrics import degree
+from strandline.operators.metrics import both_ways, degree
 from strandline.session import cut, cut_count
 
 SEARCH_LIMIT = 12
@@ -130,9 +130,13 @@ def inspect(graph: EvidenceGraph, node: str) -> tuple[DataFrame, DataFrame, Data
     return own, links, near, graph.releases.join(refs, "ref", "left_semi")
 
 
-def hubs(graph: EvidenceGraph) -> DataFrame:
-    """id, degree, authority, hub of every node."""
-    flagged = graph.flagged().join(degree(graph.topology()), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+def hubs(graph: EvidenceGraph, ids: DataFrame | None = None) -> DataFrame:
+    """id, degree, authority, hub of every node, or of those in ``ids`` (id) only."""
+    nodes, counts = graph.flagged(), degree(graph.topology())
+    if ids is not None:
+        ways = both_ways(graph.topology()).join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
+        nodes, counts = nodes.join(ids, "id", "left_semi"), ways.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+    flagged = nodes.join(counts, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     return flagged.select("id", "degree", "authority", is_hub(F.col("degree"), F.col("authority")).alias("hub"))
 
 
@@ -143,17 +147,17 @@ def spread(graph: EvidenceGraph, seeds: Sequence[str], depth: int, limit: int, e
     more seeds than ``limit`` there is no cap.
     """
     start = known(graph, seeds)
-    seen = _ids(graph, start).select("id", F.lit(0).alias("hop"), F.lit(-1).cast("long").alias("at"))
+    seen = _ids(graph, start).select("id", F.lit(0).alias("hop"), F.lit(None).cast(graph.links.schema["link_ord"].dataType).alias("at"))
     ways = graph.adjacency()
-    closed = None if enter_hubs else cut(hubs(graph).where("hub").select("id"))
     room = limit - len(start) if len(start) <= limit else None
     truncated = False
     for hop in range(1, depth + 1):
         front = seen.where(F.col("hop") == hop - 1).select(F.col("id").alias("src"))
         new = ways.join(front, "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.min("link_ord").alias("at"))
         new = new.join(seen, "id", "left_anti")
-        if closed is not None:
-            new = new.join(closed, "id", "left_anti")
+        if not enter_hubs:
+            new = cut(new)
+            new = new.join(cut(hubs(graph, new.select("id")).where("hub").select("id")), "id", "left_anti")
         if room is not None:
             few = cut(new.orderBy("at", "id").limit(room + 1))
             n = few.count()
