@@ -67,11 +67,14 @@ def components(edges: DataFrame) -> DataFrame:
     return label.join(sizes, "m").select(F.col("v").alias("id"), F.col("m").alias("component"), "size")
 
 
-def pagerank(edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, every: int = 10) -> DataFrame:
-    """id, pagerank after a fixed number of rounds from an even start. No node is without an edge."""
+def pagerank(edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, every: int = 10, nodes: int | None = None) -> DataFrame:
+    """id, pagerank after a fixed number of rounds from an even start. No node is without an edge.
+
+    ``nodes``: how many nodes the graph has in all, where ``edges`` are some of its components.
+    """
     ways = both_ways(edges)
     ways = cut(ways.join(degree(edges).withColumnRenamed("id", "src"), "src").select("src", "dst", (F.lit(1.0) / F.col("degree")).alias("share")))
-    n = ways.select("src").distinct().count()
+    n = ways.select("src").distinct().count() if nodes is None else nodes
     hot = hot_keys(ways, ["src"])
     rank = ways.select(F.col("src").alias("id")).distinct().withColumn("pagerank", F.lit(1.0 / max(n, 1)))
     written: tuple[DataFrame, ...] = ()

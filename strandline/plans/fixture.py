@@ -100,16 +100,26 @@ class PlacedGraph(EvidenceGraph):
         roles = F.coalesce(F.col("facets")["involvement"], F.array().cast("array<string>"))
         return self.nodes.withColumn("authority", ~F.array_contains(roles, "subject") & (F.array_contains(roles, "authority") | (F.col("n_refs") > AUTHORITY_RELEASES)))
 
+    @cached_property
+    def suppliers(self) -> DataFrame:
+        """sk of the suppliers that are no authorities."""
+        return cut(_few(self.h, "sk", "s_first").where("sk % 10 <> 0"))
+
     @cached_property
     def edges(self) -> DataFrame:
-        """a, b of the topology with the kinds of both. Only suppliers and parts can be authorities; they are told apart by their keys."""
-        h, s = self.h, F.lit
-        few = lambda key, first: h.where(F.col(key).isNotNull()).groupBy(key).agg(F.count_if(first).alias("n")).where(F.col("n") <= AUTHORITY_RELEASES).select(key)
-        suppliers, parts = cut(few("sk", F.col("s_first")).where("sk % 10 <> 0")), cut(few("pk", F.col("p_first")))
+        """a, b of the topology with the kinds of both."""
+        return self.edges_of(self.h)
+
+    def edges_of(self, h: DataFrame) -> DataFrame:
+        """The edges that lines make. Only suppliers and parts can be authorities; they are told apart by their keys."""
+        s = F.lit
         part = lambda rows, a, b, a_kind, b_kind: rows.select(a.alias("a"), b.alias("b"), s(a_kind).alias("a_kind"), s(b_kind).alias("b_kind"))
         out = part(h.where("ck is not null"), _id("c"), _id("r"), "person", "risk").unionByName(part(h, _id("m"), _id("r"), "matter", "risk"))
-        out = out.unionByName(part(h.join(suppliers, "sk", "left_semi"), _id("r"), _id("s"), "risk", "organization"))
-        return out.unionByName(part(h.join(suppliers, "sk", "left_semi").join(parts, "pk", "left_semi").select("sk", "pk").distinct(), _id("p"), _id("s"), "instrument", "organization"))
+        if self.suppliers.isEmpty():
+            return out
+        parts = cut(_few(self.h, "pk", "p_first"))
+        out = out.unionByName(part(h.join(self.suppliers, "sk", "left_semi"), _id("r"), _id("s"), "risk", "organization"))
+        return out.unionByName(part(h.join(self.suppliers, "sk", "left_semi").join(parts, "pk", "left_semi").select("sk", "pk").distinct(), _id("p"), _id("s"), "instrument", "organization"))
 
     def topology(self) -> DataFrame:
         return self.edges.select("a", "b")
@@ -132,6 +142,11 @@ class PlacedGraph(EvidenceGraph):
         return found.join(placed, F.col(name).eqNullSafe(F.col("_at")), "left").withColumn(name, F.col("_n")).select(*found.columns)
 
 
+def _few(h: DataFrame, key: str, first: str) -> DataFrame:
+    """The keys that are in no more orders than an authority is."""
+    return h.where(F.col(key).isNotNull()).groupBy(key).agg(F.count_if(F.col(first)).alias("n")).where(F.col("n") <= AUTHORITY_RELEASES).select(key)
+
+
 def _day() -> Column:
     return -F.unix_date(F.to_date("day"))
 
@@ -188,9 +203,12 @@ def links_of(h: DataFrame) -> DataFrame:
 
 
 def marked(rows: DataFrame) -> DataFrame:
-    """Lines with marks for the first of their order, of its supplier and of its part in the order."""
-    first = lambda *by: F.row_number().over(Window.partitionBy("ok", *by).orderBy("ln")) == 1
-    return rows.withColumns({"o_first": first(), "s_first": first("sk"), "p_first": first("pk")})
+    """Lines with marks for the first of their order, of its supplier and of its part in the order. The first of an order has the numbers of all its lines."""
+    by = lambda *keys: Window.partitionBy("ok", *keys).orderBy("ln")
+    first = lambda *keys: F.row_number().over(by(*keys)) == 1
+    every = F.collect_list("ln").over(by().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = rows.withColumns({"o_first": first(), "lns": every, "s_first": first("sk"), "p_first": first("pk")})
+    return rows.withColumn("lns", F.when(F.col("o_first"), F.col("lns")))
 
 
 def placed_graph(spark: SparkSession, sf_dir: str, size: Size = ALL) -> PlacedGraph:

@@ -223,3 +223,33 @@ def test_search_of_all_lines_puts_few_nodes_in_order(spark, order_tables, monkey
     monkeypatch.setattr(fixture, "ordered", lambda df, *by: put.append(df.count()) or ordered(df, *by))
     found = graphs.queries()["search_terms_all"](spark, order_tables).collect()
     assert [r["id"] for r in found] and put and max(put) < every / 2
+
+
+@pytest.fixture(scope="module")
+def mixed_tables(spark, tmp_path_factory):
+    """Order tables where most customers meet authorities only, some a supplier of few orders; orders without a customer; orders of one line and of many."""
+    at, rng = tmp_path_factory.mktemp("mixed"), random.Random(7)
+    write = lambda name, rows, schema: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{at}/{name}.parquet")
+    items = [(o, n, 5 + o if o % 12 == 0 and n == 1 else rng.choice((1, 2, 10)), rng.choice((1, 2, 300 + o))) for o in range(1, 61) for n in range(1, 2 + o % 4)]
+    write("lineitem", items + items[:9], "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long")
+    write("orders", [(o, None if o % 10 in (1, 2) else o % 9, f"2020-01-{1 + o % 9:02d}", "1-URGENT") for o in range(1, 61)], "o_orderkey long, o_custkey long, o_orderdate string, o_orderpriority string")
+    write("supplier", [(k, f"Supplier 00{k}") for k in (1, 2, 10)], "s_suppkey long, s_name string")
+    write("part", [(k, f"part {k}") for k in (1, 2)], "p_partkey long, p_name string")
+    write("customer", [(k, f"Customer {k}") for k in range(1, 6)], "c_custkey long, c_name string")
+    return str(at)
+
+
+def all_lines(spark, monkeypatch, tables, name, metric):
+    """Rows of a query of all lines and of the rounds on the whole edge list; most edges the rounds were given; all edges."""
+    edges = fixture.placed_graph(spark, tables).topology()
+    want = sorted(map(tuple, metric(edges).collect()))
+    given, rounds = [], getattr(M, metric.__name__)
+    monkeypatch.setattr(M, metric.__name__, lambda edges, *args, **more: given.append(edges.count()) or rounds(edges, *args, **more))
+    got = graphs.queries()[name](spark, tables)
+    return sorted(map(tuple, got.collect())), want, max(given, default=0), edges.count()
+
+
+@pytest.mark.parametrize("tables", ["order_tables", "mixed_tables"])
+def test_components_of_all_lines_join_few_edges(spark, monkeypatch, request, tables):
+    got, want, given, every = all_lines(spark, monkeypatch, request.getfixturevalue(tables), "components_all", M.components)
+    assert got == want and (given < every / 2 or tables == "order_tables")
