@@ -10,10 +10,6 @@ out by the rounds of ``operators.metrics``.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,3 +50,13 @@ def components(g: PlacedGraph) -> DataFrame:
     rows = rows.unionByName(alone.select("ok", "lns", F.concat(F.lit("m"), "ok").alias("component"), (F.col("k") + 1).cast("long").alias("size")))
     out = _ids(rows, sizes.select("ck", name.alias("component"), "size"), at, at)
     return out if edges is None else out.unionByName(M.components(edges))
+
+
+def core_numbers(g: PlacedGraph) -> DataFrame:
+    """id, core. Two lines of an order make a ring with its customer; all risks have two edges at most, so no core is beyond 2."""
+    orders, edges = _split(g)
+    ring = F.when(F.col("ck").isNotNull() & (F.col("k") > 1), 2).otherwise(1).cast("long")
+    customers = orders.where("ck is not null").groupBy("ck").agg(F.max(ring).alias("core"))
+    rows = orders.select("ok", "lns", ring.alias("core"))
+    out = _ids(rows, customers, [F.col("core")], [F.col("core")])
+    return out if edges is None else out.unionByName(M.core_numbers(edges))

@@ -158,6 +158,7 @@ SMALL_QUERIES: dict[str, Callable[[EvidenceGraph], DataFrame]] = {
 #: Queries of all lines that are worked out another way than on the small graph, with the same rows.
 ALL_QUERIES: dict[str, Callable[[PlacedGraph], DataFrame]] = {
     "components": apart.components,
+    "core_number": apart.core_numbers,
 }
 
 

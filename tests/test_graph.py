@@ -253,3 +253,8 @@ def all_lines(spark, monkeypatch, tables, name, metric):
 def test_components_of_all_lines_join_few_edges(spark, monkeypatch, request, tables):
     got, want, given, every = all_lines(spark, monkeypatch, request.getfixturevalue(tables), "components_all", M.components)
     assert got == want and (given < every / 2 or tables == "order_tables")
+
+
+def test_core_numbers_of_all_lines_join_few_edges(spark, monkeypatch, mixed_tables):
+    got, want, given, every = all_lines(spark, monkeypatch, mixed_tables, "core_number_all", M.core_numbers)
+    assert got == want and given < every / 2
