@@ -10,6 +10,10 @@ out by the rounds of ``operators.metrics``.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,3 +64,41 @@ def core_numbers(g: PlacedGraph) -> DataFrame:
     rows = orders.select("ok", "lns", ring.alias("core"))
     out = _ids(rows, customers, [F.col("core")], [F.col("core")])
     return out if edges is None else out.unionByName(M.core_numbers(edges))
+
+
+def pagerank(g: PlacedGraph, rounds: int = M.ROUNDS, damping: float = M.DAMPING) -> DataFrame:
+    """id, pagerank. A customer's orders of as many lines have the same ranks, so the rounds need one row per customer, and nothing moves between them."""
+    orders, edges = _split(g)
+    alike = orders.groupBy("ck", "k").agg(F.count(F.lit(1)).alias("n"))
+    of = cut(alike.groupBy("ck").agg(F.collect_list(F.struct("k", "n")).alias("alike")))
+    nodes = of.agg(F.sum(F.aggregate("alike", F.lit(0).cast("long"), lambda s, x: s + (x["k"] + 1) * x["n"]) + F.col("ck").isNotNull().cast("long"))).first()[0] or 0
+    tied = 0 if edges is None else edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().count()
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            yield _ranks(part, nodes + tied, rounds, damping)
+
+    ranks = cut(of.mapInArrow(run, f"ck {dict(of.dtypes)['ck']}, k int, c double, m double, r double"))
+    rows = lookup_join(orders.where("ck is not null"), ranks.where("ck is not null").select("ck", "k", "m", "r"), ["ck", "k"])
+    alone = orders.where("ck is null").join(F.broadcast(ranks.where("ck is null").select("k", "m", "r")), "k")
+    rows = rows.select("ok", "lns", "m", "r").unionByName(alone.select("ok", "lns", "m", "r"))
+    customers = ranks.where("ck is not null").groupBy("ck").agg(F.first("c").alias("pagerank"))
+    out = _ids(rows, customers, [F.col("m")], [F.col("r")])
+    return out if edges is None else out.unionByName(M.pagerank(edges, rounds, damping, nodes=nodes + tied))
+
+
+def _ranks(part: pa.RecordBatch, nodes: int, rounds: int, damping: float) -> pa.RecordBatch:
+    """ck, k and the ranks of the customer, the matter and a risk, for every customer and number of lines. Risks of orders without a customer have one edge."""
+    ck, alike = part.column(0), part.column(1)
+    sizes = np.diff(alike.offsets.to_numpy())
+    who = np.repeat(np.arange(len(ck)), sizes)
+    flat = alike.flatten()
+    k, n = (flat.field(i).to_numpy().astype(float) for i in (0, 1))
+    has = np.asarray(ck.is_valid())[who].astype(float)
+    degree = np.maximum(np.bincount(who, n * k, len(ck)), 1)
+    base = (1 - damping) / nodes
+    c, m, r = np.full(len(ck), 1 / nodes), np.full(len(k), 1 / nodes), np.full(len(k), 1 / nodes)
+    for _ in range(rounds):
+        share = r / (1 + has)
+        c, m, r = base + damping * np.bincount(who, n * k * share, len(ck)), base + damping * k * share, base + damping * (has * (c / degree)[who] + m / k)
+    return pa.RecordBatch.from_arrays([ck.take(pa.array(who)), flat.field(0), pa.array(c[who]), pa.array(m), pa.array(r)], names=["ck", "k", "c", "m", "r"])

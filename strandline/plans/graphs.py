@@ -159,6 +159,7 @@ SMALL_QUERIES: dict[str, Callable[[EvidenceGraph], DataFrame]] = {
 ALL_QUERIES: dict[str, Callable[[PlacedGraph], DataFrame]] = {
     "components": apart.components,
     "core_number": apart.core_numbers,
+    "pagerank": lambda g: apart.pagerank(g).withColumn("pagerank", F.round("pagerank", 7)),
 }
 
 

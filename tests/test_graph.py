@@ -258,3 +258,8 @@ def test_components_of_all_lines_join_few_edges(spark, monkeypatch, request, tab
 def test_core_numbers_of_all_lines_join_few_edges(spark, monkeypatch, mixed_tables):
     got, want, given, every = all_lines(spark, monkeypatch, mixed_tables, "core_number_all", M.core_numbers)
     assert got == want and given < every / 2
+
+
+def test_pagerank_of_all_lines_joins_few_edges(spark, monkeypatch, mixed_tables):
+    got, want, given, every = all_lines(spark, monkeypatch, mixed_tables, "pagerank_all", M.pagerank)
+    assert got == [(i, round(x, 7)) for i, x in want] and given < every / 2
