@@ -9,7 +9,7 @@ only, for queries whose SQL can't follow on more.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -128,6 +128,29 @@ class PlacedGraph(EvidenceGraph):
         way = lambda x, y: self.edges.where(F.col(f"{x}_kind").isin(*kinds)).select(F.col(x).alias("src"), F.col(y).alias("dst"))
         return way("a", "b").unionByName(way("b", "a"))
 
+    def degrees(self) -> DataFrame:
+        """kind, key, degree of the parties in the topology: customers by the sizes of their orders, the others by their edges."""
+        own = self.h.where("o_first and ck is not null").groupBy(F.col("ck").alias("key")).agg(F.sum(F.size("lns")).cast("long").alias("degree"))
+        out = own.select(F.lit("ck").alias("kind"), "key", "degree")
+        if self.suppliers.isEmpty():
+            return out
+        met = self.h.join(self.suppliers, "sk", "left_semi").join(cut(_few(self.h, "pk", "p_first")).select(F.col("pk").alias("_pk")), F.col("pk") == F.col("_pk"), "left")
+        issued = cut(met.select("ok", "ln", "sk", "_pk"))
+        for kind, sees in (("sk", F.count(F.lit(1)) + F.count_distinct("_pk")), ("_pk", F.count_distinct("sk"))):
+            out = out.unionByName(issued.where(F.col(kind).isNotNull()).groupBy(F.col(kind).alias("key")).agg(sees.alias("degree")).select(F.lit(kind.lstrip("_")).alias("kind"), "key", "degree"))
+        return out
+
+    def leading(self, limit: int) -> tuple[PlacedGraph, DataFrame]:
+        """The graph of the lines that name a party of the ``limit`` greatest degrees (more where degrees tie), in which just these are whole, and their id and degree."""
+        every = cut(self.degrees())
+        least = every.orderBy(F.desc("degree")).limit(limit).agg(F.min("degree").alias("_least"))
+        top = cut(every.join(F.broadcast(least), F.col("degree") >= F.col("_least")).select("kind", "key", "degree"))
+        h = self.h
+        for key in ("sk", "pk", "ck"):
+            h = h.join(top.where(F.col("kind") == key).select(F.col("key").alias(key), F.lit(True).alias(f"_{key}")), key, "left")
+        h = cut(h.where("_sk or _pk or _ck").select(*self.h.columns))
+        return replace(self, nodes=nodes_of(self.spark, self.sf_dir, h)), top.select(F.concat(F.substring("kind", 1, 1), "key").alias("id"), "degree")
+
     def dense(self, found: DataFrame, name: str) -> DataFrame:
         """``found`` with ordinals for its places in column ``name``.
 

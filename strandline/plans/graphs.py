@@ -155,8 +155,15 @@ SMALL_QUERIES: dict[str, Callable[[EvidenceGraph], DataFrame]] = {
 }
 
 
+def _rank_degree_all(g: PlacedGraph) -> DataFrame:
+    """Only parties that can be among the first are gathered as nodes."""
+    near, degrees = g.leading(Q.SEARCH_LIMIT)
+    return _ranked("degree", lambda _: degrees)(near)
+
+
 #: Queries of all lines that are worked out another way than on the small graph, with the same rows.
 ALL_QUERIES: dict[str, Callable[[PlacedGraph], DataFrame]] = {
+    "rank_degree": _rank_degree_all,
     "components": apart.components,
     "core_number": apart.core_numbers,
     "pagerank": lambda g: apart.pagerank(g).withColumn("pagerank", F.round("pagerank", 7)),

@@ -263,3 +263,25 @@ def test_core_numbers_of_all_lines_join_few_edges(spark, monkeypatch, mixed_tabl
 def test_pagerank_of_all_lines_joins_few_edges(spark, monkeypatch, mixed_tables):
     got, want, given, every = all_lines(spark, monkeypatch, mixed_tables, "pagerank_all", M.pagerank)
     assert got == [(i, round(x, 7)) for i, x in want] and given < every / 2
+
+
+def test_rank_of_all_lines_equals_the_rank_of_all_nodes(spark, order_tables):
+    at = order_tables
+    g = fixture.placed_graph(spark, at)
+    degrees = g.ends(graphs.PARTIES).groupBy("src").count()
+    assert sorted(map(tuple, g.degrees().selectExpr("concat(substring(kind, 1, 1), key)", "degree").collect())) == sorted(map(tuple, degrees.collect()))
+    want = Q.rank(g, degrees.toDF("id", "degree"), "degree", graphs.PARTIES)
+    got = graphs.queries()["rank_degree_all"](spark, at).collect()
+    assert sorted((r["id"], r["label"], r["value"]) for r in got) == sorted((r["id"], r["label"], float(r["value"])) for r in want.collect())
+
+
+def test_rank_of_all_lines_gathers_few_nodes(spark, monkeypatch, tmp_path):
+    write = lambda name, rows, schema: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    write("lineitem", [(o, n, 10 * o, o) for o in range(1, 41) for n in range(1, 5 if o <= 12 else 2)], "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long")
+    write("orders", [(o, o, "2020-01-02", "1-URGENT") for o in range(1, 41)], "o_orderkey long, o_custkey long, o_orderdate string, o_orderpriority string")
+    for name, key in (("supplier", "s_supp"), ("part", "p_part"), ("customer", "c_cust")):
+        write(name, [(1, name)], f"{key}key long, {name[0]}_name string")
+    given, rank = [], Q.rank
+    monkeypatch.setattr(Q, "rank", lambda g, *args: given.append(g.nodes.where("kind = 'person'").count()) or rank(g, *args))
+    got = graphs.queries()["rank_degree_all"](spark, str(tmp_path)).collect()
+    assert {(r["id"], r["value"]) for r in got} == {(f"c{o}", 4.0) for o in range(1, 13)} and given == [12]
