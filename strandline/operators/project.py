@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.text import entity_id, normalize_name, stripped, title_label
-from strandline.graph import FACETS, FACTS, EvidenceGraph
+from strandline.graph import AUTHORITY_RELEASES, FACETS, FACTS, EvidenceGraph, involvement
 from strandline.operators.evidence import unwrapped
 from strandline.operators.order import ordered
 from strandline.schema import EXTRACTION
@@ -68,13 +69,62 @@ def _at(section: int, step: int, sub: Column | int = 0) -> Column:
     return F.struct(F.col("r").alias("r"), F.lit(section).alias("section"), F.col("item").cast("long").alias("item"), F.lit(step).alias("step"), sub.alias("sub")).cast(PLACE)
 
 
-def parse(current: DataFrame) -> DataFrame:
-    """r (release order, newest first by issue date and ref as texts), ref, title, issueDate and the typed record of each current extraction, however it is wrapped."""
-    rows = current.select(F.col("source_ref").alias("ref"), F.col("issue_date").alias("issueDate"), F.get_json_object("raw_json", "$.title").alias("title"), F.from_json(unwrapped(F.col("extraction_json")), EXTRACTION).alias("x"))
-    return cut(ordered(rows, "r", F.desc("issueDate"), F.desc("ref")).select("r", "ref", "title", "issueDate", "x"))
+def parse(current: DataFrame, newest: int | None = None) -> DataFrame:
+    """r (release order, newest first by issue date and ref as texts), ref, title, issueDate and the typed record of each current extraction, however it is wrapped.
+
+    ``newest``: of so many releases only, those that come first.
+    """
+    rows = current.select(F.col("source_ref").alias("ref"), F.col("issue_date").alias("issueDate"), "raw_json", "extraction_json")
+    if newest is not None:
+        rows = rows.orderBy(F.desc("issueDate"), F.desc("ref")).limit(newest)
+    # Written before it is put in order, which reads it more than once.
+    rows = cut(rows.select("ref", "issueDate", F.get_json_object("raw_json", "$.title").alias("title"), F.from_json(unwrapped(F.col("extraction_json")), EXTRACTION).alias("x")))
+    return cut(ordered(rows, "r", F.desc("issueDate"), F.desc("ref")).select("r", "ref", "title", "issueDate", "x"), rows)
+
+
+@dataclass(frozen=True)
+class Projection:
+    """What records name and claim, with its place (``at``), and the releases. Nodes and links are merged and put in order only where they are read."""
+
+    named: DataFrame
+    claimed: DataFrame
+    releases: DataFrame
+
+    def nodes(self) -> DataFrame:
+        return ordered(merge(self.named), "node_ord", "at", "id").select("node_ord", "id", "label", "kind", "summary", "releaseRefs", "facets", "facts")
+
+    def labels(self) -> DataFrame:
+        """node_ord, id, label and kind of the nodes: those of the first naming."""
+        first = self.named.groupBy("id").agg(F.min_by(F.struct("at", "label", "kind"), "at").alias("f"))
+        return ordered(first.select("id", "f.*"), "node_ord", "at", "id").select("node_ord", "id", "label", "kind")
+
+    def links(self, *columns: str) -> DataFrame:
+        """The links, with these columns besides link_ord; none stands for all."""
+        columns = columns or ("source", "target", "kind", "family", "evidence", "releaseRef", "facets", "facts")
+        keys = ("at", "source", "target", "kind")
+        return ordered(self.claimed.select(*dict.fromkeys((*keys, *columns))), "link_ord", *keys).select("link_ord", *columns)
+
+    def graph(self) -> EvidenceGraph:
+        return EvidenceGraph(self.nodes(), self.links(), self.releases)
+
+    def topology(self) -> DataFrame:
+        """The topology of the graph; nothing has to be merged or put in order for it but who is an authority."""
+        roles = involvement(F.col("facets"))
+        # As in the merged facets: null where the role is not there, but a null is.
+        has = lambda role: F.when(F.max(F.coalesce(F.array_contains(roles, role), F.lit(False))), True).when(F.max(F.exists(roles, F.isnull)), F.lit(None)).otherwise(False)
+        seen = self.named.groupBy("id").agg(F.min_by("kind", "at").alias("kind"), F.count_distinct("ref").alias("n"), has("subject").alias("subject"), has("authority").alias("authority"))
+        eligible = cut(seen.where((F.col("kind") != "release") & ~(~F.col("subject") & (F.col("authority") | (F.col("n") > AUTHORITY_RELEASES)))).select("id"))
+        pairs = self.claimed.where((F.col("family") != "evidence") & (F.col("source") != F.col("target")))
+        pairs = pairs.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
+        return pairs.join(eligible.withColumnRenamed("id", "a"), "a", "left_semi").join(eligible.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b")
 
 
 def project(current: DataFrame, links: DataFrame, language: str = "EN", url: str = URL) -> EvidenceGraph:
+    """The evidence graph of the current extractions and the reference links between their releases (``projection``)."""
+    return projection(current, links, language, url).graph()
+
+
+def projection(current: DataFrame, links: DataFrame, language: str = "EN", url: str = URL, newest: int | None = None) -> Projection:
     """The evidence graph of the current extractions and the reference links between their releases.
 
     ``current``: source_ref, issue_date, raw_json, extraction_json, one row
@@ -83,9 +133,10 @@ def project(current: DataFrame, links: DataFrame, language: str = "EN", url: str
     naming counts, and what it adds is appended. Records that can't be read
     give their release node only. References to a mention or matter the record
     lacks make no link. Releases that are linked but have no extraction come
-    last, in order of the links (by source, then target).
+    last, in order of the links (by source, then target). With ``newest``, of
+    so many releases only, whose nodes and links are first in the whole graph.
     """
-    base = parse(current)
+    base = parse(current, newest)
     one = lambda name: base.select("r", "ref", "x", F.posexplode(F.col(f"x.{name}")).alias("item", "v")).where("v is not null")
     v = F.col("v")
     kind = F.when(v["type"] == "person_group", "group").when(v["type"] == "financial_instrument", "instrument").otherwise(v["type"])
@@ -127,10 +178,8 @@ def project(current: DataFrame, links: DataFrame, language: str = "EN", url: str
     out = out.unionByName(refs.select(after(F.col("n")).alias("at"), F.concat(F.lit("release:"), "s").alias("source"), F.concat(F.lit("release:"), "t").alias("target"), F.lit("references").alias("kind"), F.lit("evidence").alias("family"), F.lit("Linked release").alias("evidence"), F.col("s").alias("releaseRef"), nil.alias("facets"), F.array().cast(FACTS).alias("facts")))
     stubs = refs.join(known, F.col("t") == F.col("ref"), "left_anti").groupBy("t").agg(F.min("n").alias("n"))
     nodes = nodes.unionByName(stubs.select(after(F.col("n")).alias("at"), F.concat(F.lit("release:"), "t").alias("id"), F.col("t").alias("label"), F.lit("release").alias("kind"), F.lit("A linked release without a current extraction.").alias("summary"), F.col("t").alias("ref"), nil.alias("facets"), F.array().cast(FACTS).alias("facts")))
-    merged_nodes = ordered(merge(nodes), "node_ord", "at", "id").select("node_ord", "id", "label", "kind", "summary", "releaseRefs", "facets", "facts")
-    placed = ordered(out, "link_ord", "at", "source", "target", "kind").select("link_ord", "source", "target", "kind", "family", "evidence", "releaseRef", "facets", "facts")
     listed = base.select(F.col("r").alias("release_ord"), "ref", stripped(F.col("title")).alias("title"), "issueDate", F.concat(F.lit(url), "ref").alias("url"))
-    return EvidenceGraph(merged_nodes, placed, listed)
+    return Projection(nodes, out, listed)
 
 
 def merge(candidates: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from strandline.operators import query as Q
 from strandline.operators.current import current_rows
 from strandline.operators.evidence import check_quotes, first_missing_quote, ground, quotes, read_record, unknown_fields, unwrapped, violations
 from strandline.operators.extract import extract
-from strandline.operators.project import merge, project
+from strandline.operators.project import merge, projection
 from strandline.session import cut, table
 from strandline.streaming.budget import apply_budget
 
@@ -182,17 +182,17 @@ def entity_ids(spark, sf_dir):
     return entity_ids_all(spark, sf_dir).join(plain.distinct(), "entity_id", "left_semi")
 
 
-def _projected(spark, sf_dir):
+def _projected(spark, sf_dir, newest=None):
     now = _current(spark, sf_dir).where("language = 'EN'").select("source_ref", "issue_date", "raw_json")
-    return project(_records(spark, sf_dir).where("language = 'EN'").select("source_ref", "extraction_json").join(now, "source_ref"), table(spark, sf_dir, "release_links"))
+    return projection(_records(spark, sf_dir).where("language = 'EN'").select("source_ref", "extraction_json").join(now, "source_ref"), table(spark, sf_dir, "release_links"), newest=newest)
 
 
 def project_nodes(spark, sf_dir):
-    return _projected(spark, sf_dir).nodes.select("node_ord", "id", "label", "kind", F.size("releaseRefs").alias("n_refs"), F.size("facts").alias("n_facts"))
+    return _projected(spark, sf_dir).nodes().select("node_ord", "id", "label", "kind", F.size("releaseRefs").alias("n_refs"), F.size("facts").alias("n_facts"))
 
 
 def project_links(spark, sf_dir):
-    return _projected(spark, sf_dir).links.select("link_ord", "source", "target", "kind", "family")
+    return _projected(spark, sf_dir).links("source", "target", "kind", "family")
 
 
 def projected_metrics(spark, sf_dir):
@@ -205,7 +205,7 @@ def projected_metrics(spark, sf_dir):
 
 def projected_overview(spark, sf_dir):
     """The newest releases of the projected graph and what they mainly name."""
-    g = _projected(spark, sf_dir)
+    g = _projected(spark, sf_dir).graph()
     shown = Q.overview(EvidenceGraph(cut(g.nodes), cut(g.links), cut(g.releases)))
     return shown.nodes.select("node_ord", "id", "label", "kind")
 
