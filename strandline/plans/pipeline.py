@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.text import entity_id, html_text, normalize_name, source_text
-from strandline.graph import EvidenceGraph
 from strandline.operators import ingest as I
 from strandline.operators import metrics as M
 from strandline.operators import query as Q
@@ -204,10 +203,10 @@ def projected_metrics(spark, sf_dir):
 
 
 def projected_overview(spark, sf_dir):
-    """The newest releases of the projected graph and what they mainly name."""
-    g = _projected(spark, sf_dir).graph()
-    shown = Q.overview(EvidenceGraph(cut(g.nodes), cut(g.links), cut(g.releases)))
-    return shown.nodes.select("node_ord", "id", "label", "kind")
+    """The newest releases of the projected graph and what they mainly name. Labels and places of these nodes are those of the newest releases' own records."""
+    p = _projected(spark, sf_dir, Q.OVERVIEW_RELEASES)
+    named = cut(p.claimed.where(F.col("kind").isin("primary_mention", "reports", "asserts")).select(F.col("target").alias("id")).unionByName(p.releases.select(F.concat(F.lit("release:"), "ref").alias("id"))).distinct())
+    return p.labels().join(named, "id", "left_semi").select("node_ord", "id", "label", "kind")
 
 
 def ordered_merge(spark, sf_dir):
