@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ DAMPING = 0.85
 ROUNDS = 50
 #: Edges up to which the edge list is broadcast for betweenness: 16 MB, and some 80 MB as lists in each worker.
 BROADCAST_EDGES = 1_000_000
+#: Edges up to which one task works out ``structure``: some 500 MB of arrays.
+TASK_EDGES = 6_000_000
 #: Sources times nodes that betweenness by joins works on at once.
 PAIRS = 50_000_000
 
@@ -111,16 +114,78 @@ def betweenness(edges: DataFrame, limit: int = BROADCAST_EDGES, pairs: int = PAI
     and sources are shared out over the tasks; beyond, sources advance level by
     level in joins, so many at a time that sources times nodes are ``pairs``.
     """
-    names = cut(ordered(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "v", "id").select("id", F.col("v").cast("int").alias("v")))
-    n = names.count()
+    names, n, numbered, m = _numbered(edges)
     if n <= 2:
         return names.select("id", F.lit(0.0).alias("betweenness"))
-    number = lambda end, name: names.select(F.col("id").alias(end), F.col("v").alias(name))
-    numbered, m = cut_count(edges.join(number("a", "x"), "a").join(number("b", "y"), "b").select("x", "y"))
     sums = _brandes(numbered, names.select("v"), n) if m <= limit else _brandes_joined(numbered, names.select("v"), max(1, pairs // n), n)
     return names.join(sums, "v", "left").select("id", (F.coalesce("total", F.lit(0.0)) / F.lit(float((n - 1) * (n - 2)))).alias("betweenness"))
 
 
+def _numbered(edges: DataFrame) -> tuple[DataFrame, int, DataFrame, int]:
+    """id, v of the nodes, numbered in order of their ids, and how many; x, y of the edges, and how many."""
+    names, n = cut_count(ordered(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "v", "id").select("id", F.col("v").cast("int").alias("v")))
+    number = lambda end, name: names.select(F.col("id").alias(end), F.col("v").alias(name))
+    return names, n, *cut_count(edges.join(number("a", "x"), "a").join(number("b", "y"), "b").select("x", "y"))
+
+
+def structure(edges: DataFrame, limit: int = TASK_EDGES, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+    """id, degree, component, size, core, pagerank: as of the functions for each, which take over beyond ``limit`` edges; up to it one task has the whole edge list."""
+    names, n, numbered, m = _numbered(edges)
+    if m > limit:
+        return degree(edges).join(components(edges), "id").join(core_numbers(edges), "id").join(pagerank(edges, rounds, damping), "id")
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y = (np.concatenate(ends) for ends in zip(*[[part.column(i).to_numpy() for i in (0, 1)] for part in parts]))
+        found = _structure(x, y, n, rounds, damping)
+        for start in range(0, n, 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[start : start + 100_000]) for c in found], names=["v", "degree", "c", "size", "core", "pagerank"])
+
+    if not m:
+        return names.select("id", F.lit(0).cast("long").alias("degree"), F.col("id").alias("component"), F.lit(1).cast("long").alias("size"), F.lit(0).cast("long").alias("core"), F.lit(0.0).alias("pagerank"))
+    found = cut(numbered.coalesce(1).mapInArrow(run, "v int, degree long, c int, size long, core long, pagerank double"))
+    return found.join(names, "v").join(names.select(F.col("v").alias("c"), F.col("id").alias("component")), "c").select("id", "degree", "component", "size", "core", "pagerank")
+
+
+def _structure(x: np.ndarray, y: np.ndarray, n: int, rounds: int, damping: float) -> tuple[np.ndarray, ...]:
+    """Number, degree, least number of its component and the component's size, core number and PageRank of nodes 0 to n - 1, each of which has an edge."""
+    src, dst = np.concatenate((x, y)), np.concatenate((y, x))
+    degrees = np.bincount(src, minlength=n)
+    label = np.arange(n)
+    while True:
+        at_x, at_y = label[x], label[y]
+        if np.array_equal(at_x, at_y):
+            break
+        least = np.minimum(at_x, at_y)
+        np.minimum.at(label, at_x, least)
+        np.minimum.at(label, at_y, least)
+        while not np.array_equal(up := label[label], label):
+            label = up
+    rank = np.full(n, 1 / n)
+    for _ in range(rounds):
+        rank = (1 - damping) / n + damping * np.bincount(src, (rank / degrees)[dst], n)
+    to = dst[np.argsort(src, kind="stable")]
+    del src, dst
+    return np.arange(n, dtype=np.int32), degrees, label.astype(np.int32), np.bincount(label, minlength=n)[label], _cores(degrees, to), rank
+
+
+def _cores(degrees: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Core numbers by peeling; ``to`` has the neighbours of each node in turn."""
+    first = np.cumsum(degrees) - degrees
+    core, left, alive = np.zeros(len(degrees), np.int64), degrees.copy(), np.ones(len(degrees), bool)
+    k = 0
+    while alive.any():
+        k = max(k, int(left[alive].min()))
+        front = np.flatnonzero(alive & (left <= k))
+        while len(front):
+            core[front], alive[front] = k, False
+            sizes = degrees[front]
+            near = to[np.repeat(first[front] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+            hit, times = np.unique(near[alive[near]], return_counts=True)
+            left[hit] -= times
+            front = hit[left[hit] <= k]
+    return core
+
+
 def _brandes(edges: DataFrame, sources: DataFrame, n: int) -> DataFrame:
     table = edges.toArrow()  # two 32-bit numbers for each of at most BROADCAST_EDGES
     x, y = (table.column(c).to_numpy() for c in ("x", "y"))

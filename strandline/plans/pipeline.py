@@ -196,10 +196,7 @@ def project_links(spark, sf_dir):
 
 def projected_metrics(spark, sf_dir):
     """Degree, component, core number and PageRank of the graph projected from the extractions."""
-    g = _projected(spark, sf_dir)
-    edges = cut(g.topology())
-    out = M.degree(edges).join(M.components(edges), "id").join(M.core_numbers(edges), "id").join(M.pagerank(edges), "id")
-    return out.select("id", "degree", "component", "size", "core", F.round("pagerank", 7).alias("pagerank"))
+    return M.structure(cut(_projected(spark, sf_dir).topology())).withColumn("pagerank", F.round("pagerank", 7))
 
 
 def projected_overview(spark, sf_dir):

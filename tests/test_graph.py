@@ -285,3 +285,14 @@ def test_rank_of_all_lines_gathers_few_nodes(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(Q, "rank", lambda g, *args: given.append(g.nodes.where("kind = 'person'").count()) or rank(g, *args))
     got = graphs.queries()["rank_degree_all"](spark, str(tmp_path)).collect()
     assert {(r["id"], r["value"]) for r in got} == {(f"c{o}", 4.0) for o in range(1, 13)} and given == [12]
+
+
+def test_structure_in_one_task_equals_the_rounds(spark, monkeypatch):
+    rng = random.Random(3)
+    pairs = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(90)} | {(90, 91), (91, 92)} | set(itertools.combinations(range(70, 76), 2))
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in pairs], "a string, b string")
+    read = lambda df: sorted((*r[:5], round(r[5], 12)) for r in df.collect())
+    want = read(M.structure(edges, limit=0))
+    for name in ("components", "core_numbers", "pagerank"):
+        monkeypatch.setattr(M, name, None)
+    assert read(M.structure(edges)) == want and M.structure(edges.limit(0)).count() == 0
